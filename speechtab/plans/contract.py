@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "basic_tags",
+    "propagation",
 ]
 
 
