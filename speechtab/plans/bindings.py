@@ -135,10 +135,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as references; predictions drop every fifth word."""
+    """Whole documents as references; a prediction is the normalised
+    reference with every fifth word dropped."""
+    from ..functions.text import basic_normalize, words
+
     d = table(spark, sf_dir, "documents")
-    words = F.split(F.trim(F.col("text")), r"\s+")
-    kept = F.filter(words, lambda w, i: (i + 1) % 5 != 0)
+    kept = F.filter(words(basic_normalize(F.col("text"))), lambda w, i: (i + 1) % 5 != 0)
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("reference"),

@@ -7,6 +7,8 @@ import importlib
 _MODULES = [
     "basic_tags",
     "propagation",
+    "preparation",
+    "evaluation",
 ]
 
 
