@@ -119,8 +119,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
-        F.format_string("clip%d", F.col("vec_id") % 50).alias("filename"),
-        F.when(F.col("vec_id") % 2 == 0, "channel1").otherwise("channel2").alias("channel"),
+        F.format_string("clip%d", F.expr("vec_id div 2")).alias("filename"),
+        F.format_string("channel%d", F.col("vec_id") % 2 + 1).alias("channel"),
         F.col("embedding").alias("samples"),
         F.lit(CLIP_RATE).alias("sampling_rate"),
         F.col("label"),
@@ -171,3 +171,30 @@ def utterances_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "intrinsic_tags",
         F.when(F.col("speakerid") % 3 == 0, F.array(F.element_at(tags, (F.col("speakerid") % 10 + 1).cast("int")))),
     ).withColumn("situational_tags", F.when(F.col("utterance_id") % 7 == 0, F.array(F.col("source"))))
+
+
+def vad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment-file lines derived from embeddings (line_no = vec_id): comments
+    (label 8), blanks and ``longform`` lines (label 9), otherwise 1-3
+    segments for clip ((vec_id % 200) div 2), so later vec_ids repeat a
+    (file, channel) pair."""
+    e = table(spark, sf_dir, "embeddings")
+    v, lab = F.col("vec_id"), F.col("label")
+    clip = F.format_string("clip%d/channel%d", F.expr("(vec_id % 200) div 2"), v % 2 + 1)
+    segs = F.transform(
+        F.sequence(F.lit(0), lab % 3),
+        lambda i: F.concat(
+            F.lit("("),
+            (i.cast("double") * 1.25 + (v % 4).cast("double") * 0.25).cast("string"),
+            F.lit(", "),
+            (i.cast("double") * 1.25 + (v % 4).cast("double") * 0.25 + 0.5 + (lab % 4).cast("double") * 0.125).cast("string"),
+            F.lit(")"),
+        ),
+    )
+    line = (
+        F.when(lab == 8, F.concat(F.lit("# note "), v.cast("string")))
+        .when((lab == 9) & (v % 2 == 0), F.lit(""))
+        .when(lab == 9, F.concat(clip, F.lit("\t(0.0, 1.0) longform")))
+        .otherwise(F.concat(clip, F.lit("\t"), F.array_join(segs, " ")))
+    )
+    return e.select(v.alias("line_no"), line.alias("line"))

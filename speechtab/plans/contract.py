@@ -9,6 +9,7 @@ _MODULES = [
     "propagation",
     "preparation",
     "evaluation",
+    "signals",
 ]
 
 
