@@ -52,3 +52,14 @@ def manifest_summary(df: DataFrame, speaker_col: str = "speaker") -> DataFrame:
 def speakers_not_n(df: DataFrame, n: int, speaker_col: str = "speaker") -> DataFrame:
     """AGG17: speakers whose row count differs from ``n`` (empty when sound)."""
     return df.groupBy(speaker_col).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") != n)
+
+
+def frame_to_utterance(df: DataFrame, key: str, pitch_col: str, snr_col: str, c50_col: str) -> DataFrame:
+    """AGG15: frame-level values -> utterance level: pitch mean and sample
+    standard deviation, SNR mean, C50 mean (partial aggregation)."""
+    return df.groupBy(key).agg(
+        F.avg(pitch_col).alias("utterance_pitch_mean"),
+        F.stddev_samp(pitch_col).alias("utterance_pitch_std"),
+        F.avg(snr_col).alias("snr"),
+        F.avg(c50_col).alias("c50"),
+    )

@@ -45,7 +45,11 @@ def split_of(event_id) -> F.Column:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> utterances (one row per clip)."""
-    e = table(spark, sf_dir, "events")
+    return utterances_from(table(spark, sf_dir, "events"))
+
+
+def utterances_from(e: DataFrame) -> DataFrame:
+    """The utterance binding over an events frame (batch or stream)."""
     v = F.col("value")
     return e.select(
         F.col("event_id").alias("utterance_id"),
@@ -59,7 +63,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v / 5).alias("speaking_rate_value"),
         F.when(F.col("user_id") % 2 == 0, "male").otherwise("female").alias("gender"),
         split_of(F.col("event_id")).alias("split"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 

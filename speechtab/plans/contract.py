@@ -10,6 +10,7 @@ _MODULES = [
     "preparation",
     "evaluation",
     "signals",
+    "streams",
 ]
 
 

@@ -1 +1,184 @@
+"""Structured Streaming forms of the stateless enrichment (STM1), growing
+speaker statistics (STM4) and chunked emission with hold-back (STM2), plus
+a runner that drives a stream to completion into a table (STM3: the
+checkpoint makes a restarted run skip what is done)."""
 
+from __future__ import annotations
+
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..session import ensure_checkpoint_dir
+
+
+def file_stream(spark: SparkSession, folder: str, name_glob: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """STM1 source: parquet files landing in ``folder`` (names matching
+    ``name_glob``), with a fixed schema."""
+    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(folder)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def run_append(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Drive an append-mode stream to completion (available data) into parquet."""
+    q = (
+        stream.writeStream.format("parquet")
+        .option("path", out_dir)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+
+
+def run_complete(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Drive a complete/update-mode aggregate to completion; each micro-batch
+    replaces the table with the current result (exactly-once per epoch)."""
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
+
+    q = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+
+
+def running_totals(stream: DataFrame, key: str, duration_col: str, watermark_col: str | None = None,
+                   delay: str = "1 day") -> DataFrame:
+    """STM4: per speaker total duration (exact decimal) and clip count as data
+    arrives.  With ``watermark_col`` late rows older than ``delay`` are
+    dropped from state bookkeeping (update mode)."""
+    s = stream
+    if watermark_col is not None:
+        s = s.withWatermark(watermark_col, delay)
+    return s.groupBy(key).agg(
+        F.sum(F.col(duration_col).cast("decimal(38,9)")).alias("total_duration"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+# --- STM2: chunked emission with hold-back -----------------------------------
+
+def chunk_of(position, total, play_steps: int, stride: int):
+    """Batch twin: chunk (1-based) in which item ``position`` (0-based) of a
+    stream of ``total`` items is emitted.  After every ``play_steps`` items
+    everything new except the last ``stride`` is emitted; the end flushes
+    the rest as chunk J+1, J = total div play_steps."""
+    full = F.floor((position + stride) / F.lit(play_steps)) + 1
+    return F.least(full, F.floor(total / F.lit(play_steps)) + 1).cast("bigint")
+
+
+def _check_steps(play_steps: int, stride: int) -> None:
+    if not (0 < stride < play_steps):
+        raise ValueError("need 0 < stride < play_steps")
+
+
+def chunk_emission(df: DataFrame, key: str, order_cols: list[str], item_col: str, play_steps: int = 10, stride: int = 3) -> DataFrame:
+    """STM2 batch twin: (key, item, position, chunk)."""
+    from pyspark.sql import Window
+
+    _check_steps(play_steps, stride)
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    pos = df.select(key, item_col, *[c for c in order_cols if c != item_col]).withColumn(
+        "position", (F.row_number().over(w) - 1).cast("bigint")
+    )
+    out = pos.join(totals, [key], "inner")
+    return out.select(key, item_col, "position", chunk_of(F.col("position"), F.col("_total"), play_steps, stride).alias("chunk"))
+
+
+_CHUNK_STATE = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("pend_items", T.ArrayType(T.LongType())),
+        T.StructField("pend_pos", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def _chunk_fn(key: str, item_col: str, order_cols: list[str], end_col: str, play_steps: int, stride: int):
+    def fn(keys, pdfs, state):
+        if state.exists:
+            n, pend_items, pend_pos = state.get
+            pend_items, pend_pos = list(pend_items), list(pend_pos)
+        else:
+            n, pend_items, pend_pos = 0, [], []
+        ended = False
+        for pdf in pdfs:
+            pdf = pdf.sort_values(order_cols, kind="mergesort")
+            ended = ended or bool(pdf[end_col].any())
+            items = pdf.loc[~pdf[end_col].astype(bool), item_col].tolist()
+            pend_items.extend(int(i) for i in items)
+            pend_pos.extend(range(n, n + len(items)))
+            n += len(items)
+        out_items, out_pos, out_chunk = [], [], []
+        if ended:
+            last = n // play_steps + 1
+            out_items, out_pos = pend_items, pend_pos
+            out_chunk = [min((p + stride) // play_steps + 1, last) for p in pend_pos]
+            state.remove()
+        else:
+            bound = (n // play_steps) * play_steps - stride
+            keep_i, keep_p = [], []
+            for i, p in zip(pend_items, pend_pos):
+                if p < bound:
+                    out_items.append(i)
+                    out_pos.append(p)
+                    out_chunk.append((p + stride) // play_steps + 1)
+                else:
+                    keep_i.append(i)
+                    keep_p.append(p)
+            state.update((n, keep_i, keep_p))
+        if out_items:
+            yield pd.DataFrame(
+                {key: [keys[0]] * len(out_items), item_col: out_items, "position": out_pos, "chunk": out_chunk}
+            )
+
+    return fn
+
+
+def stream_chunks(stream: DataFrame, key: str, item_col: str, order_cols: list[str], end_col: str = "is_end",
+                  play_steps: int = 10, stride: int = 3) -> DataFrame:
+    """STM2 on a stream: per key, items whose chunk is final are emitted as
+    soon as a multiple of ``play_steps`` items has arrived; the rest (fewer
+    than play_steps + stride items) wait in state until a row with
+    ``end_col`` true closes the key and flushes them."""
+    _check_steps(play_steps, stride)
+    kt = stream.schema[key].dataType
+    out = T.StructType(
+        [
+            T.StructField(key, kt),
+            T.StructField(item_col, T.LongType()),
+            T.StructField("position", T.LongType()),
+            T.StructField("chunk", T.LongType()),
+        ]
+    )
+    cols = list(dict.fromkeys([key, item_col, *order_cols, end_col]))
+    return stream.select(*cols).groupBy(key).applyInPandasWithState(
+        _chunk_fn(key, item_col, order_cols, end_col, play_steps, stride),
+        outputStructType=out,
+        stateStructType=_CHUNK_STATE,
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
+    )
