@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basic_normalize, word_edit_distance
+from ..functions.text import basic_normalize, word_edit_distance, words
 from ..functions.vectors import as_double_array, cosine
 from ..schema import require_columns
 
@@ -24,15 +24,14 @@ def word_error_rows(
     be scored)."""
     require_columns(df, [ref_col, hyp_col])
     ref = basic_normalize(F.col(ref_col)) if normalize else F.col(ref_col)
-    hyp = basic_normalize(F.coalesce(F.col(hyp_col), F.lit(""))) if normalize else F.col(hyp_col)
-    out = df.withColumn("_w", word_edit_distance(ref, hyp))
-    out = out.select(
-        "*",
-        F.col("_w.edits").cast("bigint").alias("edits"),
-        F.col("_w.ref_words").cast("bigint").alias("ref_words"),
-        F.col("_w.hyp_words").cast("bigint").alias("hyp_words"),
-    ).drop("_w")
-    return out.where(F.col("ref_words") > 0)
+    hyp = basic_normalize(F.coalesce(F.col(hyp_col), F.lit(""))) if normalize else F.coalesce(F.col(hyp_col), F.lit(""))
+    # words are split in the JVM; the filter uses only native expressions so
+    # it never re-runs the Python step wherever Catalyst moves it
+    out = df.withColumn("_rw", words(ref)).withColumn("_hw", words(hyp))
+    out = out.withColumn("edits", word_edit_distance(F.col("_rw"), F.col("_hw"))).where(F.size("_rw") > 0)
+    return out.withColumn("ref_words", F.size("_rw").cast("bigint")).withColumn(
+        "hyp_words", F.size("_hw").cast("bigint")
+    ).drop("_rw", "_hw")
 
 
 def corpus_wer(rows: DataFrame) -> DataFrame:

@@ -143,7 +143,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference with every fifth word dropped."""
     from ..functions.text import basic_normalize, words
 
-    d = table(spark, sf_dir, "documents")
+    from ..session import spread
+
+    d = spread(table(spark, sf_dir, "documents"))
     kept = F.filter(words(basic_normalize(F.col("text"))), lambda w, i: (i + 1) % 5 != 0)
     return d.select(
         F.col("doc_id").alias("id"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basic_normalize
 from ..operators import evaluation as EV
+from ..session import spread
 from . import bindings as bd
 from . import oracle as O
 
@@ -22,7 +23,7 @@ def _duck_norm(x: str) -> str:
 
 
 def text_normalised(spark: SparkSession, d: str) -> DataFrame:
-    t = bd.transcripts(spark, d)
+    t = spread(bd.transcripts(spark, d))
     return t.select("id", basic_normalize(F.col("transcription")).alias("normalised"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_prompt, simple_tokens
 from ..operators import prepare as P
 from ..operators import speakers as SPK
+from ..session import spread
 from . import bindings as bd
 from . import oracle as O
 
@@ -94,7 +95,7 @@ MERGE_SQL = (
 
 
 def prepared_table(spark: SparkSession, d: str) -> DataFrame:
-    docs = bd.transcripts(spark, d)
+    docs = spread(bd.transcripts(spark, d))
     t = docs.select(
         "id",
         clean_prompt(F.col("transcription")).alias("prompt"),

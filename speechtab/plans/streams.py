@@ -17,6 +17,7 @@ from .. import streaming as STM
 from ..functions.binning import SHIPPED_BIN_EDGES, SHIPPED_TEXT_BINS, bin_label
 from ..operators import enrich as EN
 from ..operators import stats as ST
+from ..session import spread
 from . import bindings as bd
 from . import oracle as O
 
@@ -121,7 +122,7 @@ def _density_scorer_factory():
 
 
 def enrich_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = bd.transcripts(spark, d)
+    t = spread(bd.transcripts(spark, d))
     schema = T.StructType([T.StructField("score", T.DoubleType())])
     r = EN.enrich(t, _density_scorer_factory, ["transcription"], schema, keep_cols=["id"], batch_rows=64, on_error="capture")
     return r.select("id", F.round("score", 6).alias("score"), F.col("error").isNotNull().alias("failed"))

@@ -71,3 +71,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over at least ``min_partitions`` partitions (default:
+    the cluster's parallelism) when its scan yields fewer, before heavy
+    per-row work.  A no-op on large inputs, whose scans already have many
+    splits; planning only, no job is run to decide."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
