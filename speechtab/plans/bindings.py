@@ -114,7 +114,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """codebooks x frames int codes from an embedding, row-major."""
     e = table(spark, sf_dir, "embeddings")
-    q = F.transform("embedding", lambda x: F.floor((x + 1) * 512).cast("int"))
+    q = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 512).cast("int"))
     rows = F.array(*[F.slice(q, k * FRAMES + 1, FRAMES) for k in range(CODEBOOKS)])
     return e.select(F.col("vec_id").alias("id"), rows.alias("labels"), F.col("label"))
 

@@ -44,7 +44,7 @@ ANNOTATIONS = f"""annotations AS (
 CODES = (
     "codes AS (SELECT vec_id AS id, label, ["
     + ", ".join(
-        f"list_slice(list_transform(embedding, lambda x: CAST(floor((x + 1) * 512) AS INTEGER)), {k * FRAMES + 1}, {(k + 1) * FRAMES})"
+        f"list_slice(list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 512) AS INTEGER)), {k * FRAMES + 1}, {(k + 1) * FRAMES})"
         for k in range(CODEBOOKS)
     )
     + "] AS labels FROM embeddings)"
