@@ -85,8 +85,9 @@ def learn_edges(
     if std_tolerance is not None:
         stats = base.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
         if group_cols:
-            # one row per group: a handful of rows, joined by the group key
-            kept = base.join(F.broadcast(stats), list(group_cols), "inner")
+            # one row per group, joined by the group key (AQE broadcasts it
+            # when its measured size is small)
+            kept = base.join(stats, list(group_cols), "inner")
         else:
             st = stats.select(F.struct("mean", "std").alias("s")).scalar()
             kept = base.withColumn("mean", st["mean"]).withColumn("std", st["std"])
@@ -185,44 +186,88 @@ def speaker_pitch_labels(
     return df.join(spk, [speaker_col], "left")
 
 
+def _with_bucket(df: DataFrame, v: str, lo: str, hi: str, n_bins: int, out: str) -> DataFrame:
+    """Add ``out``: 0-based equal-width bucket of ``v`` over lo..hi, half-open
+    bins except the last, exact with respect to the edges
+    i * ((hi-lo)/n) + lo.  Staged column by column so no expression is
+    repeated inside another."""
+    step = (F.col(hi) - F.col(lo)) / F.lit(float(n_bins))
+
+    def edge(i):
+        return F.when(i == F.lit(n_bins), F.col(hi)).otherwise(i.cast("double") * step + F.col(lo))
+
+    raw = ((F.col(v) - F.col(lo)) * (F.lit(float(n_bins)) / (F.col(hi) - F.col(lo)))).cast("int")
+    df = df.withColumn(out, F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1)))
+    i = F.col(out)
+    df = df.withColumn(out, F.when(F.col(v) < edge(i), i - 1).otherwise(i))
+    i = F.col(out)
+    return df.withColumn(out, F.when((F.col(v) >= edge(i + 1)) & (i != n_bins - 1), i + 1).otherwise(i))
+
+
 def histogram_table(df: DataFrame, value_col: str, n_bins: int = 100, std_tolerance: float | None = None) -> DataFrame:
     """AGG18: the histogram behind the reference's plots, as a table.
 
     ``stage`` is ``before`` (NaN/NULL dropped) and, when ``std_tolerance`` is
     given, ``after`` (outliers dropped).  Bins are equal width over min..max,
     half-open except the last, and every bin is listed (zero counts too).
+    Two scalar statistics (all values; kept values) and one counting pass
+    over the data, whatever the number of stages.
     """
     base = df.where(_valid(F.col(value_col))).select(F.col(value_col).cast("double").alias("v"))
-    stages = [base.withColumn("stage", F.lit("before"))]
-    if std_tolerance is not None:
-        st = base.agg(F.struct(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).alias("s")).scalar()
-        after = base.where(F.abs(F.col("v") - st["mean"]) < F.lit(float(std_tolerance)) * st["std"])
-        stages.append(after.withColumn("stage", F.lit("after")))
-    tables = []
-    for stage_df in stages:
-        bounds = stage_df.groupBy("stage").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+    def bounds_row(agg_df: DataFrame, extra=()) -> Column:
+        # final histogram range computed inside the one-row statistics plan,
+        # so the main plan only reads a few fields of one scalar subquery
         lo, hi = _outer_bounds(F.col("lo"), F.col("hi"), F.col("n"), None)
-        edges = bounds.select("stage", _edges_from_bounds(lo, hi, n_bins).alias("edges"))
-        e = edges.select("edges").scalar()
-        lo_e = F.element_at(e, 1)
-        hi_e = F.element_at(e, n_bins + 1)
-        raw = ((F.col("v") - lo_e) * (F.lit(float(n_bins)) / (hi_e - lo_e))).cast("int")
-        idx = F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1))
-        # correct float rounding against the exact edges (0-based idx)
-        idx = F.when(F.col("v") < F.element_at(e, idx + 1), idx - 1).otherwise(idx)
-        idx = F.when((F.col("v") >= F.element_at(e, idx + 2)) & (idx != n_bins - 1), idx + 1).otherwise(idx)
-        counts = stage_df.groupBy(idx.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        grid = edges.select(
-            "stage",
-            F.posexplode(F.slice(F.col("edges"), 1, n_bins)).alias("bucket", "lower"),
-            F.col("edges"),
-        ).select("stage", "bucket", "lower", F.element_at("edges", F.col("bucket") + 2).alias("upper"))
-        tables.append(
-            grid.join(counts, ["bucket"], "left").select(
-                "stage", "bucket", "lower", "upper", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")
+        return agg_df.select(F.struct(*extra, lo.alias("lo"), hi.alias("hi")).alias("s")).scalar()
+
+    st1 = base.agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    s1 = bounds_row(st1, (F.col("mean"), F.col("std")))
+    stages = [("before", F.lit(True), s1["lo"], s1["hi"])]
+    if std_tolerance is not None:
+        keep = F.abs(F.col("v") - s1["mean"]) < F.lit(float(std_tolerance)) * s1["std"]
+        st2 = base.where(keep).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        s2 = bounds_row(st2)
+        stages.append(("after", keep, s2["lo"], s2["hi"]))
+    staged = base.select(
+        "v", *[c.alias(f"_k{i}") for i, (_, c, _, _) in enumerate(stages)],
+        *[x.alias(f"_lo{i}") for i, (_, _, x, _) in enumerate(stages)],
+        *[x.alias(f"_hi{i}") for i, (_, _, _, x) in enumerate(stages)],
+    )
+    for i in range(len(stages)):
+        staged = _with_bucket(staged, "v", f"_lo{i}", f"_hi{i}", n_bins, f"_b{i}")
+    tagged = staged.select(
+        F.explode(
+            F.array(
+                *[
+                    F.when(F.col(f"_k{i}"), F.struct(F.lit(name).alias("stage"), F.col(f"_b{i}").alias("bucket")))
+                    for i, (name, _, _, _) in enumerate(stages)
+                ]
+            )
+        ).alias("b")
+    ).where(F.col("b").isNotNull())
+    counts = tagged.groupBy(F.col("b.stage").alias("stage"), F.col("b.bucket").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    grids = []
+    for name, _, lo, hi in stages:
+        g = base.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bucket"), lo.alias("_lo"), hi.alias("_hi"))
+        step = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))
+        b = F.col("bucket")
+        grids.append(
+            g.select(
+                F.lit(name).alias("stage"),
+                "bucket",
+                (b.cast("double") * step + F.col("_lo")).alias("lower"),
+                F.when(b + 1 == F.lit(n_bins), F.col("_hi")).otherwise((b + 1).cast("double") * step + F.col("_lo")).alias("upper"),
             )
         )
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    grid = grids[0]
+    for g in grids[1:]:
+        grid = grid.unionByName(g)
+    return grid.join(counts, ["stage", "bucket"], "left").select(
+        "stage", "bucket", "lower", "upper", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")
+    )

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import pad_to, round_up, trim_frames
+from ..functions.arrays import delay_pattern, pad_to, round_up, trim_frames
 
 
 def pad_batches(
@@ -88,3 +88,28 @@ def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | Non
         F.coalesce("keep", F.lit(False)).alias("keep"),
         F.coalesce("latest", F.lit(False)).alias("latest"),
     )
+
+
+def delayed_labels(df: DataFrame, codes_col: str, n_codebooks: int, bos_id: int, eos_id: int, out_col: str = "labels") -> DataFrame:
+    """ARR5 on a table."""
+    return df.withColumn(out_col, delay_pattern(F.col(codes_col), n_codebooks, bos_id, eos_id))
+
+
+def undelayed_codes(df: DataFrame, labels_col: str, n_codebooks: int, codebook_size: int, out_col: str = "codes") -> DataFrame:
+    """ARR6 on a table, in stages so each intermediate array is computed
+    once per row: strip the delay from every codebook row, find the frames
+    whose codes are all in range, keep those frames."""
+    lab = F.col(labels_col)
+    t = F.size(F.element_at(lab, 1)) - n_codebooks
+    staged = df.withColumn("_rows", F.transform(lab, lambda row, k: F.slice(row, k + 1, F.greatest(t, F.lit(0)))))
+    frames = F.size(F.element_at("_rows", 1))
+    ok = F.transform(
+        F.sequence(F.lit(1), F.greatest(frames, F.lit(1))),
+        lambda j: (frames > 0) & F.forall("_rows", lambda r: F.element_at(r, j) < codebook_size),
+    )
+    staged = staged.withColumn("_ok", ok)
+    keep = F.filter(F.sequence(F.lit(1), F.greatest(frames, F.lit(1))), lambda j: F.element_at("_ok", j))
+    staged = staged.withColumn("_keep", keep)
+    return staged.withColumn(
+        out_col, F.transform("_rows", lambda r: F.transform("_keep", lambda j: F.element_at(r, j)))
+    ).drop("_rows", "_ok", "_keep")

@@ -16,6 +16,7 @@ from ..operators import similarity as SIM
 from ..operators import speakers as SPK
 from ..operators import stats as ST
 from ..operators import tags as TG
+from ..session import materialize
 from . import bindings as bd
 from . import oracle as O
 
@@ -46,7 +47,9 @@ def _medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str):
-    med = _medians(spark, d)
+    # the medians feed the block sizing, both sides of the join and the
+    # votes restriction: compute them once
+    med = materialize(_medians(spark, d))
     src = med.where(bd.is_source(F.col("speaker")))
     tgt = med.where(~bd.is_source(F.col("speaker")))
     return propagate_intrinsic_tags(src, tgt, bd.annotations(spark, d), threshold=bd.RATING_THRESHOLD)
@@ -140,7 +143,8 @@ PROPAGATED_SQL = O.with_(
 
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     pairs, _, _, sources = _run(spark, d)
-    m = SIM.match_statistics(pairs, sources)
+    # several aggregates read the pairs: materialise them once
+    m = SIM.match_statistics(materialize(pairs), sources)
     return m.select(
         "annotated_sources",
         "sources_with_matches",

@@ -152,10 +152,9 @@ DELAY_SQL = O.with_(O.CODES) + (
 
 
 def undelay_codes(spark: SparkSession, d: str) -> DataFrame:
-    c = _codes(spark, d)
-    delayed = A.delay_pattern(F.col("labels"), bd.CODEBOOKS, bd.BOS_ID, bd.EOS_ID)
-    u = A.undelay(delayed, bd.CODEBOOKS, CODEBOOK_SIZE)
-    return c.select("id", u.alias("codes")).select("id", "codes", F.size(F.element_at("codes", 1)).cast("bigint").alias("n_frames"))
+    c = C.delayed_labels(_codes(spark, d), "labels", bd.CODEBOOKS, bd.BOS_ID, bd.EOS_ID, "delayed")
+    u = C.undelayed_codes(c, "delayed", bd.CODEBOOKS, CODEBOOK_SIZE, "codes")
+    return u.select("id", "codes", F.size(F.element_at("codes", 1)).cast("bigint").alias("n_frames"))
 
 
 def _undelay_sql() -> str:

@@ -83,3 +83,20 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df, reliable: bool = False):
+    """Compute ``df`` once for several later jobs.
+
+    Default: persisted (memory, spilling to disk) and filled by one count;
+    a lost executor recomputes only its blocks from lineage.  With
+    ``reliable=True`` the rows go to the shared checkpoint folder instead and
+    lineage is cut (long pipelines)."""
+    from pyspark import StorageLevel
+
+    if reliable:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
