@@ -94,18 +94,17 @@ def _check_steps(play_steps: int, stride: int) -> None:
         raise ValueError("need 0 < stride < play_steps")
 
 
-def chunk_emission(df: DataFrame, key: str, order_cols: list[str], item_col: str, play_steps: int = 10, stride: int = 3) -> DataFrame:
-    """STM2 batch twin: (key, item, position, chunk)."""
-    from pyspark.sql import Window
+def chunk_emission(df: DataFrame, key: str, order_cols: list[str], item_col: str, play_steps: int = 10, stride: int = 3,
+                   segments: int | None = None) -> DataFrame:
+    """STM2 batch twin: (key, item, position, chunk).  Positions come from
+    :func:`positions_within_key`, so a key holding most rows is still
+    numbered by many tasks."""
+    from ..operators.ordering import positions_within_key
 
     _check_steps(play_steps, stride)
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
-    pos = df.select(key, item_col, *[c for c in order_cols if c != item_col]).withColumn(
-        "position", (F.row_number().over(w) - 1).cast("bigint")
-    )
-    out = pos.join(totals, [key], "inner")
-    return out.select(key, item_col, "position", chunk_of(F.col("position"), F.col("_total"), play_steps, stride).alias("chunk"))
+    base = df.select(key, *dict.fromkeys([item_col, *order_cols]))
+    pos = positions_within_key(base, key, order_cols, "position", "_total", segments)
+    return pos.select(key, item_col, "position", chunk_of(F.col("position"), F.col("_total"), play_steps, stride).alias("chunk"))
 
 
 _CHUNK_STATE = T.StructType(

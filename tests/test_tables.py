@@ -123,3 +123,18 @@ def test_length_batches_respect_size(spark):
         per.setdefault((r["megabatch"], r["batch"]), []).append(r["length"])
     assert all(len(v) <= 8 for v in per.values())
     assert len(out) == 200
+
+
+def test_positions_within_key_hot_key(spark):
+    from pyspark.sql import Window
+
+    from speechtab.operators.ordering import positions_within_key
+
+    rows = [("hot", i % 97, i) for i in range(3000)] + [(f"k{j}", j, j) for j in range(50)]
+    df = spark.createDataFrame(rows, "key string, t long, id long")
+    got = positions_within_key(df, "key", ["t", "id"], "pos", "total", segments=7)
+    want = df.withColumn("pos", (F.row_number().over(Window.partitionBy("key").orderBy("t", "id")) - 1).cast("bigint"))
+    g = sorted((r["key"], r["id"], r["pos"], r["total"]) for r in got.collect())
+    w = {(r["key"], r["id"]): r["pos"] for r in want.collect()}
+    assert all(w[(k, i)] == p for k, i, p, _ in g) and len(g) == 3050
+    assert {t for k, _, _, t in g if k == "hot"} == {3000}
