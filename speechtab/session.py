@@ -24,6 +24,43 @@ _DEFAULTS = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``speechtab`` importable by the Python workers of ``spark``.
+
+    Functions that run in workers (pandas UDFs, ``mapInPandas``,
+    ``applyInPandas``) are pickled by reference to this package, so the
+    package is zipped once and added with ``addPyFile`` (Spark ships it to
+    every executor).  The zip is the driver's code artifact, built beside the
+    package sources."""
+    sc = spark.sparkContext
+    key = (id(sc), sc.applicationId)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = os.path.join(root, ".build")
+    os.makedirs(out_dir, exist_ok=True)
+    path = os.path.join(out_dir, f"speechtab-{sc.applicationId}.zip")
+    if not os.path.exists(path):
+        tmp = path + ".part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
+            for dirpath, _, files in os.walk(pkg_dir):
+                if "__pycache__" in dirpath:
+                    continue
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        zf.write(full, os.path.relpath(full, root))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "speechtab") -> SparkSession:
     """Session for tests and local benchmarks (``local[cpus]``)."""
     builder = (
@@ -41,6 +78,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_defaults(spark)
+    ship_package(spark)
     return spark
 
 
