@@ -11,6 +11,7 @@ _MODULES = [
     "evaluation",
     "signals",
     "streams",
+    "io_roundtrips",
 ]
 
 
