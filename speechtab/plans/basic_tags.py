@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binning import (
+    REVERBERATION_BINS,
     SHIPPED_BIN_EDGES,
     SHIPPED_TEXT_BINS,
     SNR_BINS,
     SPEAKER_LEVEL_PITCH_BINS,
     SPEAKER_RATE_BINS,
+    UTTERANCE_LEVEL_STD,
+    resolve_labels,
 )
 from ..operators import binning as B
 from ..operators import stats as S
@@ -143,6 +146,101 @@ SPLIT_STATS_SQL = (
 FROM tagged GROUP BY ROLLUP (split)"""
 )
 
+# ---------------------------------------------------------------------------
+# Default outlier tolerances of the basic-tag step.
+# ---------------------------------------------------------------------------
+DEFAULT_TOLERANCES = {"pitch": 2.0, "speaking_rate": 4.0, "noise": 3.5, "reverberation": 4.0, "speech_monotony": 4.0}
+# ---------------------------------------------------------------------------
+
+
+def annotate_basic_tags(
+    df: DataFrame,
+    text_bins: dict | None = None,
+    bin_edges: dict | None = None,
+    leading_split: str | None = None,
+    split_col: str = "split",
+    speaker_col: str = "speakerid",
+    gender_col: str = "gender",
+    order_col: str = "utterance_id",
+    tolerances: dict | None = None,
+    snr_lower_range: float | None = None,
+    speaking_rate_lower_range: float | None = None,
+    with_pitch: bool = True,
+) -> DataFrame:
+    """L1 in one plan: speaker-level pitch label (relative to gender) and the
+    speaking-rate, noise, reverberation and monotony labels.
+
+    ``text_bins`` uses the label-file keys (missing keys fall back to the
+    built-in seven-label lists); ``bin_edges`` uses the edge-file keys
+    (``speaking_rate``, ``noise``, ``reverberation``, ``speech_monotony``,
+    ``pitch_bins_male`` + ``pitch_bins_female``); a metric without edges has
+    them learned from the rows of the leading splits.
+    """
+    tol = dict(DEFAULT_TOLERANCES, **(tolerances or {}))
+    edges = bin_edges or {}
+    out = df
+    if with_pitch:
+        pitch_edges = None
+        if "pitch_bins_male" in edges and "pitch_bins_female" in edges:
+            pitch_edges = {"male": edges["pitch_bins_male"], "female": edges["pitch_bins_female"]}
+        out = B.speaker_pitch_labels(
+            out, resolve_labels(text_bins, "speaker_level_pitch_bins"), speaker_col, gender_col,
+            "utterance_pitch_mean", "pitch", order_col, tol["pitch"], pitch_edges,
+        )
+    plan = [
+        ("speaking_rate_value", "speaking_rate", "speaker_rate_bins", "speaking_rate", speaking_rate_lower_range),
+        ("snr", "noise", "snr_bins", "noise", snr_lower_range),
+        ("c50", "reverberation", "reverberation_bins", "reverberation", None),
+        ("utterance_pitch_std", "speech_monotony", "utterance_level_std", "speech_monotony", None),
+    ]
+    for value_col, out_col, label_key, edge_key, lower in plan:
+        labels = resolve_labels(text_bins, label_key)
+        if edge_key in edges:
+            out = B.apply_bins(out, value_col, out_col, labels, edges[edge_key])
+        else:
+            # statistics come from the input rows, not from the labelled plan
+            learned = B.learn_edges(df, value_col, len(labels), tol[out_col], lower, split_col if leading_split else None, leading_split)
+            out = B.apply_bins(out, value_col, out_col, labels, learned)
+    return out
+
+
+def basic_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    u = bd.utterances(spark, d)
+    shipped = {k: v for k, v in SHIPPED_BIN_EDGES.items()}
+    out = annotate_basic_tags(u, SHIPPED_TEXT_BINS, shipped)
+    return out.select("utterance_id", "pitch", "speaking_rate", "noise", "reverberation", "speech_monotony")
+
+
+def _basic_all_sql() -> str:
+    pitch3 = SHIPPED_TEXT_BINS["speaker_level_pitch_bins"]
+    rate3 = SHIPPED_TEXT_BINS["speaker_rate_bins"]
+    snr7 = SHIPPED_TEXT_BINS["snr_bins"]
+    m = O.case_label("s.m0", SHIPPED_BIN_EDGES["pitch_bins_male"], pitch3)
+    f = O.case_label("s.m0", SHIPPED_BIN_EDGES["pitch_bins_female"], pitch3)
+    n = 7
+    e_lo = [O.learned_edge(k, n, "r.lo", "r.hi") for k in range(n + 1)]
+    e_mo = [O.learned_edge(k, n, "mo.lo", "mo.hi") for k in range(n + 1)]
+    spk = (
+        "spk AS (SELECT speakerid, avg(CASE WHEN NOT isnan(utterance_pitch_mean) THEN utterance_pitch_mean END) AS m0,"
+        " arg_min(gender, utterance_id) FILTER (WHERE gender IS NOT NULL) AS gender FROM utterances"
+        " WHERE speakerid IS NOT NULL GROUP BY speakerid)"
+    )
+    rv = "rv AS (SELECT c50 AS v FROM utterances WHERE c50 IS NOT NULL AND NOT isnan(c50))"
+    mv = "mv AS (SELECT utterance_pitch_std AS v FROM utterances WHERE utterance_pitch_std IS NOT NULL AND NOT isnan(utterance_pitch_std))"
+    rb = O.bounds_sql("rv", 4.0, name="rbounds", stats="rst")
+    mb = O.bounds_sql("mv", 4.0, name="mbounds", stats="mst")
+    return (
+        O.with_(O.UTTERANCES, spk, rv, mv, rb, mb)
+        + "SELECT u.utterance_id, "
+        + f"CASE WHEN s.gender = 'male' THEN {m} WHEN s.gender = 'female' THEN {f} ELSE NULL END AS pitch, "
+        + f"{O.case_label('u.speaking_rate_value', SHIPPED_BIN_EDGES['speaking_rate'], rate3)} AS speaking_rate, "
+        + f"{O.case_label('u.snr', SHIPPED_BIN_EDGES['noise'], snr7)} AS noise, "
+        + f"{O.case_label('u.c50', e_lo, REVERBERATION_BINS)} AS reverberation, "
+        + f"{O.case_label('u.utterance_pitch_std', e_mo, UTTERANCE_LEVEL_STD)} AS speech_monotony "
+        + "FROM utterances u LEFT JOIN spk s USING (speakerid), rbounds r, mbounds mo"
+    )
+
+
 QUERIES = {
     "noise_labels": (noise_labels, NOISE_LABELS_SQL),
     "rate_labels_learned": (rate_labels_learned, _rate_sql()),
@@ -150,6 +248,7 @@ QUERIES = {
     "speaker_pitch_labels_fixed": (speaker_pitch_labels_fixed, _pitch_fixed_sql()),
     "value_histogram": (value_histogram, _hist_sql()),
     "split_statistics": (split_statistics, SPLIT_STATS_SQL),
+    "basic_tags_all": (basic_tags_all, _basic_all_sql()),
 }
 
 __all__ = ["QUERIES", "SNR_BINS"]

@@ -72,29 +72,26 @@ def learned_edge(k: int, n: int, lo: str = "lo", hi: str = "hi") -> str:
     return f"({k} * (({hi} - {lo}) / {float(n)}) + {lo})"
 
 
-def bounds_sql(values_cte: str, tol: float | None, group: str | None = None) -> str:
-    """SQL for min/max of kept values with the histogram range rules."""
+def bounds_sql(values_cte: str, tol: float | None, group: str | None = None, name: str = "bounds", stats: str = "st") -> str:
+    """SQL for min/max of kept values with the histogram range rules; defines
+    the CTEs ``stats`` (mean, std) and ``name`` (lo, hi)."""
     g = f"{group}, " if group else ""
     if tol is None:
         kept = f"SELECT {g}v FROM {values_cte}"
     else:
-        join = f"JOIN st USING ({group})" if group else ", st"
-        kept = (
-            f"SELECT {g}v FROM {values_cte} {join} WHERE abs(v - m) < {float(tol)} * s"
-        )
-    stats = f"st AS (SELECT {g}avg(v) AS m, stddev_pop(v) AS s FROM {values_cte} {'GROUP BY ' + group if group else ''})"
+        join = f"JOIN {stats} USING ({group})" if group else f", {stats}"
+        kept = f"SELECT {g}v FROM {values_cte} {join} WHERE abs(v - m) < {float(tol)} * s"
+    stats_cte = f"{stats} AS (SELECT {g}avg(v) AS m, stddev_pop(v) AS s FROM {values_cte} {'GROUP BY ' + group if group else ''})"
     grp = f"GROUP BY {group}" if group else ""
     raw = f"SELECT {g}min(v) AS lo0, max(v) AS hi0, count(*) AS n FROM ({kept}) {grp}"
     if group:
         raw = f"SELECT g.{group}, r.lo0, r.hi0, coalesce(r.n, 0) AS n FROM (SELECT DISTINCT {group} FROM {values_cte}) g LEFT JOIN ({raw}) r USING ({group})"
-    b = (
-        f"SELECT {g}CASE WHEN n = 0 THEN 0.0 ELSE lo0 END AS lo1, CASE WHEN n = 0 THEN 1.0 ELSE hi0 END AS hi1 FROM ({raw})"
-    )
+    b = f"SELECT {g}CASE WHEN n = 0 THEN 0.0 ELSE lo0 END AS lo1, CASE WHEN n = 0 THEN 1.0 ELSE hi0 END AS hi1 FROM ({raw})"
     final = (
-        f"bounds AS (SELECT {g}CASE WHEN lo1 = hi1 THEN lo1 - 0.5 ELSE lo1 END AS lo, "
+        f"{name} AS (SELECT {g}CASE WHEN lo1 = hi1 THEN lo1 - 0.5 ELSE lo1 END AS lo, "
         f"CASE WHEN lo1 = hi1 THEN hi1 + 0.5 ELSE hi1 END AS hi FROM ({b}))"
     )
-    return stats + ",\n" + final
+    return stats_cte + ",\n" + final
 
 
 __all__ = [

@@ -30,12 +30,16 @@ def propagate_intrinsic_tags(
     min_annotations: int = 2,
 ):
     """L2 core.  ``*_medians``: (speaker, median) normalised; ``annotations``:
-    (name, tag) votes.  Returns (pairs, best-with-tags, votes, sources)."""
+    (name, tag) votes.  Returns (pairs, best-with-tags, votes, sources).
+
+    The two sides are materialised once: they are counted to size the
+    similarity blocks and then read by the join."""
     votes = TG.tag_votes(annotations, min_annotations)
     sources = TG.restrict_to(
         source_medians.select(F.col("speaker").alias("name"), F.col("median").alias("vec")), votes.select("name"), "name"
     ).select(F.col("name").alias("source"), F.col("name").alias("source_order"), "vec")
     targets = target_medians.select(F.col("speaker").alias("target"), F.col("median").alias("vec"))
+    sources, targets = materialize(sources), materialize(targets)
     pairs = SIM.similar_pairs(sources, targets, threshold, max_similar)
     best = SIM.best_source(pairs)
     tagged = TG.attach_parent_tags(best, votes)
@@ -47,9 +51,7 @@ def _medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str):
-    # the medians feed the block sizing, both sides of the join and the
-    # votes restriction: compute them once
-    med = materialize(_medians(spark, d))
+    med = _medians(spark, d)
     src = med.where(bd.is_source(F.col("speaker")))
     tgt = med.where(~bd.is_source(F.col("speaker")))
     return propagate_intrinsic_tags(src, tgt, bd.annotations(spark, d), threshold=bd.RATING_THRESHOLD)
