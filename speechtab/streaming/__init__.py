@@ -26,6 +26,20 @@ def file_stream(spark: SparkSession, folder: str, name_glob: str, schema: T.Stru
     return r.parquet(folder)
 
 
+def interleave_streams(streams: list[DataFrame], names: list[str] | None = None, name_col: str = "source") -> DataFrame:
+    """STM1: several sources read as one stream (union by column name), each
+    row tagged with its source; rows interleave as their files arrive."""
+    parts = list(streams)
+    if names is not None:
+        if len(names) != len(parts):
+            raise ValueError("one name per stream")
+        parts = [s.withColumn(name_col, F.lit(n)) for s, n in zip(parts, names)]
+    out = parts[0]
+    for s in parts[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)

@@ -43,3 +43,19 @@ def test_enrich_capture(spark):
     got = {r["id"]: (r["n"], r["error"]) for r in enrich(df, factory, ["t"], schema, keep_cols=["id"], on_error="capture").collect()}
     assert got[1] == (7, None) and got[3] == (0, None)
     assert got[2][0] is None and got[2][1].startswith("ValueError")
+
+
+def test_interleave_two_file_streams(spark):
+    import tempfile
+
+    from speechtab.streaming import file_stream, interleave_streams, run_append, scratch_dir
+
+    base = tempfile.mkdtemp(prefix="speechtab-streams-")
+    spark.createDataFrame([(1, "x")], "id long, t string").write.parquet(f"{base}/a")
+    spark.createDataFrame([(2, 0.5)], "id long, v double").write.parquet(f"{base}/b")
+    a = file_stream(spark, f"{base}/a", "*.parquet", T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.StringType())]))
+    b = file_stream(spark, f"{base}/b", "*.parquet", T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())]))
+    out = scratch_dir(spark, "interleave")
+    run_append(interleave_streams([a, b], ["a", "b"]), out + "/t", out + "/c")
+    rows = sorted((r["source"], r["id"], r["t"], r["v"]) for r in spark.read.parquet(out + "/t").collect())
+    assert rows == [("a", 1, "x", None), ("b", 2, None, 0.5)]
