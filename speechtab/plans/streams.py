@@ -73,8 +73,9 @@ SELECT user_id, event_id, position, CAST(least(floor((position + {STRIDE}) / {PL
 
 
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Events arrive in two files (earlier and later half by time) and a
-    third with one end row per user; state carries the held-back items."""
+    """Events arrive in two files (earlier and later half by time, the
+    second also holding one end row per user), one micro-batch each; state
+    carries the held-back items from the first batch to the second."""
     e = bd.table(spark, d, "events").select(
         "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("is_end")
     )
@@ -85,8 +86,7 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     folder = STM.scratch_dir(spark, "stream-chunks")
     src = folder + "/input"
     e.where(F.unix_micros("ts") <= mid).coalesce(1).write.parquet(src + "/a")
-    e.where(F.unix_micros("ts") > mid).coalesce(1).write.parquet(src + "/b")
-    ends.coalesce(1).write.parquet(src + "/c")
+    e.where(F.unix_micros("ts") > mid).unionByName(ends).coalesce(1).write.parquet(src + "/b")
     schema = T.StructType(
         [
             T.StructField("user_id", T.LongType()),
