@@ -38,22 +38,23 @@ def leading_slice(samples: Column, seconds: float, sampling_rate: Column) -> Col
     return F.slice(samples, 1, n)
 
 
-def eval_crops(samples: Column, max_frames: int, num_eval: int = 10) -> Column:
-    """ARR3: wrap-pad a short clip to ``max_frames*160+240 + 1`` samples and
-    take ``num_eval`` evenly spaced crops of ``max_frames*160+240`` samples
-    (``max_frames=0`` keeps the whole clip as the single crop)."""
-    if max_frames == 0:
-        return F.array(samples)
+def wrap_pad(samples: Column, max_frames: int) -> Column:
+    """ARR3 first step: a clip no longer than ``max_frames*160+240`` samples
+    is extended cyclically to that length + 1 (numpy 'wrap' padding)."""
     max_audio = max_frames * 160 + 240
     size = F.size(samples)
     reps = F.floor(F.lit(max_audio + 1) / size).cast("int") + 1
-    # numpy 'wrap' padding appends the clip cyclically
-    padded = F.when(
+    return F.when(
         size <= max_audio,
         F.slice(F.flatten(F.array_repeat(samples, reps)), 1, F.lit(max_audio + 1)),
     ).otherwise(samples)
-    psize = F.size(padded)
-    span = psize - max_audio
+
+
+def crops_of_padded(padded: Column, max_frames: int, num_eval: int = 10) -> Column:
+    """ARR3 second step: ``num_eval`` evenly spaced crops of
+    ``max_frames*160+240`` samples from an already padded clip."""
+    max_audio = max_frames * 160 + 240
+    span = F.size(padded) - max_audio
     # evenly spaced float starts (last one exactly at the end), truncated
     step = span.cast("double") / F.lit(float(max(num_eval - 1, 1)))
     starts = F.transform(
@@ -63,3 +64,21 @@ def eval_crops(samples: Column, max_frames: int, num_eval: int = 10) -> Column:
         else F.lit(0),
     )
     return F.transform(starts, lambda s0: F.slice(padded, s0 + 1, F.lit(max_audio)))
+
+
+def eval_crops(samples: Column, max_frames: int, num_eval: int = 10) -> Column:
+    """ARR3: wrap-pad a short clip to ``max_frames*160+240 + 1`` samples and
+    take ``num_eval`` evenly spaced crops of ``max_frames*160+240`` samples
+    (``max_frames=0`` keeps the whole clip as the single crop).  On tables
+    prefer :func:`crops_table`, which pads once per row."""
+    if max_frames == 0:
+        return F.array(samples)
+    return crops_of_padded(wrap_pad(samples, max_frames), max_frames, num_eval)
+
+
+def crops_table(df, samples_col: str, max_frames: int, num_eval: int = 10, out_col: str = "crops"):
+    """ARR3 on a table, padding each clip once before cutting the crops."""
+    if max_frames == 0:
+        return df.withColumn(out_col, F.array(F.col(samples_col)))
+    staged = df.withColumn("_padded", wrap_pad(F.col(samples_col), max_frames))
+    return staged.withColumn(out_col, crops_of_padded(F.col("_padded"), max_frames, num_eval)).drop("_padded")

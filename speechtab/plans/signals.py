@@ -105,8 +105,8 @@ SELECT id, CASE WHEN peak > 0 THEN list_transform(s, lambda x: round(x * CAST({_
 
 
 def clip_crops(spark: SparkSession, d: str) -> DataFrame:
-    c = bd.clips(spark, d)
-    crops = c.select("id", F.posexplode(AU.eval_crops(F.col("samples"), CROP_FRAMES, CROP_COUNT)).alias("crop_no", "crop"))
+    c = AU.crops_table(bd.clips(spark, d), "samples", CROP_FRAMES, CROP_COUNT)
+    crops = c.select("id", F.posexplode("crops").alias("crop_no", "crop"))
     return crops.select(
         "id", F.col("crop_no").cast("bigint").alias("crop_no"), F.size("crop").cast("bigint").alias("n"), _sum(F.col("crop")).alias("total")
     )

@@ -69,3 +69,11 @@ def test_json_rows_and_run_args(spark, tmp):
     assert sorted(tuple(r) for r in spark.read.schema("k string, v string").json(f"{tmp}/j").collect()) == [("t1", "p1"), ("t2", "p2")]
     IO.write_run_arguments(spark, {"checkpoint_every": 100, "seed": None}, f"{tmp}/args")
     assert spark.read.json(f"{tmp}/args").count() == 1
+
+
+def test_load_many_tags_source_and_split(spark, tmp):
+    spark.createDataFrame([(1, "train"), (2, "dev")], "id long, split string").write.parquet(f"{tmp}/a")
+    spark.createDataFrame([(3, "x")], "id long, text string").write.parquet(f"{tmp}/b")
+    specs = IO.split_spec("a+b", splits="dev+train")
+    got = sorted((r["source"], r["id"], r["split"], r["text"]) for r in IO.load_many(spark, specs, root=tmp).collect())
+    assert got == [("a", 2, "dev", None), ("b", 3, "train", "x")]
