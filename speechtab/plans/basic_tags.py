@@ -9,7 +9,6 @@ from ..functions.binning import (
     REVERBERATION_BINS,
     SHIPPED_BIN_EDGES,
     SHIPPED_TEXT_BINS,
-    SNR_BINS,
     SPEAKER_LEVEL_PITCH_BINS,
     SPEAKER_RATE_BINS,
     UTTERANCE_LEVEL_STD,
@@ -251,4 +250,3 @@ QUERIES = {
     "basic_tags_all": (basic_tags_all, _basic_all_sql()),
 }
 
-__all__ = ["QUERIES", "SNR_BINS"]

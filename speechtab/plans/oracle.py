@@ -10,9 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from .bindings import (
-    BOS_ID,
     CODEBOOKS,
-    EOS_ID,
     FRAMES,
     LABEL_TAGS,
     SOURCE_EVERY,
@@ -99,8 +97,6 @@ __all__ = [
     "SPEAKER_EMBEDDINGS",
     "ANNOTATIONS",
     "CODES",
-    "BOS_ID",
-    "EOS_ID",
     "with_",
     "case_label",
     "learned_edge",

@@ -3,7 +3,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from speechtab.schema import MANIFEST
 from speechtab.sources import io as IO

@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from speechtab.operators import codes as C
 from speechtab.operators import evaluation as EV

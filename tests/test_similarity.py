@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from speechtab.operators import similarity as SIM
 from speechtab.operators import tags as TG

@@ -1,5 +1,4 @@
 import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechtab.operators.enrich import enrich
