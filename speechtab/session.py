@@ -35,7 +35,10 @@ def ship_package(spark: SparkSession) -> None:
     package is zipped once and added with ``addPyFile`` (Spark ships it to
     every executor).  The zip is the driver's code artifact, built beside the
     package sources."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no context to ship through
+        return
     key = (id(sc), sc.applicationId)
     if key in _SHIPPED:
         return
@@ -117,8 +120,12 @@ def spread(df, min_partitions: int | None = None):
     per-row work.  A no-op on large inputs, whose scans already have many
     splits; planning only, no job is run to decide."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave as is
+        return df
+    if have < target:
         return df.repartition(target)
     return df
 
