@@ -4,7 +4,9 @@ A plain ``row_number() over (partition by key order by ...)`` sorts each
 key's rows in one task.  Here the rows are range-partitioned on
 (key, order...) so a hot key is cut into several contiguous segments; each
 segment is numbered locally, and per-segment counts (a table of at most
-keys + segments rows) give each segment's offset.
+keys + segments rows) give each segment's offset.  Both read the same range
+shuffle (Spark reuses the identical exchange; when exchange reuse is switched
+off the segmented rows are materialised once instead).
 """
 
 from __future__ import annotations
@@ -17,25 +19,33 @@ from pyspark.sql import functions as F
 
 def positions_within_key(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     order_cols: Sequence[str],
     out_col: str = "position",
     total_col: str | None = None,
     segments: int | None = None,
 ) -> DataFrame:
-    """Add ``out_col``: 0-based position of each row inside its key, ordered
-    by ``order_cols`` (which must make the order total), and optionally the
-    key's row count as ``total_col``."""
+    """Add ``out_col``: 0-based position of each row inside its key (one
+    column or several), ordered by ``order_cols``, and optionally the key's
+    row count as ``total_col``.  Rows that tie on the order get distinct
+    positions in an unspecified order."""
+    keys = [key] if isinstance(key, str) else list(key)
     spark = df.sparkSession
     n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seg = df.repartitionByRange(n, key, *order_cols).withColumn("_seg", F.spark_partition_id())
-    local = seg.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_seg").orderBy(*order_cols)) - 1)
-    counts = seg.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    seg = df.repartitionByRange(n, *keys, *order_cols).withColumn("_seg", F.spark_partition_id())
+    if str(spark.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
+        # the numbering and the counts must read the same range shuffle;
+        # without exchange reuse, pin it once
+        from ..session import materialize
+
+        seg = materialize(seg)
+    local = seg.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order_cols)) - 1)
+    counts = seg.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    cols = [key, "_seg", "_off"]
+    cols = [*keys, "_seg", "_off"]
     if total_col is not None:
-        offs = offs.withColumn(total_col, F.sum("_c").over(Window.partitionBy(key)))
+        offs = offs.withColumn(total_col, F.sum("_c").over(Window.partitionBy(*keys)))
         cols.append(total_col)
-    out = local.join(offs.select(*cols), [key, "_seg"], "inner")
+    out = local.join(offs.select(*cols), [*keys, "_seg"], "inner")
     return out.withColumn(out_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_seg", "_off", "_local")

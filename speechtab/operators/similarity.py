@@ -44,8 +44,17 @@ def _median_small(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def _median_exploded(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Exact per-dimension median for large groups without gathering a group:
+    the (key, dimension) values are ranked by range segments and only the one
+    or two middle values are kept and averaged."""
+    from .ordering import positions_within_key
+
     ex = df.select(key, F.posexplode(as_double_array(F.col(vec))).alias("_dim", "_x"))
-    med = ex.groupBy(key, "_dim").agg(F.median("_x").alias("_m"))
+    ranked = positions_within_key(ex, [key, "_dim"], ["_x"], "_pos", "_n")
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.floor(F.col("_n") / 2)
+    mid = ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
+    med = mid.groupBy(key, "_dim").agg(F.avg("_x").alias("_m"))
     return med.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_dim", "_m"))).alias("_s")).select(
         key, F.transform("_s", lambda s: s["_m"]).alias("median")
     )
@@ -57,8 +66,9 @@ def median_vectors(df: DataFrame, key: str = "speaker", vec: str = "embedding",
 
     Groups of at most ``small_group_rows`` rows (the manifest samples a fixed
     number per speaker) are collected and sorted per dimension in one row;
-    bigger groups use an exploded exact median, so no group is ever gathered
-    whole into one array.  ``small_group_rows=None`` skips the size split (use
+    bigger groups go through a range-segmented rank per dimension (exact, and
+    a hot speaker is spread over many tasks), so no group is ever gathered
+    whole into one array or one aggregation buffer.  ``small_group_rows=None`` skips the size split (use
     only when the input is known to be bounded per group).
     """
     require_columns(df, [key, vec])
