@@ -138,3 +138,15 @@ def test_positions_within_key_hot_key(spark):
     w = {(r["key"], r["id"]): r["pos"] for r in want.collect()}
     assert all(w[(k, i)] == p for k, i, p, _ in g) and len(g) == 3050
     assert {t for k, _, _, t in g if k == "hot"} == {3000}
+
+
+def test_positions_without_exchange_reuse(spark):
+    from speechtab.operators.ordering import positions_within_key
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1)], "key string, t long")
+        got = sorted((r["key"], r["t"], r["pos"]) for r in positions_within_key(df, "key", ["t"], "pos", segments=5).collect())
+        assert [p for k, t, p in got if k == "a"] == list(range(500)) and ("b", 1, 0) in got
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
