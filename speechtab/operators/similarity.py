@@ -165,11 +165,17 @@ def similar_pairs(
         .cogroup(s.groupBy("tb", "sb"))
         .applyInPandas(_block_pairs_fn(float(threshold), top_k, float(max_label)), schema=schema)
     )
-    w = Window.partitionBy("source").orderBy(F.col("score").desc(), F.col("target").asc())
-    ranked = cells.withColumn("rank", F.row_number().over(w))
     if top_k is not None:
-        ranked = ranked.where(F.col("rank") <= top_k)
-    return ranked
+        # row_number() <= k: Spark keeps only k rows per source in every map
+        # task (WindowGroupLimit) before the shuffle
+        w = Window.partitionBy("source").orderBy(F.col("score").desc(), F.col("target").asc())
+        return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    # no cap: ranks by range segments, so a source matching most targets is
+    # still ranked by many tasks
+    from .ordering import positions_within_key
+
+    ranked = positions_within_key(cells.withColumn("_neg", -F.col("score")), "source", ["_neg", "target"], "_pos")
+    return ranked.withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_neg", "_pos")
 
 
 def best_source(pairs: DataFrame) -> DataFrame:

@@ -46,6 +46,10 @@ def test_similar_pairs_equal_brute_force_with_topk_and_blocks(spark):
     tgt = [(100 + j, t_m[j]) for j in range(40)]
     sources = spark.createDataFrame([(s, o, [float(x) for x in v]) for s, o, v in src], "source long, source_order long, vec array<double>")
     targets = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in tgt], "target long, vec array<double>")
+    everything = _brute(src, tgt, 2.0, 10**6)
+    got = SIM.similar_pairs(sources, targets, 2.0, top_k=None, source_blocks=2, target_blocks=3)
+    got = sorted((r["source"], r["target"], r["score"], r["rank"]) for r in got.collect())
+    assert [(a, b, round(c, 9), d) for a, b, c, d in got] == [(a, b, round(c, 9), d) for a, b, c, d in everything]
     want = _brute(src, tgt, 2.0, 3)
     for sb, tb in [(None, None), (3, 4), (2, 7)]:
         got = SIM.similar_pairs(sources, targets, 2.0, top_k=3, source_blocks=sb, target_blocks=tb)
