@@ -108,6 +108,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not str(sc.master).startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a shared folder (e.g. on the cluster file system) for "
+            "checkpoints and stream state; a machine-local folder is only used in local mode"
+        )
     local = tempfile.mkdtemp(prefix="speechtab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
