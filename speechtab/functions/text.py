@@ -3,6 +3,8 @@ word-level edit distance (STR4), tokens (STR5), segment names (STR6)."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ def basic_normalize(text: Column) -> Column:
     s = F.lower(text)
     s = F.regexp_replace(s, "[<\\[][^>\\]]*[>\\]]", "")
     s = F.regexp_replace(s, "\\(([^)]+?)\\)", "")
-    s = F.regexp_replace(s, "[\\p{M}\\p{S}\\p{P}]", " ")
-    s = F.lower(s)
-    return F.regexp_replace(s, "\\s+", " ")
+    # marks, symbols and punctuation become spaces and whitespace runs one
+    # space, in a single pass (lower-casing again in between changes nothing:
+    # the text is already lower case)
+    return F.regexp_replace(s, "[\\p{M}\\p{S}\\p{P}\\s]+", " ")
 
 
 def words(text: Column) -> Column:
@@ -89,6 +92,29 @@ def word_edits(ref_words: list, hyp_words: list) -> int:
     return dist
 
 
+# the JVM's \\s: words split the same on both sides of the Arrow boundary
+_JVM_SPACE = re.compile("[ \\t\\n\\x0b\\f\\r]+")
+
+
+def _split(text) -> list:
+    return [w for w in _JVM_SPACE.split(text) if w] if isinstance(text, str) else []
+
+
+@F.pandas_udf(T.LongType())
+def _text_edit_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([word_edits(_split(r), _split(h)) for r, h in zip(ref, hyp)], dtype="int64")
+
+
+_text_edit_once = _text_edit_udf.asNondeterministic()
+
+
+def text_edit_distance(ref_text: Column, hyp_text: Column) -> Column:
+    """STR4 on whole texts: word-level edit distance, words split on
+    whitespace exactly as :func:`words` splits them (strings cross the Arrow
+    boundary, which is more compact than word arrays)."""
+    return _text_edit_once(ref_text, hyp_text)
+
+
 @F.pandas_udf(T.LongType())
 def _word_edit_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     out = [

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basic_normalize, word_edit_distance, words
+from ..functions.text import basic_normalize, text_edit_distance, words
 from ..functions.vectors import as_double_array, cosine
 from ..schema import require_columns
 
@@ -27,11 +27,10 @@ def word_error_rows(
     hyp = basic_normalize(F.coalesce(F.col(hyp_col), F.lit(""))) if normalize else F.coalesce(F.col(hyp_col), F.lit(""))
     # words are split in the JVM; the filter uses only native expressions so
     # it never re-runs the Python step wherever Catalyst moves it
-    out = df.withColumn("_rw", words(ref)).withColumn("_hw", words(hyp))
-    out = out.withColumn("edits", word_edit_distance(F.col("_rw"), F.col("_hw"))).where(F.size("_rw") > 0)
-    return out.withColumn("ref_words", F.size("_rw").cast("bigint")).withColumn(
-        "hyp_words", F.size("_hw").cast("bigint")
-    ).drop("_rw", "_hw")
+    out = df.withColumn("_r", ref).withColumn("_h", hyp)
+    out = out.withColumn("edits", text_edit_distance(F.col("_r"), F.col("_h")))
+    out = out.withColumn("ref_words", F.size(words(F.col("_r"))).cast("bigint")).where(F.col("ref_words") > 0)
+    return out.withColumn("hyp_words", F.size(words(F.col("_h"))).cast("bigint")).drop("_r", "_h")
 
 
 def corpus_wer(rows: DataFrame) -> DataFrame:
