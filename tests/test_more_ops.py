@@ -11,7 +11,7 @@ from speechtab.operators import stats as ST
 def test_split_statistics_rollup(spark):
     rows = [
         ("dev", "a", 3600.0, ["Deep"], None),
-        ("dev", "b", 1800.0, None, ["whisper"]),
+        ("dev", "b", 1800.0, None, ["hushed"]),
         ("train", "a", 7200.0, ["Deep"], ["loud"]),
     ]
     df = spark.createDataFrame(
