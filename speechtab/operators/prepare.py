@@ -74,17 +74,14 @@ def _norm_root(root: str) -> str:
     return ("/" if root.startswith("/") else "") + "/".join(parts)
 
 
-def _join_path(root: str, rel: Column) -> Column:
-    """root / rel with path-object normalisation; the regular expressions
-    run only on relative paths that need them."""
-    root = _norm_root(root)
-    prefix = root if root in ("", "/") else root + "/"
-    plain = F.concat(F.lit(prefix), rel)
-    needs = rel.contains("//") | rel.contains("/./") | rel.startswith("./") | rel.endswith("/") | rel.endswith("/.") | (rel == ".")
-    fixed = F.regexp_replace(F.regexp_replace(F.concat(F.lit(prefix), rel), "/(\\./)+", "/"), "/+", "/")
+def _normalize_path(path: Column) -> Column:
+    """Path-object normalisation of a joined path: repeated separators, "."
+    components and a trailing separator go.  The regular expressions run
+    only on paths that contain such parts."""
+    needs = path.contains("//") | path.contains("/./") | path.endswith("/") | path.endswith("/.")
+    fixed = F.regexp_replace(F.regexp_replace(path, "/(\\./)+", "/"), "/+", "/")
     fixed = F.regexp_replace(F.regexp_replace(fixed, "/\\.$", ""), "(.)/$", "$1")
-    joined = F.when(needs, fixed).otherwise(plain)
-    return F.when(rel.startswith("/"), F.when(needs, F.regexp_replace(F.regexp_replace(rel, "/(\\./)+", "/"), "/+", "/")).otherwise(rel)).otherwise(joined)
+    return F.when(needs, fixed).otherwise(path)
 
 
 def add_audio_paths(
@@ -96,19 +93,23 @@ def add_audio_paths(
     out_col: str = "audio_path",
 ) -> DataFrame:
     """PRJ3: ``out_col`` = root(source) / relative path; an unknown source
-    fails the job.  The mapping is a literal CASE (the user passes it), so no
-    join is needed."""
+    fails the job.  The mapping is a literal CASE choosing the (driver-side
+    normalised) root prefix, so no join is needed; an absolute relative path
+    replaces the root, as with path objects."""
     if len(sources) != len(roots):
         raise ValueError("Number of sources must match number of root directories")
     src = F.col(source_col)
     rel = F.col(rel_col)
-    expr = None
-    for s, r in zip(sources, roots):
-        branch = _join_path(r, rel)
-        expr = F.when(src == F.lit(s), branch) if expr is None else expr.when(src == F.lit(s), branch)
-    err = F.raise_error(F.concat(F.lit("Unknown source dataset: "), F.coalesce(src.cast("string"), F.lit("NULL"))))
-    expr = err.cast("string") if expr is None else expr.otherwise(err.cast("string"))
-    return df.withColumn(out_col, expr)
+    prefix = None
+    for s_, r in zip(sources, roots):
+        root = _norm_root(r)
+        p = F.lit(root if root in ("", "/") else root + "/")
+        prefix = F.when(src == F.lit(s_), p) if prefix is None else prefix.when(src == F.lit(s_), p)
+    err = F.raise_error(F.concat(F.lit("Unknown source dataset: "), F.coalesce(src.cast("string"), F.lit("NULL")))).cast("string")
+    path = F.when(rel.startswith("/"), rel).otherwise(F.concat(prefix, rel))
+    joined = F.when(src.isin(list(sources)), path).otherwise(err) if sources else err
+    # two steps, so the joined path is built once and then only inspected
+    return df.withColumn(out_col, joined).withColumn(out_col, _normalize_path(F.col(out_col)))
 
 
 def missing_paths(df: DataFrame, listing: DataFrame, path_col: str = "audio_path", listing_col: str = "path") -> DataFrame:

@@ -24,7 +24,7 @@ SAMPLE_RATE = 16000
 
 def _with_paths(spark: SparkSession, d: str) -> DataFrame:
     u = bd.utterances(spark, d).withColumn(
-        "relative_audio_path", F.format_string("%d/%d.wav", F.col("speakerid"), F.col("utterance_id"))
+        "relative_audio_path", F.concat(F.col("speakerid").cast("string"), F.lit("/"), F.col("utterance_id").cast("string"), F.lit(".wav"))
     )
     return P.add_audio_paths(u, PATH_SOURCES, PATH_ROOTS)
 
@@ -56,7 +56,7 @@ def missing_paths(spark: SparkSession, d: str) -> DataFrame:
     p = _with_paths(spark, d)
     # the file listing: clips whose value is above 5 exist on disk
     listing = bd.utterances(spark, d).where(F.col("snr") > 5).withColumn(
-        "relative_audio_path", F.format_string("%d/%d.wav", F.col("speakerid"), F.col("utterance_id"))
+        "relative_audio_path", F.concat(F.col("speakerid").cast("string"), F.lit("/"), F.col("utterance_id").cast("string"), F.lit(".wav"))
     )
     listing = P.add_audio_paths(listing, PATH_SOURCES, PATH_ROOTS).select(F.col("audio_path").alias("path"))
     return P.missing_paths(p, listing).select("utterance_id", "audio_path")
