@@ -46,6 +46,12 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(strip_both(text), F.lit("(\\w+|[^\\w\\s])"), 1)
 
 
+def count_tokens(text: Column) -> Column:
+    """STR5 count only: how many tokens :func:`simple_tokens` would return,
+    without building the token array."""
+    return F.regexp_count(strip_both(text), F.lit("(\\w+|[^\\w\\s])"))
+
+
 def segment_file_name(filename: Column, channel: Column, start: Column, end: Column) -> Column:
     """STR6: ``{file}_{channel}_segment_{start}_{end}.wav`` (floats as Python
     prints them, e.g. ``0.5``, ``2.0``)."""

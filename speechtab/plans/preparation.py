@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_prompt, simple_tokens
+from ..functions.text import clean_prompt, count_tokens
 from ..operators import prepare as P
 from ..operators import speakers as SPK
 from ..session import spread
@@ -103,13 +103,13 @@ def prepared_table(spark: SparkSession, d: str) -> DataFrame:
         (F.col("n_chars") * 160).alias("target_length"),
     )
     t = P.text_shorter_than(t, "description", 500)
-    t = t.withColumn("prompt_tokens", simple_tokens(F.col("prompt")))
     t = P.length_in_range(t, "target_length", 2.0, 30.0, SAMPLE_RATE)
+    t = t.withColumn("prompt_tokens", count_tokens(F.col("prompt")))
     t = P.tokens_below(t, "prompt_tokens", 600)
     return t.select(
         "id",
         F.length("prompt").cast("bigint").alias("prompt_chars"),
-        F.size("prompt_tokens").cast("bigint").alias("prompt_tokens"),
+        F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.length("description").cast("bigint").alias("description_chars"),
         F.col("target_length").cast("bigint").alias("target_length"),
     )
