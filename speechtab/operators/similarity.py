@@ -37,8 +37,12 @@ def _median_small(df: DataFrame, key: str, vec: str) -> DataFrame:
     per_dim = F.transform(
         F.sequence(F.lit(0), d - 1), lambda i: F.array_sort(F.transform("_vs", lambda v: v[i]))
     )
+    # a NaN anywhere in a dimension makes that median NaN (as numpy does)
     mid = F.transform(
-        "_sorted", lambda s: (s[F.floor((n - 1) / 2).cast("int")] + s[F.floor(n / 2).cast("int")]) / 2.0
+        "_sorted",
+        lambda s: F.when(F.exists(s, lambda x: F.isnan(x)), F.lit(float("nan"))).otherwise(
+            (s[F.floor((n - 1) / 2).cast("int")] + s[F.floor(n / 2).cast("int")]) / 2.0
+        ),
     )
     return vs.withColumn("_sorted", per_dim).select(key, mid.alias("median"))
 
@@ -55,6 +59,11 @@ def _median_exploded(df: DataFrame, key: str, vec: str) -> DataFrame:
     hi = F.floor(F.col("_n") / 2)
     mid = ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
     med = mid.groupBy(key, "_dim").agg(F.avg("_x").alias("_m"))
+    # NaN sorts last, so the middle may miss it; numpy gives NaN when any is present
+    nan_dims = ex.where(F.isnan("_x")).select(key, "_dim").distinct().withColumn("_nan", F.lit(True))
+    med = med.join(nan_dims, [key, "_dim"], "left").select(
+        key, "_dim", F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("_m")).alias("_m")
+    )
     return med.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_dim", "_m"))).alias("_s")).select(
         key, F.transform("_s", lambda s: s["_m"]).alias("median")
     )

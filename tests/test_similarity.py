@@ -83,3 +83,13 @@ def test_pair_scores_use_crop_means(spark):
     r = SIM.pair_scores(pairs, crops, full).collect()[0]
     # crop pairs: (1,0).(1,0)=1, (0,1).(1,0)=0 -> mean 0.5; full: 0 -> score 0.25 -> 5*0.25+1
     assert abs(r["score"] - 2.25) < 1e-12
+
+
+def test_median_with_nan_like_numpy(spark):
+    rows = [(1, [1.0, float("nan")]), (1, [2.0, 5.0]), (1, [3.0, 6.0])]
+    rows += [(2, [float(i), float("nan") if i == 3 else float(i)]) for i in range(SIM.SMALL_GROUP_ROWS + 5)]
+    df = spark.createDataFrame(rows, "speaker long, embedding array<double>")
+    got = {r["speaker"]: r["median"] for r in SIM.median_vectors(df, normalize=False).collect()}
+    for g in (1, 2):
+        m = np.median(np.array([v for k, v in rows if k == g]), axis=0)
+        assert all((np.isnan(a) and np.isnan(b)) or a == b for a, b in zip(got[g], m)), (g, got[g], m)
