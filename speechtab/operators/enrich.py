@@ -19,6 +19,16 @@ from ..schema import require_columns
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def _accepts_argument(fn) -> bool:
+    import inspect
+
+    try:
+        params = [p for p in inspect.signature(fn).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    except (TypeError, ValueError):
+        return False
+    return len(params) >= 1
+
+
 def enrich(
     df: DataFrame,
     factory: Callable[[], Scorer],
@@ -30,6 +40,9 @@ def enrich(
 ) -> DataFrame:
     """UDF1 (+ UDF3): ``keep_cols`` + scorer outputs for every row.
 
+    ``factory`` is called once per task, with the task's ``TaskContext`` when
+    it takes an argument (partition id, assigned resources such as GPUs).
+
     ``factory()`` returns a callable mapping a pandas batch of
     ``input_cols`` to a pandas DataFrame with the ``output_schema`` columns
     (same row count).  ``on_error="capture"`` adds a string ``error`` column:
@@ -50,8 +63,17 @@ def enrich(
     schema = T.StructType(fields)
     carry = [c for c in keep]
 
+    takes_context = _accepts_argument(factory)
+
     def run(batches):
-        scorer = factory()
+        if takes_context:
+            # the task's context: partition id and the resources (e.g. GPU
+            # addresses) Spark assigned to this task, for device placement
+            from pyspark import TaskContext
+
+            scorer = factory(TaskContext.get())
+        else:
+            scorer = factory()
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[start : start + batch_rows]

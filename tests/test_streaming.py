@@ -58,3 +58,19 @@ def test_interleave_two_file_streams(spark):
     run_append(interleave_streams([a, b], ["a", "b"]), out + "/t", out + "/c")
     rows = sorted((r["source"], r["id"], r["t"], r["v"]) for r in spark.read.parquet(out + "/t").collect())
     assert rows == [("a", 1, "x", None), ("b", 2, None, 0.5)]
+
+
+def test_enrich_factory_gets_task_context(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string").repartition(2)
+
+    def factory(ctx):
+        pid = ctx.partitionId()
+
+        def score(pdf):
+            return pd.DataFrame({"part": [pid] * len(pdf)})
+
+        return score
+
+    schema = T.StructType([T.StructField("part", T.IntegerType())])
+    parts = {r["part"] for r in enrich(df, factory, ["t"], schema, keep_cols=["id"]).collect()}
+    assert parts <= {0, 1} and len(parts) >= 1
