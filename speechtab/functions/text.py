@@ -27,8 +27,10 @@ def basic_normalize(text: Column) -> Column:
     space; whitespace runs become one space.  (Unicode NFKC folding, which
     the original applies first, has no Spark built-in and is not applied.)"""
     s = F.lower(text)
-    s = F.regexp_replace(s, "[<\\[][^>\\]]*[>\\]]", "")
-    s = F.regexp_replace(s, "\\(([^)]+?)\\)", "")
+    # the bracket patterns only run on texts that hold an opening bracket
+    has_open = (F.instr(s, "<") > 0) | (F.instr(s, "[") > 0)
+    s = F.when(has_open, F.regexp_replace(s, "[<\\[][^>\\]]*[>\\]]", "")).otherwise(s)
+    s = F.when(F.instr(s, "(") > 0, F.regexp_replace(s, "\\(([^)]+?)\\)", "")).otherwise(s)
     # marks, symbols and punctuation become spaces and whitespace runs one
     # space, in a single pass (lower-casing again in between changes nothing:
     # the text is already lower case)
