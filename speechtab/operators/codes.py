@@ -70,11 +70,13 @@ def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | Non
         df = df.withColumn("_run", F.lit(0))
         run_col = "_run"
     keys = [run_col]
+    # names that match the pattern have exactly four '-' separated parts
+    parts = F.split(F.col(name_col), "-")
     parsed = df.where(F.col(name_col).rlike(_CKPT)).select(
         *keys,
         name_col,
-        F.regexp_extract(name_col, _CKPT, 1).cast("bigint").alias("step"),
-        F.regexp_extract(name_col, _CKPT, 2).cast("bigint").alias("epoch"),
+        F.element_at(parts, 2).cast("bigint").alias("step"),
+        F.element_at(parts, 4).cast("bigint").alias("epoch"),
     )
     w = Window.partitionBy(*keys).orderBy(F.col("step").desc(), F.col(name_col).desc())
     top = parsed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
