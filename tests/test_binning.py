@@ -4,7 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechtab.functions.binning import SHIPPED_BIN_EDGES, bin_index, bin_label
+from speechtab.functions.binning import (
+    REVERBERATION_BINS,
+    SHIPPED_BIN_EDGES,
+    SPEAKER_RATE_BINS,
+    bin_index,
+    bin_label,
+)
 from speechtab.operators import binning as B
 
 
@@ -106,3 +112,33 @@ def test_histogram_counts_equal_numpy(spark):
     kept = a[np.abs(a - a.mean()) < 3.0 * a.std()]
     after = [r["n"] for r in sorted((r for r in h if r["stage"] == "after"), key=lambda r: r["bucket"])]
     assert after == list(np.histogram(kept, 20)[0])
+
+
+def test_annotate_basic_tags_learns_missing_edges(spark):
+    from speechtab.plans.basic_tags import annotate_basic_tags
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        spk = i % 6
+        rows.append((i, spk, "male" if spk % 2 else "female", "train" if i % 3 else "dev",
+                     float(100 + rng.normal(0, 20)), float(rng.uniform(1, 30)), float(rng.uniform(0, 60)),
+                     float(rng.uniform(0, 50)), float(rng.uniform(5, 40))))
+    df = spark.createDataFrame(
+        rows,
+        "utterance_id long, speakerid long, gender string, split string, utterance_pitch_mean double, "
+        "speaking_rate_value double, snr double, c50 double, utterance_pitch_std double",
+    )
+    edges = {"noise": [0.0, 20.0, 40.0, 60.0]}
+    bins = {"snr_bins": ["loud", "mid", "quiet"]}
+    out = {r["utterance_id"]: r for r in annotate_basic_tags(df, bins, edges, leading_split="train").collect()}
+    train = [r for r in rows if r[3] == "train"]
+    for col, idx, tol in (("speaking_rate", 5, 4.0), ("reverberation", 7, 4.0)):
+        e = numpy_edges([r[idx] for r in train], 7, tol)
+        for r in rows:
+            assert out[r[0]][col] is not None
+            want = reference_bin(e, r[idx], 7)
+            labels = {"speaking_rate": SPEAKER_RATE_BINS, "reverberation": REVERBERATION_BINS}[col]
+            assert out[r[0]][col] == labels[want]
+    for r in rows:
+        assert out[r[0]]["noise"] == ["loud", "mid", "quiet"][reference_bin(edges["noise"], r[6], 3)]
