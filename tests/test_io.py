@@ -76,3 +76,14 @@ def test_load_many_tags_source_and_split(spark, tmp):
     specs = IO.split_spec("a+b", splits="dev+train")
     got = sorted((r["source"], r["id"], r["split"], r["text"]) for r in IO.load_many(spark, specs, root=tmp).collect())
     assert got == [("a", 2, "dev", None), ("b", 3, "train", "x")]
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from speechtab.session import ensure_checkpoint_dir, materialize
+
+    configured = spark.conf.get("spark.checkpoint.dir")
+    # Spark checkpoints into a fresh sub-folder of the configured one
+    assert configured and configured.rstrip("/").split(":")[-1] in ensure_checkpoint_dir(spark)
+    df = spark.range(5)
+    assert materialize(df, reliable=True).count() == 5
+    assert materialize(df).count() == 5
