@@ -178,5 +178,5 @@ f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text
 m AS (SELECT *, {ratio('word_chars', 'n_words', 'mean_word_chars')}, {ratio('n_symbols', 'n_words', 'symbol_ratio')},
              {ratio('n_stop_words', 'n_words', 'stop_word_ratio')}, {ratio('n_upper', 'word_chars', 'upper_ratio')},
              {ratio('n_dup_lines', 'n_lines', 'dup_line_ratio')}, {ratio('n_repeat_words', 'n_words', 'repeat_word_ratio')} FROM f),
-j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, array_to_string([{', '.join(conds)}], ',') AS failed FROM m)
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(array_to_string([{', '.join(conds)}], ','), '') AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM j"""
