@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import packing, quality, tokens
+from speechtab.llm import packing, quality, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
+def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_dups(_documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def tokenizer_path(name: str) -> str:
     """Where an installed public vocabulary file lies, on every machine alike."""
     import public_tokenizers
@@ -35,6 +40,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
+    "op2_simhash_near_dups": (op2_simhash_near_dups, None),
     "op6_token_counts": (op6_token_counts, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
 }
