@@ -135,8 +135,9 @@ def frequent_lengths(docs: DataFrame, model_file: str, text_col: str = "text", i
         top = [u for u, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]]
         yield pa.RecordBatch.from_pydict({"unit": pa.array(top, pa.string()), "n": pa.array([len(counter.bare.encode(counter.unit(u))) for u in top], pa.int32())})
 
-    # repartition(1): limit() alone may leave several parts, each with a table of its own
-    some = ids_and_text(docs, id_col, text_col).select("text").limit(rows).repartition(1)
+    # a hash picks about that many before limit(), which alone would shuffle as many of each split
+    one_in = max(1, docs.count() // rows)
+    some = ids_and_text(docs, id_col, text_col).where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").limit(rows).repartition(1)
     table = some.mapInArrow(count, "unit string, n int").toArrow()
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
 
