@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import metric_join, packing, quality, simhash, tokens
+from speechtab.llm import metric_join, packing, quality, secrets, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_secret_scans": (op7_secret_scans, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_near_vectors": (op9_near_vectors, metric_join.oracle_sql()),
 }
