@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import metric_join, packing, quality, secrets, simhash, tokens
+from speechtab.llm import metric_join, mixing, packing, quality, secrets, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Production mix: two domains of the twenty sources, English doubled, one source held down.
+MIX = mixing.Mix(
+    weights={"web": 60, "curated": 40, ("web", "en"): 2, ("curated", "en"): 2, ("web", "en", "src0"): 2},
+    domains={f"src{k}": "web" if k < 12 else "curated" for k in range(20)},
+    share=0.8,
+    epochs=2,
+)
+
+
+def op4_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("n_tokens", mixing.n_words(F.coalesce("text", F.lit(""))))
+    out = mixing.select(docs, MIX, tokens=F.col("n_tokens"))
+    leaf = mixing.leaf_columns(MIX)
+    return out.select("doc_id", "epoch", *[leaf[c].alias(c) for c in mixing.LEVELS], "n_tokens")
+
+
 def tokenizer_path(name: str) -> str:
     """Where an installed public vocabulary file lies, on every machine alike."""
     import public_tokenizers
@@ -49,6 +65,7 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
+    "op4_mixed_sources": (op4_mixed_sources, mixing.oracle_sql(MIX)),
     "op6_token_counts": (op6_token_counts, None),
     "op7_secret_scans": (op7_secret_scans, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
