@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import metric_join, mixing, packing, quality, secrets, simhash, tokens
+from speechtab.llm import metric_join, mixing, packing, quality, secrets, simhash, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -66,6 +71,7 @@ QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
     "op4_mixed_sources": (op4_mixed_sources, mixing.oracle_sql(MIX)),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_secret_scans": (op7_secret_scans, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
