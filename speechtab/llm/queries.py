@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import metric_join, mixing, packing, quality, secrets, simhash, tokens, toxicity
+from speechtab.llm import licenses, metric_join, mixing, packing, quality, secrets, simhash, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
@@ -76,4 +80,5 @@ QUERIES: dict = {
     "op7_secret_scans": (op7_secret_scans, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_near_vectors": (op9_near_vectors, metric_join.oracle_sql()),
+    "op10_license_scans": (op10_license_scans, licenses.oracle_sql()),
 }
