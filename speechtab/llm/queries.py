@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import licenses, metric_join, mixing, packing, quality, secrets, simhash, tokens, toxicity
+from speechtab.llm import licenses, metric_join, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir))
+
+
 #: Production mix: two domains of the twenty sources, English doubled, one source held down.
 MIX = mixing.Mix(
     weights={"web": 60, "curated": 40, ("web", "en"): 2, ("curated", "en"): 2, ("web", "en", "src0"): 2},
@@ -74,6 +78,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_mixed_sources": (op4_mixed_sources, mixing.oracle_sql(MIX)),
     "op5_toxicity": (op5_toxicity, None),
     "op6_token_counts": (op6_token_counts, None),
