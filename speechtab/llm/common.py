@@ -37,16 +37,22 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
             raise ValueError(f"column {c!r} occurs {n} times in {df.columns}")
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name starting with ``stem`` that ``df`` does not have."""
-    taken, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in taken:
-        name += "_"
-    return name
+def flat(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... by position, and the new names
+    of the given ones: whatever else a table has, upper and lower case of one
+    name among it, cannot clash with an operator's columns.  Undo with
+    ``toDF(*df.columns)``."""
+    require(df, names)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """The named columns alone, under the keywords' names."""
+    plain, found = flat(df, *names.values())
+    return plain.select(*[F.col(c).alias(k) for k, c in zip(names, found)])
 
 
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just ``id`` and ``text`` (NULL text: empty string) of ``docs``; other
     columns, whatever their names, never reach an operator."""
-    require(docs, [id_col, text_col])
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))

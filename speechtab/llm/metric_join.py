@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import require, written
+from speechtab.llm.common import pick, written
 from speechtab.llm.components import components
 
 #: Vectors of a block; a task holds two blocks.
@@ -82,9 +82,10 @@ class Cells:
 
 
 def _valid(vectors: DataFrame, vec_col: str, emb_col: str) -> DataFrame:
-    e = F.col(f"`{emb_col}`")
+    rows = pick(vectors, id=vec_col, emb=emb_col)
+    e = F.col("emb")
     good = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col(f"`{vec_col}`").alias("id"), F.when(good, F.transform(e, lambda x: x.cast("double") + 0.0)).alias("emb"))
+    return rows.select("id", F.when(good, F.transform(e, lambda x: x.cast("double") + 0.0)).alias("emb"))
 
 
 def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -119,7 +120,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK, p
     they occur.  Other columns are dropped; an empty table gives an empty
     table; ids are taken to be distinct integers, and rows with a NULL id
     neither link nor count."""
-    require(vectors, [id_col, emb_col])
     spark = vectors.sparkSession
     rows = written(_valid(vectors, id_col, emb_col), "vectors")
     # one representative for equal vectors

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import SPACE_CLASS, fresh, require, written
+from speechtab.llm.common import SPACE_CLASS, flat, pick, written
 
 LEVELS = ("domain", "language", "source")
 #: Leading hex digits of a row's key that make its bucket.
@@ -106,13 +106,15 @@ def _key(mix: Mix, epoch: Column, row_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(row_id.cast("string"), F.lit(""))))
 
 
-def plan(docs: DataFrame, mix: Mix, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, mix: Mix, tokens: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per leaf: ``supply``, ``budget``, whole epochs ``full``, the
     ``left`` of the budget and the last key ``cutoff`` of the next epoch's
-    prefix (NULL: none of it)."""
-    require(docs, [id_col, text_col, lang_col, source_col])
-    n = tokens if tokens is not None else n_words(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), n.alias("n"), *[c.alias(k) for k, c in leaf_columns(mix, lang_col, source_col).items()])
+    prefix (NULL: none of it).  ``tokens`` names a column with the rows' token
+    counts; without, the words of the text are counted."""
+    names = {"id": id_col, "lang": lang_col, "from": source_col, "n": tokens or text_col}
+    rows = pick(docs, **names)
+    n = F.coalesce("n", F.lit(0)).cast("long") if tokens else n_words(F.coalesce("n", F.lit("")))
+    slim = rows.select("id", n.alias("n"), *[c.alias(k) for k, c in leaf_columns(mix, "lang", "from").items()])
     slim = written(slim, "tokens")
     leaves = budgets(slim.groupBy(*LEVELS).agg(F.sum("n").alias("supply")), mix)
     full = F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(F.lit(0)).cast("long")
@@ -136,7 +138,7 @@ def plan(docs: DataFrame, mix: Mix, tokens: Column | None = None, id_col: str =
     return written(leaves.join(cut, list(LEVELS), "left"), "mix")
 
 
-def select(docs: DataFrame, mix: Mix, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", epoch_col: str | None = "epoch") -> DataFrame:
+def select(docs: DataFrame, mix: Mix, tokens: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", epoch_col: str | None = "epoch") -> DataFrame:
     """The rows of ``docs`` that the mix selects, once for every epoch they are
     in (``epoch_col``, an additional column; None: not added).
 
@@ -146,15 +148,13 @@ def select(docs: DataFrame, mix: Mix, tokens: Column | None = None, id_col: str
     together.  Other columns stay as they were; an empty table gives an empty
     table."""
     leaves = plan(docs, mix, tokens, id_col, text_col, lang_col, source_col)
-    names = {c: fresh(docs, f"leaf_{c}") for c in (*LEVELS, "full", "cutoff")}
-    table = leaves.select(*[F.col(c).alias(n) for c, n in names.items()])
-    both = docs.join(table, [c == F.col(names[k]) for k, c in leaf_columns(mix, lang_col, source_col).items()])
-    full, cutoff = F.col(names["full"]), F.col(names["cutoff"])
-    extra = F.when(cutoff.isNotNull() & (_key(mix, full, F.col(f"`{id_col}`")) <= cutoff), F.array(full)).otherwise(F.array().cast("array<bigint>"))
+    plain, (ident, lang, source) = flat(docs, id_col, lang_col, source_col)
+    both = plain.join(leaves, [c == F.col(k) for k, c in leaf_columns(mix, lang, source).items()])
+    full, cutoff = F.col("full"), F.col("cutoff")
+    extra = F.when(cutoff.isNotNull() & (_key(mix, full, F.col(ident)) <= cutoff), F.array(full)).otherwise(F.array().cast("array<bigint>"))
     whole = F.when(full > 0, F.sequence(F.lit(0).cast("long"), full - 1)).otherwise(F.array().cast("array<bigint>"))
-    epoch = fresh(docs, epoch_col or "epoch")
-    out = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.concat(whole, extra)).alias(epoch))
-    return out if epoch_col else out.drop(epoch)
+    out = both.select(*plain.columns, F.explode(F.concat(whole, extra)).alias("epoch"))
+    return out.toDF(*docs.columns, epoch_col) if epoch_col else out.drop("epoch").toDF(*docs.columns)
 
 
 def oracle_sql(mix: Mix) -> str:

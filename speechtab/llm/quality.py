@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import SPACE_CLASS, fresh, ids_and_text, require
+from speechtab.llm.common import SPACE_CLASS, flat, ids_and_text, pick, require
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -86,8 +86,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     if carry is None:
         df = ids_and_text(docs, id_col, text_col)
     else:
-        require(docs, [id_col, text_col, carry])
-        df = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{carry}`").alias("carry"))
+        df = pick(docs, id=id_col, text=text_col, carry=carry).withColumn("text", F.coalesce("text", F.lit("")))
     keep = ["id"] + (["carry"] if carry else [])
     df = df.withColumns({"body": F.btrim("text", F.lit(SPACES)), "tight": F.translate("text", SPACES, "")})
     df = df.withColumn("words", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", SPACE_CLASS)))
@@ -146,13 +145,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
-    row = fresh(docs, "row")
-    whole = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    plain, (ident, text) = flat(docs, id_col, text_col)
+    whole = plain.withColumn("row", F.struct(*plain.columns))
     # a filter on "kept" alone would be pushed below the projections and there
     # spell out every figure again, many times over; one on the row's number
     # as well stays above them
-    judged = judge(measure(whole, id_col, text_col, carry=row), rules).withColumn("number", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("carry.*")
+    judged = judge(measure(whole, ident, text, carry="row"), rules).withColumn("number", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("carry.*").toDF(*docs.columns)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = THRESHOLDS) -> str:

@@ -38,7 +38,7 @@ MIX = mixing.Mix(
 
 def op4_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("n_tokens", mixing.n_words(F.coalesce("text", F.lit(""))))
-    out = mixing.select(docs, MIX, tokens=F.col("n_tokens"))
+    out = mixing.select(docs, MIX, tokens="n_tokens")
     leaf = mixing.leaf_columns(MIX)
     return out.select("doc_id", "epoch", *[leaf[c].alias(c) for c in mixing.LEVELS], "n_tokens")
 

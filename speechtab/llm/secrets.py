@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import fresh, require, written
+from speechtab.llm.common import flat, ids_and_text, written
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
@@ -147,9 +147,7 @@ def _spans(text: Column, rule: Rule) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text`` and ``rk``, which with the id names a row by its content:
     rows alike in both have the same spans."""
-    require(docs, [id_col, text_col])
-    df = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return df.withColumn("rk", F.xxhash64("text"))
+    return ids_and_text(docs, id_col, text_col).withColumn("rk", F.xxhash64("text"))
 
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -230,21 +228,21 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one
     mark); rows without a span, and all other columns, stay as they were.
     ``length_col``, if there is such a column, follows the new text."""
-    found = scan(docs, rules, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "rk"])
+    plain, (ident, text) = flat(docs, id_col, text_col)
+    found = scan(plain, rules, ident, text).where(F.size("spans") > 0).dropDuplicates(["id", "rk"])
     found = written(found.select(F.col("id").alias("cid"), F.col("rk").alias("crk"), "spans"), "spans")
-    spans = fresh(docs, "spans")
-    text = F.col(f"`{text_col}`")
-    on = docs[id_col].eqNullSafe(found["cid"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["crk"])
-    both = docs.join(found.withColumnRenamed("spans", spans), on, "left").drop("cid", "crk")
+    on = F.col(ident).eqNullSafe(F.col("cid")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("crk"))
+    both = plain.join(found, on, "left").drop("cid", "crk")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
+        gap = F.when(s["start"] >= acc["at"], F.concat(F.substr(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    clean = F.aggregate(F.col(spans), zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    both = both.withColumn(text_col, F.when(F.col(spans).isNotNull(), clean).otherwise(text))
-    if length_col in docs.columns and length_col is not None:
-        n = F.length(f"`{text_col}`").cast(docs.schema[length_col].dataType)
-        both = both.withColumn(length_col, F.when(F.col(spans).isNotNull(), n).otherwise(F.col(length_col)))
-    return both.select(*[f"`{c}`" for c in docs.columns])
+    clean = F.aggregate(F.col("spans"), zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text))))
+    both = both.withColumn(text, F.when(F.col("spans").isNotNull(), clean).otherwise(F.col(text)))
+    if length_col is not None and docs.columns.count(length_col) == 1:
+        k = docs.columns.index(length_col)
+        n = F.length(text).cast(docs.schema.fields[k].dataType)
+        both = both.withColumn(f"c{k}", F.when(F.col("spans").isNotNull(), n).otherwise(F.col(f"c{k}")))
+    return both.select(*plain.columns).toDF(*docs.columns)

@@ -21,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import fresh, ids_and_text, written
+from speechtab.llm.common import flat, ids_and_text, written
 from speechtab.llm.components import components
 
 SHINGLE = 4
@@ -192,10 +192,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_co
     """One row of ``docs`` for each connected group, the one with the smallest
     id, all columns as they were.  Of rows that share that id one stays; rows
     without an id go where their group has one, else one stays for them all."""
-    rank, key = fresh(docs, "rank"), fresh(docs, "key")
-    leaders = near_dups(docs, size, posting, id_col, text_col).where("leader").select(F.col(f"`{id_col}`").alias(key)).distinct()
-    kept = docs.join(leaders, docs[id_col].eqNullSafe(leaders[key]), "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    plain, (ident, text) = flat(docs, id_col, text_col)
+    leaders = near_dups(plain, size, posting, ident, text).where("leader").select(F.col(ident).alias("key")).distinct()
+    kept = plain.join(leaders, F.col(ident).eqNullSafe(F.col("key")), "left_semi")
+    order = Window.partitionBy(ident).orderBy(F.xxhash64(text))
+    return kept.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank").toDF(*docs.columns)

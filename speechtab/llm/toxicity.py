@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import ids_and_text, require
+from speechtab.llm.common import ids_and_text, pick
 
 #: Labelled rows that the machine is fitted on at most, in hash order.
 SAMPLE_ROWS = 20_000
@@ -131,8 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: s
     """Fit on at most ``rows`` labelled ids, in hash order, not held out.  Rows
     without an id or label are passed over.  The ids, and of each sampled text
     the distinct feature numbers, come to the driver."""
-    require(labels, [id_col, label_col])
-    some = labels.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    some = pick(labels, key=id_col, y=label_col).select("key", F.col("y").cast("int").alias("y"))
     some = some.where(F.col("key").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("key")))
     some = some.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(rows)
     texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(some), F.col("id") == F.col("key")).select("text", "y")
