@@ -65,8 +65,18 @@ def _edge(edges, k: int) -> Column:
     return F.lit(float(edges[k]))
 
 
+def _unlabelled(value: Column, edges, n_labels: int) -> Column:
+    """No value, or learned edges of which an inner one is missing."""
+    out = value.isNull()
+    if isinstance(edges, Column):  # element by element: the edges may be a scalar subquery
+        for k in range(1, n_labels):
+            out = out | _edge(edges, k).isNull()
+    return out
+
+
 def bin_index(value: Column, edges, n_labels: int) -> Column:
-    """0-based right-closed bin index, clamped; NULL for a NULL value.
+    """0-based right-closed bin index, clamped; NULL for a NULL value, and
+    where learned edges are NULL or hold a NULL.
 
     ``edges`` is a Python list of n+1 numbers or an ``array<double>`` column
     (for learned edges).  Only the inner edges 1..n-1 decide the bin.
@@ -79,7 +89,7 @@ def bin_index(value: Column, edges, n_labels: int) -> Column:
         expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
     last = F.lit(n_labels - 1)
     expr = last if expr is None else expr.otherwise(last)
-    return F.when(value.isNull(), F.lit(None).cast("int")).otherwise(expr)
+    return F.when(_unlabelled(value, edges, n_labels), F.lit(None).cast("int")).otherwise(expr)
 
 
 def bin_label(value: Column, edges, labels: Sequence[str]) -> Column:
@@ -94,7 +104,7 @@ def bin_label(value: Column, edges, labels: Sequence[str]) -> Column:
         expr = F.when(cond, F.lit(labels[k])) if expr is None else expr.when(cond, F.lit(labels[k]))
     last = F.lit(labels[-1])
     expr = last if expr is None else expr.otherwise(last)
-    return F.when(value.isNull(), F.lit(None).cast("string")).otherwise(expr)
+    return F.when(_unlabelled(value, edges, n), F.lit(None).cast("string")).otherwise(expr)
 
 
 def gender_bin_label(value: Column, gender: Column, edges_by_gender: Mapping[str, object], labels: Sequence[str]) -> Column:

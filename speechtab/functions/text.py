@@ -3,22 +3,26 @@ word-level edit distance (STR4), tokens (STR5), segment names (STR6)."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# White space and word characters of any script, spelled out so that every
+# regex engine reads them alike.
+SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}]"
+TOKEN = "([\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\x09-\\x0D\\x1C-\\x20\\x85\\p{Z}])"
+
+
 def clean_prompt(text: Column) -> Column:
     """STR2: newlines become spaces, trailing whitespace removed."""
-    return F.regexp_replace(F.regexp_replace(text, "\n", " "), "\\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, "\n", " "), SPACE + "+$", "")
 
 
 def strip_both(text: Column) -> Column:
     """Both-side whitespace strip (before tokenising)."""
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def basic_normalize(text: Column) -> Column:
@@ -34,24 +38,24 @@ def basic_normalize(text: Column) -> Column:
     # marks, symbols and punctuation become spaces and whitespace runs one
     # space, in a single pass (lower-casing again in between changes nothing:
     # the text is already lower case)
-    return F.regexp_replace(s, "[\\p{M}\\p{S}\\p{P}\\s]+", " ")
+    return F.regexp_replace(s, "[\\p{M}\\p{S}\\p{P}\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x85]+", " ")
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words of a text (empty text -> empty array)."""
-    return F.array_remove(F.split(text, "\\s+"), "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def simple_tokens(text: Column) -> Column:
     """STR5 default tokeniser: runs of word characters and single other
     non-space characters.  A subword tokenizer plugs in through UDF1."""
-    return F.regexp_extract_all(strip_both(text), F.lit("(\\w+|[^\\w\\s])"), 1)
+    return F.regexp_extract_all(strip_both(text), F.lit(TOKEN), 1)
 
 
 def count_tokens(text: Column) -> Column:
     """STR5 count only: how many tokens :func:`simple_tokens` would return,
     without building the token array."""
-    return F.regexp_count(strip_both(text), F.lit("(\\w+|[^\\w\\s])"))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def segment_file_name(filename: Column, channel: Column, start: Column, end: Column) -> Column:
@@ -100,12 +104,9 @@ def word_edits(ref_words: list, hyp_words: list) -> int:
     return dist
 
 
-# the JVM's \\s: words split the same on both sides of the Arrow boundary
-_JVM_SPACE = re.compile("[ \\t\\n\\x0b\\f\\r]+")
-
-
 def _split(text) -> list:
-    return [w for w in _JVM_SPACE.split(text) if w] if isinstance(text, str) else []
+    """Words as :func:`words` splits them: Python's white space is the same set."""
+    return text.split() if isinstance(text, str) else []
 
 
 @F.pandas_udf(T.LongType())

@@ -196,8 +196,9 @@ def _with_bucket(df: DataFrame, v: str, lo: str, hi: str, n_bins: int, out: str)
     def edge(i):
         return F.when(i == F.lit(n_bins), F.col(hi)).otherwise(i.cast("double") * step + F.col(lo))
 
-    raw = ((F.col(v) - F.col(lo)) * (F.lit(float(n_bins)) / (F.col(hi) - F.col(lo)))).cast("int")
-    df = df.withColumn(out, F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1)))
+    raw = (F.col(v) - F.col(lo)) * (F.lit(float(n_bins)) / (F.col(hi) - F.col(lo)))
+    # clamped as a double: a value far outside lo..hi does not fit an int
+    df = df.withColumn(out, F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(n_bins - 1))).cast("int"))
     i = F.col(out)
     df = df.withColumn(out, F.when(F.col(v) < edge(i), i - 1).otherwise(i))
     i = F.col(out)

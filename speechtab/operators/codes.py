@@ -56,12 +56,14 @@ def longest_clip(df: DataFrame, length_col: str = "target_length", labels_col: s
     return df.agg(m.alias("_m")).select("_m.target_length", "_m.label_length")
 
 
-_CKPT = "^checkpoint-(\\d+)-epoch-(\\d+)$"
+_CKPT = "^checkpoint-(\\d+)(?:-epoch-(\\d+))?$"
 
 
 def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | None = "run", keep_last: int = 3) -> DataFrame:
-    """WIN8: parse ``checkpoint-<step>-epoch-<e>`` names; flag the newest and
-    the last ``keep_last`` by step (the rest may be deleted by the caller).
+    """WIN8: parse ``checkpoint-<step>`` and ``checkpoint-<step>-epoch-<e>``
+    names; flag the newest and the last ``keep_last`` by step (the rest may be
+    deleted by the caller).  Other names are listed too, without a step, and
+    always kept; a name that occurs twice in a run is listed once.
 
     The kept set is a ``row_number() <= keep_last`` limit (pre-limited map
     side) joined back to flag rows, so no run is sorted whole in one task.
@@ -70,16 +72,14 @@ def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | Non
         df = df.withColumn("_run", F.lit(0))
         run_col = "_run"
     keys = [run_col]
-    # names that match the pattern have exactly four '-' separated parts
-    parts = F.split(F.col(name_col), "-")
-    parsed = df.where(F.col(name_col).rlike(_CKPT)).select(
-        *keys,
-        name_col,
-        F.element_at(parts, 2).cast("bigint").alias("step"),
-        F.element_at(parts, 4).cast("bigint").alias("epoch"),
-    )
+
+    def number(group: int) -> Column:
+        found = F.regexp_extract(F.col(name_col), _CKPT, group)
+        return F.when(found != "", found.cast("bigint"))
+
+    parsed = df.select(*keys, name_col).distinct().select(*keys, name_col, number(1).alias("step"), number(2).alias("epoch"))
     w = Window.partitionBy(*keys).orderBy(F.col("step").desc(), F.col(name_col).desc())
-    top = parsed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
+    top = parsed.where(F.col("step").isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
     top = top.select(*keys, name_col, (F.col("_rn") == 1).alias("latest"), F.lit(True).alias("keep"))
     out = parsed.join(top, [*keys, name_col], "left")
     return out.select(
@@ -87,7 +87,7 @@ def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | Non
         name_col,
         "step",
         "epoch",
-        F.coalesce("keep", F.lit(False)).alias("keep"),
+        F.coalesce("keep", F.col("step").isNull()).alias("keep"),
         F.coalesce("latest", F.lit(False)).alias("latest"),
     )
 

@@ -1,13 +1,14 @@
 """Batched enrichment with a pluggable scorer (UDF1) and failure capture
 (UDF3).
 
-A scorer is built by a user ``factory()`` once per task (a model loads once
-per executor task, not per row) and called on Arrow batches of only the
+A scorer is built by a user ``factory()`` once per worker process (a model
+loads once per worker, not per task or row) and called on Arrow batches of only the
 columns it needs, plus the columns the caller wants to carry through.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -19,14 +20,8 @@ from ..schema import require_columns
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def _accepts_argument(fn) -> bool:
-    import inspect
-
-    try:
-        params = [p for p in inspect.signature(fn).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
-    except (TypeError, ValueError):
-        return False
-    return len(params) >= 1
+# Scorers that a worker process has built, by the call of enrich they belong to.
+_LOADED: dict = {}
 
 
 def enrich(
@@ -37,11 +32,14 @@ def enrich(
     keep_cols: Sequence[str] = (),
     batch_rows: int = 1024,
     on_error: str = "raise",
+    with_context: bool = False,
 ) -> DataFrame:
     """UDF1 (+ UDF3): ``keep_cols`` + scorer outputs for every row.
 
-    ``factory`` is called once per task, with the task's ``TaskContext`` when
-    it takes an argument (partition id, assigned resources such as GPUs).
+    ``factory`` is called once per worker process, which keeps the scorer for
+    its later tasks.  With ``with_context=True`` it is called once per task
+    with the task's ``TaskContext`` (partition id, assigned resources such as
+    GPUs).
 
     ``factory()`` returns a callable mapping a pandas batch of
     ``input_cols`` to a pandas DataFrame with the ``output_schema`` columns
@@ -63,17 +61,23 @@ def enrich(
     schema = T.StructType(fields)
     carry = [c for c in keep]
 
-    takes_context = _accepts_argument(factory)
+    token = uuid.uuid4().hex
 
     def run(batches):
-        if takes_context:
+        if with_context:
             # the task's context: partition id and the resources (e.g. GPU
             # addresses) Spark assigned to this task, for device placement
             from pyspark import TaskContext
 
             scorer = factory(TaskContext.get())
         else:
-            scorer = factory()
+            # the module's own table: this function travels as a copy
+            from speechtab.operators import enrich as here
+
+            if token not in here._LOADED:
+                here._LOADED.clear()  # one model at a time
+                here._LOADED[token] = factory()
+            scorer = here._LOADED[token]
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[start : start + batch_rows]

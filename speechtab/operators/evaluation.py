@@ -45,7 +45,11 @@ def corpus_wer(rows: DataFrame) -> DataFrame:
 def clean_noisy_wer(rows: DataFrame, quality_col: str = "si_sdr", clean_limit: float | None = 25.0) -> DataFrame:
     """AGG11: error rate over clean rows (quality >= limit) and noisy rows,
     share of clean rows.  Clean is NULL when no row is clean, noisy is 0
-    when every row is clean.  One pass, conditional sums."""
+    when every row is clean.  ``clean_limit=None``: rows are not told apart,
+    only ``wer`` is a number.  One pass, conditional sums."""
+    if clean_limit is None:
+        none = F.lit(None).cast("double")
+        return corpus_wer(rows).select("wer", none.alias("clean_wer"), none.alias("noisy_wer"), none.alias("percent_clean"))
     clean = F.col(quality_col) >= F.lit(float(clean_limit))
     agg = rows.agg(
         F.sum(F.when(clean, F.col("edits"))).alias("ce"),

@@ -30,14 +30,21 @@ def merge_metadata(
     metadata: DataFrame,
     id_col: str = "id",
     prefer: str = "dataset",
+    on_mismatch: str = "raise",
 ) -> DataFrame:
-    """JN1: attach a metadata table to a dataset by id (inner equi-join).
+    """JN1: attach a metadata table to a dataset by id (equi-join).
+
+    The ids of both sides have to correspond, one metadata row for each:
+    ``on_mismatch="raise"`` (default) fails the job that finds an id on one
+    side only or twice in the metadata; ``"inner"`` keeps the ids that both
+    sides have, ``"left"`` all dataset rows.
 
     On a column-name clash the dataset copy wins (``prefer="metadata"``
     keeps the metadata copy instead).  The metadata id is kept as
-    ``metadata_<id>`` like the reference; see :func:`merge_mismatches` for
-    the id agreement check.
+    ``metadata_<id>``; :func:`merge_mismatches` lists the ids that disagree.
     """
+    if on_mismatch not in ("raise", "inner", "left"):
+        raise ValueError("on_mismatch is 'raise', 'inner' or 'left'")
     require_columns(dataset, [id_col], "dataset")
     require_columns(metadata, [id_col], "metadata")
     md = metadata.withColumnRenamed(id_col, f"metadata_{id_col}")
@@ -49,7 +56,23 @@ def merge_metadata(
         ds = dataset.drop(*both)
     else:
         raise ValueError("prefer must be 'dataset' or 'metadata'")
-    return ds.join(md, ds[id_col] == md[f"metadata_{id_col}"], "inner")
+    if on_mismatch != "raise":
+        return ds.join(md, ds[id_col] == md[f"metadata_{id_col}"], on_mismatch)
+    # the window and the join need the same partitioning: no further shuffle
+    md = md.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(f"metadata_{id_col}")))
+    both = ds.withColumn("_here", F.lit(True)).join(md, ds[id_col] == md[f"metadata_{id_col}"], "full_outer")
+
+    def fail(what: str) -> Column:
+        known = F.coalesce(F.col(id_col).cast("string"), F.col(f"metadata_{id_col}").cast("string"), F.lit("NULL"))
+        return F.raise_error(F.concat(F.lit(f"id {what}: "), known)).cast("boolean")
+
+    agrees = (
+        F.when(F.col("_here").isNull(), fail("in the metadata but not in the dataset"))
+        .when(F.col("_times").isNull(), fail("in the dataset but not in the metadata"))
+        .when(F.col("_times") > 1, fail("more than once in the metadata"))
+        .otherwise(F.lit(True))
+    )
+    return both.where(agrees).drop("_here", "_times")
 
 
 def merge_mismatches(dataset: DataFrame, metadata: DataFrame, id_col: str = "id") -> DataFrame:
@@ -98,7 +121,7 @@ def add_audio_paths(
     normalised) root prefix, so no join is needed; an absolute relative path
     replaces the root, as with path objects."""
     if len(sources) != len(roots):
-        raise ValueError("Number of sources must match number of root directories")
+        raise ValueError(f"{len(sources)} sources but {len(roots)} roots: pass one root for each source")
     src = F.col(source_col)
     rel = F.col(rel_col)
     prefix = None
@@ -106,7 +129,7 @@ def add_audio_paths(
         root = _norm_root(r)
         p = F.lit(root if root in ("", "/") else root + "/")
         prefix = F.when(src == F.lit(s_), p) if prefix is None else prefix.when(src == F.lit(s_), p)
-    err = F.raise_error(F.concat(F.lit("Unknown source dataset: "), F.coalesce(src.cast("string"), F.lit("NULL")))).cast("string")
+    err = F.raise_error(F.concat(F.lit("no root was given for source: "), F.coalesce(src.cast("string"), F.lit("NULL")))).cast("string")
     path = F.when(rel.startswith("/"), rel).otherwise(F.concat(prefix, rel))
     joined = F.when(src.isin(list(sources)), path).otherwise(err) if sources else err
     # two steps, so the joined path is built once and then only inspected
@@ -115,7 +138,7 @@ def add_audio_paths(
 
 def missing_paths(df: DataFrame, listing: DataFrame, path_col: str = "audio_path", listing_col: str = "path") -> DataFrame:
     """FLT1: rows whose path is not in the file listing (left anti join)."""
-    lst = listing.select(F.col(listing_col).alias(path_col)).distinct()
+    lst = listing.select(F.col(listing_col).alias(path_col))
     return df.join(lst, [path_col], "left_anti")
 
 
@@ -180,7 +203,8 @@ def mix_sources(
     n = min_i r_i / p_i draws, of which p_i * n come from source i.  Each
     row of source i is kept when its seeded hash fraction is below
     p_i * n / r_i, so the choice is per row (no window, no hot task) and
-    reproducible; ``mix_key`` gives the interleaved order.  Only sources
+    reproducible; ``mix_key``, salted differently, gives the interleaved
+    order, in which every stretch holds the sources in proportion.  Only sources
     named in ``probabilities`` take part.
     """
     total = float(sum(probabilities.values()))
@@ -199,7 +223,7 @@ def mix_sources(
         part.join(frac, [source_col], "inner")
         .where(u < F.col("_keep"))
         .drop("_keep")
-        .withColumn("mix_key", seeded_order(seed, F.col(id_col)))
+        .withColumn("mix_key", seeded_order(f"{seed}:order", F.col(id_col)))
     )
 
 

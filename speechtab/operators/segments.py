@@ -68,5 +68,5 @@ def cut_segments(clips: DataFrame, segments: DataFrame):
         segment_file_name(F.col("filename"), F.col("channel"), F.col("start"), F.col("end")).alias("segment_name"),
         cut_ms(F.col("samples"), F.col("sampling_rate"), F.col("start"), F.col("end")).alias("samples"),
     )
-    missing = clips.join(segments.select("filename", "channel").distinct(), ["filename", "channel"], "left_anti")
+    missing = clips.join(segments.select("filename", "channel"), ["filename", "channel"], "left_anti")
     return cut, missing

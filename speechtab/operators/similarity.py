@@ -25,71 +25,36 @@ from pyspark.sql import types as T
 from ..functions.vectors import as_double_array, cos_to_rating, dot, l2_normalize
 from ..schema import require_columns
 
-# Groups up to this many rows take the in-row median path (collect + sort per
-# dimension); larger groups go through the exploded exact median aggregate.
-SMALL_GROUP_ROWS = 64
-
-
-def _median_small(df: DataFrame, key: str, vec: str) -> DataFrame:
-    vs = df.groupBy(key).agg(F.collect_list(as_double_array(F.col(vec))).alias("_vs"))
-    n = F.size("_vs")
-    d = F.size(F.element_at("_vs", 1))
-    per_dim = F.transform(
-        F.sequence(F.lit(0), d - 1), lambda i: F.array_sort(F.transform("_vs", lambda v: v[i]))
-    )
-    # a NaN anywhere in a dimension makes that median NaN (as numpy does)
-    mid = F.transform(
-        "_sorted",
-        lambda s: F.when(F.exists(s, lambda x: F.isnan(x)), F.lit(float("nan"))).otherwise(
-            (s[F.floor((n - 1) / 2).cast("int")] + s[F.floor(n / 2).cast("int")]) / 2.0
-        ),
-    )
-    return vs.withColumn("_sorted", per_dim).select(key, mid.alias("median"))
-
-
-def _median_exploded(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Exact per-dimension median for large groups without gathering a group:
-    the (key, dimension) values are ranked by range segments and only the one
-    or two middle values are kept and averaged."""
+def _median_by_rank(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Exact per-dimension median without gathering a group: the (key,
+    dimension) values are ranked by range segments and only the one or two
+    middle values are kept and averaged."""
     from .ordering import positions_within_key
 
-    ex = df.select(key, F.posexplode(as_double_array(F.col(vec))).alias("_dim", "_x"))
+    ex = df.select(key, F.posexplode(as_double_array(F.col(vec))).alias("_dim", "_x")).where(F.col("_x").isNotNull())
     ranked = positions_within_key(ex, [key, "_dim"], ["_x"], "_pos", "_n")
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.floor(F.col("_n") / 2)
-    mid = ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    med = mid.groupBy(key, "_dim").agg(F.avg("_x").alias("_m"))
-    # NaN sorts last, so the middle may miss it; numpy gives NaN when any is present
-    nan_dims = ex.where(F.isnan("_x")).select(key, "_dim").distinct().withColumn("_nan", F.lit(True))
-    med = med.join(nan_dims, [key, "_dim"], "left").select(
-        key, "_dim", F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("_m")).alias("_m")
-    )
+    # NaN sorts last, so the middle may miss it: the last value tells
+    kept = ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi) | (F.col("_pos") == F.col("_n") - 1))
+    middle = F.avg(F.when((F.col("_pos") == lo) | (F.col("_pos") == hi), F.col("_x")))
+    med = kept.groupBy(key, "_dim").agg(F.when(F.max(F.isnan("_x")), F.lit(float("nan"))).otherwise(middle).alias("_m"))
     return med.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_dim", "_m"))).alias("_s")).select(
         key, F.transform("_s", lambda s: s["_m"]).alias("median")
     )
 
 
-def median_vectors(df: DataFrame, key: str = "speaker", vec: str = "embedding", normalize: bool = True,
-                   small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
+def median_vectors(df: DataFrame, key: str = "speaker", vec: str = "embedding", normalize: bool = True) -> DataFrame:
     """AGG5 (+ MTH4): element-wise median of each group's vectors, L2-normalised.
 
-    Groups of at most ``small_group_rows`` rows (the manifest samples a fixed
-    number per speaker) are collected and sorted per dimension in one row;
-    bigger groups go through a range-segmented rank per dimension (exact, and
-    a hot speaker is spread over many tasks), so no group is ever gathered
-    whole into one array or one aggregation buffer.  ``small_group_rows=None`` skips the size split (use
-    only when the input is known to be bounded per group).
-    """
+    One rule for groups of any size: a dimension's median is over the vectors
+    that have a value there (NULL components and missing ends of shorter
+    vectors do not count), the mean of the two middle values for an even
+    number, and NaN where any of them is NaN.  Rows with a NULL key or vector
+    are left out.  A hot group is ranked by many tasks."""
     require_columns(df, [key, vec])
     base = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(key, vec)
-    if small_group_rows is None:
-        med = _median_small(base, key, vec)
-    else:
-        sizes = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        tagged = base.join(sizes, [key], "inner")
-        small = tagged.where(F.col("_n") <= small_group_rows).drop("_n")
-        large = tagged.where(F.col("_n") > small_group_rows).drop("_n")
-        med = _median_small(small, key, vec).unionByName(_median_exploded(large, key, vec))
+    med = _median_by_rank(base, key, vec)
     if normalize:
         med = med.withColumn("median", l2_normalize(F.col("median")))
     return med

@@ -61,7 +61,8 @@ def utterances_from(e: DataFrame) -> DataFrame:
         (v / 4).alias("utterance_pitch_std"),
         (v / 2 + 10).alias("c50"),
         (v / 5).alias("speaking_rate_value"),
-        F.when(F.col("user_id") % 2 == 0, "male").otherwise("female").alias("gender"),
+        # some speakers have no gender, some one without edges
+        F.when(F.col("user_id") % 7 == 3, F.lit(None)).when(F.col("user_id") % 7 == 5, "other").when(F.col("user_id") % 2 == 0, "male").otherwise("female").alias("gender"),
         split_of(F.col("event_id")).alias("split"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
@@ -167,7 +168,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderstatus").alias("run"),
-        F.format_string("checkpoint-%d-epoch-%d", F.col("o_orderkey"), F.col("o_custkey") % 10).alias("name"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.format_string("notes-%d", F.col("o_orderkey")))
+        .when(F.col("o_orderkey") % 3 == 0, F.format_string("checkpoint-%d", F.col("o_orderkey")))
+        .otherwise(F.format_string("checkpoint-%d-epoch-%d", F.col("o_orderkey"), F.col("o_custkey") % 10))
+        .alias("name"),
     )
 
 
@@ -181,14 +185,18 @@ def utterances_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("situational_tags", F.when(F.col("utterance_id") % 7 == 0, F.array(F.col("source"))))
 
 
+#: Number of the (file, channel) pair that a segment line names.
+SEGMENT_KEY = "CASE WHEN vec_id % 5 = 4 THEN vec_id - 4 ELSE vec_id END"
+
+
 def vad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment-file lines derived from embeddings (line_no = vec_id): comments
     (label 8), blanks and ``longform`` lines (label 9), otherwise 1-3
-    segments for clip ((vec_id % 200) div 2), so later vec_ids repeat a
-    (file, channel) pair."""
+    segments for a clip.  Every fifth line names the (file, channel) pair of
+    the line four before it; keys grow with the table."""
     e = table(spark, sf_dir, "embeddings")
     v, lab = F.col("vec_id"), F.col("label")
-    clip = F.format_string("clip%d/channel%d", F.expr("(vec_id % 200) div 2"), v % 2 + 1)
+    clip = F.format_string("clip%d/channel%d", F.expr(f"({SEGMENT_KEY}) div 2"), v % 2 + 1)
     segs = F.transform(
         F.sequence(F.lit(0), lab % 3),
         lambda i: F.concat(

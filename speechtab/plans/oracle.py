@@ -21,7 +21,7 @@ UTTERANCES = """utterances AS (
   SELECT event_id AS utterance_id, user_id AS speakerid, event_type AS source,
          value / 10 AS duration, value AS snr, value + 95 AS utterance_pitch_mean,
          value / 4 AS utterance_pitch_std, value / 2 + 10 AS c50, value / 5 AS speaking_rate_value,
-         CASE WHEN user_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+         CASE WHEN user_id % 7 = 3 THEN NULL WHEN user_id % 7 = 5 THEN 'other' WHEN user_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
          CASE WHEN event_id % 10 = 0 THEN 'dev' WHEN event_id % 10 = 1 THEN 'holdout'
               WHEN event_id % 10 BETWEEN 2 AND 4 THEN 'train_base' ELSE 'train_scaled' END AS split,
          ts

@@ -17,8 +17,10 @@ from . import oracle as O
 # ---------------------------------------------------------------------------
 PATH_SOURCES = ["signup", "click", "error", "purchase", "view"]
 PATH_ROOTS = ["/corpora/signup", "/corpora/click/", "/corpora//error", "/corpora/./purchase", "/corpora/view"]
-MIX_PROBABILITIES = {"src0": 0.4, "src1": 0.3, "src2": 0.2, "src3": 0.1}
+# every source takes part, the first ones with more weight
+MIX_PROBABILITIES = {f"src{k}": 4.0 if k == 0 else 3.0 if k == 1 else 2.0 if k < 6 else 1.0 for k in range(20)}
 SAMPLE_RATE = 16000
+SPLITS = ["dev", "holdout", "train_base", "train_scaled"]
 # ---------------------------------------------------------------------------
 
 
@@ -82,7 +84,7 @@ def _metadata_with_clash(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_metadata(spark: SparkSession, d: str) -> DataFrame:
     ds = bd.transcripts(spark, d).select("id", "source", "lang", "n_chars")
-    merged = P.merge_metadata(ds, _metadata_with_clash(spark, d), "id")
+    merged = P.merge_metadata(ds, _metadata_with_clash(spark, d), "id", on_mismatch="inner")
     from ..schema import keep_columns
 
     return keep_columns(merged, ["id", "metadata_id", "source", "lang", "quality", "toxic"])
@@ -94,6 +96,16 @@ MERGE_SQL = (
 )
 
 
+def merge_metadata_agreeing(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata for every id, as the default rule asks."""
+    ds = bd.transcripts(spark, d).select("id", "source", "lang")
+    md = bd.transcripts(spark, d).select("id", "n_chars", F.upper("lang").alias("lang"))
+    return P.merge_metadata(ds, md, "id", prefer="metadata").select("id", "metadata_id", "source", "lang", "n_chars")
+
+
+MERGE_AGREEING_SQL = "SELECT doc_id AS id, doc_id AS metadata_id, source, upper(lang) AS lang, n_chars FROM documents"
+
+
 def prepared_table(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(bd.transcripts(spark, d))
     t = docs.select(
@@ -115,17 +127,19 @@ def prepared_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_TOKEN = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x09-\x0D\x1C-\x20\x{85}\p{Z}])"
+
 PREPARED_SQL = """WITH t AS (
   SELECT doc_id AS id,
          regexp_replace(replace(text, chr(10), ' '), '\\s+$', '') AS prompt,
          regexp_replace(replace(source || ' speaker,' || chr(10) || ' ' || lang || ' accent ' || chr(10), chr(10), ' '), '\\s+$', '') AS description,
          n_chars * 160 AS target_length
   FROM documents),
-t2 AS (SELECT *, regexp_extract_all(regexp_replace(prompt, '^\\s+|\\s+$', '', 'g'), '(\\w+|[^\\w\\s])', 1) AS toks FROM t
+t2 AS (SELECT *, regexp_extract_all(prompt, '{TOKEN}', 1) AS toks FROM t
        WHERE length(description) < 500)
 SELECT id, CAST(length(prompt) AS BIGINT) AS prompt_chars, CAST(len(toks) AS BIGINT) AS prompt_tokens,
        CAST(length(description) AS BIGINT) AS description_chars, CAST(target_length AS BIGINT) AS target_length
-FROM t2 WHERE target_length > 32000 AND target_length < 480000 AND len(toks) < 600"""
+FROM t2 WHERE target_length > 32000 AND target_length < 480000 AND len(toks) < 600""".replace("{TOKEN}", _TOKEN)
 
 
 def explode_descriptions(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +167,7 @@ def _mix_sql() -> str:
     return f"""WITH part AS (SELECT doc_id AS id, source FROM documents WHERE source IN ({names})),
 sizes AS (SELECT source, count(*) AS r, CASE {p} END AS p FROM part GROUP BY source),
 nn AS (SELECT min(r / p) AS n FROM sizes)
-SELECT id, source, md5('42:' || CAST(id AS VARCHAR)) AS mix_key
+SELECT id, source, md5('42:order:' || CAST(id AS VARCHAR)) AS mix_key
 FROM part JOIN sizes USING (source), nn
 WHERE CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p * n / r"""
 
@@ -193,12 +207,12 @@ FIRST_SEEN_SQL = O.with_(O.UTTERANCES) + "SELECT speakerid, min(utterance_id) AS
 
 def concatenated_splits(spark: SparkSession, d: str) -> DataFrame:
     u = bd.utterances(spark, d).select("utterance_id", "split", "duration")
-    parts = [u.where(F.col("split") == s).drop("split") for s in ("dev", "holdout")]
-    return P.concat_tables(parts, ["dev", "holdout"], "part")
+    parts = [u.where(F.col("split") == s).drop("split") for s in SPLITS]
+    return P.concat_tables(parts, SPLITS, "part")
 
 
 CONCAT_SQL = O.with_(O.UTTERANCES) + (
-    "SELECT utterance_id, duration, split AS part FROM utterances WHERE split IN ('dev', 'holdout')"
+    "SELECT utterance_id, duration, split AS part FROM utterances"
 )
 
 
@@ -251,6 +265,7 @@ QUERIES = {
     "missing_paths": (missing_paths, MISSING_PATHS_SQL),
     "pending_work": (pending_work, PENDING_SQL),
     "merge_metadata": (merge_metadata, MERGE_SQL),
+    "merge_metadata_agreeing": (merge_metadata_agreeing, MERGE_AGREEING_SQL),
     "prepared_table": (prepared_table, PREPARED_SQL),
     "explode_descriptions": (explode_descriptions, EXPLODE_SQL),
     "mixed_sources": (mixed_sources, _mix_sql()),

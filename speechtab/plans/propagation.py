@@ -25,19 +25,23 @@ def propagate_intrinsic_tags(
     source_medians: DataFrame,
     target_medians: DataFrame,
     annotations: DataFrame,
+    source_order: DataFrame,
     threshold: float = 5.0,
     max_similar: int | None = 1000,
     min_annotations: int = 2,
 ):
     """L2 core.  ``*_medians``: (speaker, median) normalised; ``annotations``:
-    (name, tag) votes.  Returns (pairs, best-with-tags, votes, sources).
+    (name, tag) votes; ``source_order``: (name, first_seen), where each source
+    first appears in the manifest, which decides ties.  Returns (pairs, best-with-tags, votes, sources).
 
     The two sides are materialised once: they are counted to size the
     similarity blocks and then read by the join."""
     votes = TG.tag_votes(annotations, min_annotations)
     sources = TG.restrict_to(
         source_medians.select(F.col("speaker").alias("name"), F.col("median").alias("vec")), votes.select("name"), "name"
-    ).select(F.col("name").alias("source"), F.col("name").alias("source_order"), "vec")
+    ).join(source_order.select("name", "first_seen"), "name").select(
+        F.col("name").alias("source"), F.col("first_seen").alias("source_order"), "vec"
+    )
     targets = target_medians.select(F.col("speaker").alias("target"), F.col("median").alias("vec"))
     sources, targets = materialize(sources), materialize(targets)
     pairs = SIM.similar_pairs(sources, targets, threshold, max_similar)
@@ -54,7 +58,8 @@ def _run(spark: SparkSession, d: str):
     med = _medians(spark, d)
     src = med.where(bd.is_source(F.col("speaker")))
     tgt = med.where(~bd.is_source(F.col("speaker")))
-    return propagate_intrinsic_tags(src, tgt, bd.annotations(spark, d), threshold=bd.RATING_THRESHOLD)
+    order = SPK.first_seen(bd.speaker_embeddings(spark, d), "speaker", "utterance_id").withColumnRenamed("speaker", "name")
+    return propagate_intrinsic_tags(src, tgt, bd.annotations(spark, d), order, threshold=bd.RATING_THRESHOLD)
 
 
 # ----------------------------------------------------------------- queries --
@@ -115,7 +120,7 @@ def tag_votes(spark: SparkSession, d: str) -> DataFrame:
 
 TAG_VOTES_SQL = O.with_(O.SPEAKER_EMBEDDINGS, O.ANNOTATIONS, VOTES) + "SELECT name, tags FROM votes"
 
-PAIRS = f"""src AS (SELECT n.speaker AS source, n.speaker AS source_order, n.v FROM nrm n JOIN votes ON votes.name = n.speaker WHERE n.speaker % {bd.SOURCE_EVERY} = 0),
+PAIRS = f"""src AS (SELECT n.speaker AS source, (SELECT min(utterance_id) FROM speaker_embeddings e WHERE e.speaker = n.speaker) AS source_order, n.v FROM nrm n JOIN votes ON votes.name = n.speaker WHERE n.speaker % {bd.SOURCE_EVERY} = 0),
 tgt AS (SELECT speaker AS target, v FROM nrm WHERE speaker % {bd.SOURCE_EVERY} <> 0),
 allp AS (SELECT source, source_order, target, 5.0 * list_dot_product(s.v, t.v) + 1.0 AS score FROM src s, tgt t),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM allp WHERE score > {bd.RATING_THRESHOLD}),

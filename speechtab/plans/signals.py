@@ -42,12 +42,12 @@ def segments_parsed(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("filename", "channel", "segment_no", "start", "end", "line_no")
 
 
-_VAD_SQL = """vad AS (
+_VAD_SQL = f"""vad AS (
   SELECT vec_id AS line_no,
     CASE WHEN label = 8 THEN '# note ' || CAST(vec_id AS VARCHAR)
          WHEN label = 9 AND vec_id % 2 = 0 THEN ''
-         WHEN label = 9 THEN 'clip' || CAST((vec_id % 200) // 2 AS VARCHAR) || '/channel' || CAST(vec_id % 2 + 1 AS VARCHAR) || chr(9) || '(0.0, 1.0) longform'
-         ELSE 'clip' || CAST((vec_id % 200) // 2 AS VARCHAR) || '/channel' || CAST(vec_id % 2 + 1 AS VARCHAR) || chr(9) ||
+         WHEN label = 9 THEN 'clip' || CAST(({bd.SEGMENT_KEY}) // 2 AS VARCHAR) || '/channel' || CAST(vec_id % 2 + 1 AS VARCHAR) || chr(9) || '(0.0, 1.0) longform'
+         ELSE 'clip' || CAST(({bd.SEGMENT_KEY}) // 2 AS VARCHAR) || '/channel' || CAST(vec_id % 2 + 1 AS VARCHAR) || chr(9) ||
               array_to_string(list_transform(range(0, label % 3 + 1), lambda i:
                  '(' || CAST(CAST(i AS DOUBLE) * 1.25 + CAST(vec_id % 4 AS DOUBLE) * 0.25 AS VARCHAR) || ', ' ||
                  CAST(CAST(i AS DOUBLE) * 1.25 + CAST(vec_id % 4 AS DOUBLE) * 0.25 + 0.5 + CAST(label % 4 AS DOUBLE) * 0.125 AS VARCHAR) || ')'), ' ')
@@ -66,6 +66,29 @@ kept AS (SELECT s.* FROM segs s JOIN firsts f USING (filename, channel, line_no)
 SEGMENTS_PARSED_SQL = O.with_(_VAD_SQL) + 'SELECT filename, channel, segment_no, start, "end", line_no FROM kept'
 
 
+def segment_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of lines that name a pair an earlier line has named."""
+    _, rejects = SG.first_per_key(SG.parse_segment_lines(bd.vad_lines(spark, d)))
+    return rejects.select("filename", "channel", "segment_no", "line_no")
+
+
+SEGMENT_REJECTS_SQL = O.with_(_VAD_SQL) + (
+    "SELECT filename, channel, segment_no, line_no FROM segs s "
+    "WHERE line_no > (SELECT f.line_no FROM firsts f WHERE f.filename = s.filename AND f.channel = s.channel)"
+)
+
+
+def clips_without_segments(spark: SparkSession, d: str) -> DataFrame:
+    _, missing = SG.cut_segments(bd.clips(spark, d), _segments(spark, d))
+    return missing.select("filename", "channel")
+
+
+CLIPS_WITHOUT_SQL = O.with_(_VAD_SQL) + (
+    "SELECT filename, channel FROM (SELECT 'clip' || CAST(vec_id // 2 AS VARCHAR) AS filename, 'channel' || CAST(vec_id % 2 + 1 AS VARCHAR) AS channel FROM embeddings) c "
+    "WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.filename = c.filename AND k.channel = c.channel)"
+)
+
+
 def segment_cut(spark: SparkSession, d: str) -> DataFrame:
     clips = bd.clips(spark, d)
     cut, _ = SG.cut_segments(clips, _segments(spark, d))
@@ -232,16 +255,19 @@ def snapshot_retention(spark: SparkSession, d: str) -> DataFrame:
     return C.snapshot_retention(bd.snapshots(spark, d), "name", "run", KEEP_SNAPSHOTS)
 
 
-SNAPSHOT_SQL = f"""WITH s AS (SELECT o_orderstatus AS run, 'checkpoint-' || CAST(o_orderkey AS VARCHAR) || '-epoch-' || CAST(o_custkey % 10 AS VARCHAR) AS name FROM orders),
-p AS (SELECT run, name, CAST(regexp_extract(name, '^checkpoint-(\\d+)-epoch-(\\d+)$', 1) AS BIGINT) AS step,
-             CAST(regexp_extract(name, '^checkpoint-(\\d+)-epoch-(\\d+)$', 2) AS BIGINT) AS epoch FROM s
-      WHERE regexp_matches(name, '^checkpoint-(\\d+)-epoch-(\\d+)$')),
-r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC, name DESC) AS rn FROM p)
-SELECT run, name, step, epoch, rn <= {KEEP_SNAPSHOTS} AS keep, rn = 1 AS latest FROM r"""
+SNAPSHOT_SQL = f"""WITH s AS (SELECT DISTINCT o_orderstatus AS run, CASE WHEN o_orderkey % 11 = 0 THEN 'notes-' || CAST(o_orderkey AS VARCHAR)
+    WHEN o_orderkey % 3 = 0 THEN 'checkpoint-' || CAST(o_orderkey AS VARCHAR)
+    ELSE 'checkpoint-' || CAST(o_orderkey AS VARCHAR) || '-epoch-' || CAST(o_custkey % 10 AS VARCHAR) END AS name FROM orders),
+p AS (SELECT run, name, TRY_CAST(nullif(regexp_extract(name, '^checkpoint-(\\d+)(?:-epoch-(\\d+))?$', 1), '') AS BIGINT) AS step,
+             TRY_CAST(nullif(regexp_extract(name, '^checkpoint-(\\d+)(?:-epoch-(\\d+))?$', 2), '') AS BIGINT) AS epoch FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, step IS NULL ORDER BY step DESC, name DESC) AS rn FROM p)
+SELECT run, name, step, epoch, step IS NULL OR rn <= {KEEP_SNAPSHOTS} AS keep, step IS NOT NULL AND rn = 1 AS latest FROM r"""
 
 
 QUERIES = {
     "segments_parsed": (segments_parsed, SEGMENTS_PARSED_SQL),
+    "segment_rejects": (segment_rejects, SEGMENT_REJECTS_SQL),
+    "clips_without_segments": (clips_without_segments, CLIPS_WITHOUT_SQL),
     "segment_cut": (segment_cut, SEGMENT_CUT_SQL),
     "peak_normalised": (peak_normalised, PEAK_SQL),
     "clip_crops": (clip_crops, _crops_sql()),

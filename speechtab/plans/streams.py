@@ -49,11 +49,15 @@ STREAM_LABELS_SQL = O.with_(O.UTTERANCES) + (
 
 
 def stream_speaker_totals(spark: SparkSession, d: str) -> DataFrame:
-    u = bd.utterances_from(_events_stream(spark, d))
-    agg = STM.running_totals(u, "speakerid", "duration", watermark_col="ts", delay="1 day")
+    """Two arrivals of events, one micro-batch each, into one running table."""
+    e = bd.table(spark, d, "events")
     out = STM.scratch_dir(spark, "stream-totals")
-    STM.run_complete(agg, out + "/table", out + "/checkpoint")
-    t = spark.read.parquet(out + "/table")
+    u = bd.utterances_from(STM.file_stream(spark, out + "/input/*", "*.parquet", e.schema))
+    agg = STM.running_totals(u, "speakerid", "duration")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.parquet(f"{out}/input/{part}")
+        STM.run_update(agg, out + "/table", out + "/checkpoint")
+    t = STM.latest(spark, out + "/table", "speakerid")
     return t.select("speakerid", F.round(F.col("total_duration").cast("double"), 6).alias("total_duration"), "n")
 
 
@@ -73,9 +77,10 @@ SELECT user_id, event_id, position, CAST(least(floor((position + {STRIDE}) / {PL
 
 
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Events arrive in two files (earlier and later half by time, the
-    second also holding one end row per user), one micro-batch each; state
-    carries the held-back items from the first batch to the second."""
+    """Events arrive in two halves (earlier and later by time, the second also
+    holding one end row per user), one micro-batch each, as many files as the
+    table has parts; state carries the held-back items from the first half to
+    the second."""
     e = bd.table(spark, d, "events").select(
         "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("is_end")
     )
@@ -85,8 +90,7 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     mid = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m")).select("m").scalar()
     folder = STM.scratch_dir(spark, "stream-chunks")
     src = folder + "/input"
-    e.where(F.unix_micros("ts") <= mid).coalesce(1).write.parquet(src + "/a")
-    e.where(F.unix_micros("ts") > mid).unionByName(ends).coalesce(1).write.parquet(src + "/b")
+    halves = {"a": e.where(F.unix_micros("ts") <= mid), "b": e.where(F.unix_micros("ts") > mid).unionByName(ends)}
     schema = T.StructType(
         [
             T.StructField("user_id", T.LongType()),
@@ -95,12 +99,11 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
             T.StructField("is_end", T.BooleanType()),
         ]
     )
-    stream = (
-        spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "*.parquet").parquet(src)
-    )
+    stream = STM.file_stream(spark, src + "/*", "*.parquet", schema)
     out = STM.stream_chunks(stream, "user_id", "event_id", ["ts", "event_id"], "is_end", PLAY_STEPS, STRIDE)
-    STM.run_append(out, folder + "/table", folder + "/checkpoint")
+    for name, half in halves.items():
+        half.write.parquet(f"{src}/{name}")
+        STM.run_append(out, folder + "/table", folder + "/checkpoint")
     return spark.read.parquet(folder + "/table")
 
 

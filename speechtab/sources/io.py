@@ -8,6 +8,7 @@ driver except for the two small outputs that are by nature one document
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,49 +78,59 @@ def list_files(spark: SparkSession, root: str, suffix_glob: str = "*.wav", exclu
     return df
 
 
-def split_spec(names: str, configs: str | None = None, splits: str | None = None, samples: str | None = None,
-               metadata: str | None = None, default_split: str = "train") -> list[dict]:
-    """SRC7 argument check: ``+``-joined lists must agree in length."""
-    n = names.split("+")
-
-    def part(v, what):
-        if v is None:
-            return None
-        p = v.split("+")
-        if len(p) != len(n):
-            raise ValueError(f"Ensure one {what} is passed for each dataset, got {len(n)} datasets and {len(p)} {what}s.")
-        return p
-
-    c = part(configs, "config")
-    s = part(splits, "split")
-    w = part(samples, "sample")
-    m = part(metadata, "metadata dataset")
-    return [
-        {
-            "name": name,
-            "config": c[i] if c else None,
-            "split": s[i] if s else default_split,
-            "samples": float(w[i]) if w else None,
-            "metadata_dataset_name": m[i] if m else None,
-        }
-        for i, name in enumerate(n)
-    ]
-
-
-def load_many(spark: SparkSession, specs: Sequence[Mapping], root: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """SRC7 + SET1: load each named table (one split each) and union them
-    by column name, tagging ``source`` and ``split``."""
+@dataclass(frozen=True)
+class SourceSpec:
+    """SRC7: one table of a mixture: folder ``name`` (and ``config`` below it),
+    the split to take, its weight in the mix and its metadata table."""
+
+    name: str
+    config: str | None = None
+    split: str | None = "train"
+    weight: float | None = None
+    metadata: str | None = None
+
+
+def parse_sources(names: str, **lists: str | None) -> list[SourceSpec]:
+    """``SourceSpec`` for every name of a ``+``-joined list; ``config``,
+    ``split``, ``weight`` and ``metadata`` may each be such a list, as long."""
+    columns = {k: v.split("+") for k, v in lists.items() if v is not None}
+    every = names.split("+")
+    for k, v in columns.items():
+        if len(v) != len(every):
+            raise ValueError(f"{k} has {len(v)} entries for {len(every)} names: {v}")
+    rows = [dict(zip(columns, values)) for values in zip(*columns.values())] or [{}] * len(every)
+    return [SourceSpec(n, **(r | ({"weight": float(r["weight"])} if "weight" in r else {}))) for n, r in zip(every, rows)]
+
+
+def load_many(spark: SparkSession, specs: Sequence[SourceSpec], root: str | None = None, fmt: str = "parquet",
+              id_col: str = "id", on_mismatch: str = "raise", seed: int = 42) -> DataFrame:
+    """SRC7 + JN1 + SET1 + SET2: load each table (one split each), attach its
+    metadata by id, union all by column name, tagged ``source`` and ``split``,
+    and mix them if they have weights (``mix_key`` then orders the mix)."""
+    from ..operators.prepare import merge_metadata, mix_sources
+
+    weights = [sp.weight for sp in specs]
+    if any(w is not None for w in weights) and None in weights:
+        raise ValueError("give every source a weight, or none")
+
+    def load(name: str, config: str | None) -> DataFrame:
+        return spark.read.format(fmt).load("/".join(p for p in (root, name, config) if p))
+
     parts = []
     for sp in specs:
-        path = sp["name"] if root is None else f"{root}/{sp['name']}"
-        df = spark.read.format(fmt).load(path)
-        if "split" in df.columns:
-            if sp.get("split") is not None:
-                df = df.where(F.col("split") == sp["split"])
-        else:
-            df = df.withColumn("split", F.lit(sp.get("split")))
-        parts.append(df.withColumn("source", F.lit(sp["name"])))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        df = load(sp.name, sp.config)
+        if sp.split is not None:
+            df = df.where(F.col("split") == sp.split) if "split" in df.columns else df.withColumn("split", F.lit(sp.split))
+        if sp.metadata is not None:
+            md = load(sp.metadata, sp.config)
+            if sp.split is not None and "split" in md.columns:
+                md = md.where(F.col("split") == sp.split)
+            df = merge_metadata(df, md, id_col, on_mismatch=on_mismatch)
+        parts.append(df.withColumn("source", F.lit(sp.name)))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if weights and weights[0] is not None:
+        out = mix_sources(out, {sp.name: sp.weight for sp in specs}, "source", id_col, seed)
+    return out
 
 
 # ------------------------------------------------------------------- sinks --
@@ -141,9 +152,11 @@ def save_or_reuse(spark: SparkSession, df: DataFrame, path: str, split_col: str
                   mode: str = "errorifexists") -> DataFrame:
     """SNK1: write the table (partitioned by split) unless it is already
     there; either way return the saved table, so later steps read it
-    instead of recomputing (and lineage is cut)."""
-    if not exists(spark, path):
-        w = df.write.mode(mode)
+    instead of recomputing (and lineage is cut).  A folder counts as saved
+    when its write was committed (``_SUCCESS``); one that a crash left
+    behind is written anew."""
+    if not exists(spark, path.rstrip("/") + "/_SUCCESS"):
+        w = df.write.mode("overwrite" if exists(spark, path) else mode)
         if split_col is not None and split_col in df.columns:
             w = w.partitionBy(split_col)
         w.parquet(path)
@@ -188,9 +201,11 @@ def load_edges(spark: SparkSession, path: str) -> dict[str, list[float]]:
 
 
 def append_chunk(df: DataFrame, path: str, chunk_id: int) -> None:
-    """SNK5: append one chunk (a ``chunk_id`` partition); reading the folder
-    is the concatenation, in chunk order when sorted by ``chunk_id``."""
-    df.withColumn("chunk_id", F.lit(int(chunk_id))).write.mode("append").partitionBy("chunk_id").parquet(path)
+    """SNK5: write one chunk (a ``chunk_id`` partition); reading the folder
+    is the concatenation, in chunk order when sorted by ``chunk_id``.  A
+    chunk written again replaces itself and no other."""
+    out = df.withColumn("chunk_id", F.lit(int(chunk_id))).write.mode("overwrite").partitionBy("chunk_id")
+    out.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def done_chunks(spark: SparkSession, path: str) -> list[int]:

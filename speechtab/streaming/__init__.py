@@ -61,32 +61,38 @@ def run_append(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_complete(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """Drive a complete/update-mode aggregate to completion; each micro-batch
-    replaces the table with the current result (exactly-once per epoch)."""
+def run_update(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Drive an aggregate to completion in update mode: a micro-batch writes
+    the rows it changed, and nothing else, to a partition of its own, which a
+    retried batch replaces.  :func:`latest` reads the current result."""
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={epoch_id}")
 
     q = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
 
 
-def running_totals(stream: DataFrame, key: str, duration_col: str, watermark_col: str | None = None,
-                   delay: str = "1 day") -> DataFrame:
+def latest(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
+    """The current rows of a table written by :func:`run_update`: per key the
+    last batch that changed it."""
+    t = spark.read.option("basePath", out_dir).parquet(out_dir)
+    rest = [c for c in t.columns if c not in (key, "batch_id")]
+    last = t.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_r"))
+    return last.select(key, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def running_totals(stream: DataFrame, key: str, duration_col: str) -> DataFrame:
     """STM4: per speaker total duration (exact decimal) and clip count as data
-    arrives.  With ``watermark_col`` late rows older than ``delay`` are
-    dropped from state bookkeeping (update mode)."""
-    s = stream
-    if watermark_col is not None:
-        s = s.withWatermark(watermark_col, delay)
-    return s.groupBy(key).agg(
+    arrives.  Totals are over all time, so no row is ever too late, and state
+    holds one row for every key."""
+    return stream.groupBy(key).agg(
         F.sum(F.col(duration_col).cast("decimal(38,9)")).alias("total_duration"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -121,77 +127,76 @@ def chunk_emission(df: DataFrame, key: str, order_cols: list[str], item_col: str
     return pos.select(key, item_col, "position", chunk_of(F.col("position"), F.col("_total"), play_steps, stride).alias("chunk"))
 
 
-_CHUNK_STATE = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("pend_items", T.ArrayType(T.LongType())),
-        T.StructField("pend_pos", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def _chunk_fn(key: str, item_col: str, order_cols: list[str], end_col: str, play_steps: int, stride: int):
+def _chunk_fn(key: str, item_col: str, order_cols: list[str], end_col: str, play_steps: int, stride: int, timeout_ms: int | None):
     def fn(keys, pdfs, state):
         if state.exists:
             n, pend_items, pend_pos = state.get
             pend_items, pend_pos = list(pend_items), list(pend_pos)
         else:
             n, pend_items, pend_pos = 0, [], []
-        ended = False
-        for pdf in pdfs:
-            pdf = pdf.sort_values(order_cols, kind="mergesort")
-            ended = ended or bool(pdf[end_col].any())
-            items = pdf.loc[~pdf[end_col].astype(bool), item_col].tolist()
-            pend_items.extend(int(i) for i in items)
+        ended = bool(state.hasTimedOut)
+        # rows of a key may come in several frames, in any order
+        new = pd.concat(list(pdfs)) if not ended else None
+        if new is not None and len(new):
+            new = new.sort_values(order_cols, kind="mergesort")
+            closing = new[end_col].fillna(False).astype(bool)
+            ended = bool(closing.any())
+            items = new.loc[~closing, item_col].tolist()
+            pend_items.extend(items)
             pend_pos.extend(range(n, n + len(items)))
             n += len(items)
-        out_items, out_pos, out_chunk = [], [], []
+        bound = (n // play_steps) * play_steps - stride
+        out = [(i, p) for i, p in zip(pend_items, pend_pos) if ended or p < bound]
         if ended:
-            last = n // play_steps + 1
-            out_items, out_pos = pend_items, pend_pos
-            out_chunk = [min((p + stride) // play_steps + 1, last) for p in pend_pos]
             state.remove()
         else:
-            bound = (n // play_steps) * play_steps - stride
-            keep_i, keep_p = [], []
-            for i, p in zip(pend_items, pend_pos):
-                if p < bound:
-                    out_items.append(i)
-                    out_pos.append(p)
-                    out_chunk.append((p + stride) // play_steps + 1)
-                else:
-                    keep_i.append(i)
-                    keep_p.append(p)
-            state.update((n, keep_i, keep_p))
-        if out_items:
+            state.update((n, pend_items[len(out):], pend_pos[len(out):]))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+        if out:
+            last = n // play_steps + 1
             yield pd.DataFrame(
-                {key: [keys[0]] * len(out_items), item_col: out_items, "position": out_pos, "chunk": out_chunk}
+                {
+                    key: [keys[0]] * len(out),
+                    item_col: [i for i, _ in out],
+                    "position": [p for _, p in out],
+                    "chunk": [min((p + stride) // play_steps + 1, last) for _, p in out],
+                }
             )
 
     return fn
 
 
 def stream_chunks(stream: DataFrame, key: str, item_col: str, order_cols: list[str], end_col: str = "is_end",
-                  play_steps: int = 10, stride: int = 3) -> DataFrame:
-    """STM2 on a stream: per key, items whose chunk is final are emitted as
-    soon as a multiple of ``play_steps`` items has arrived; the rest (fewer
-    than play_steps + stride items) wait in state until a row with
-    ``end_col`` true closes the key and flushes them."""
+                  play_steps: int = 10, stride: int = 3, timeout_ms: int | None = None) -> DataFrame:
+    """STM2 on a stream: per key, items (of any type) whose chunk is final are
+    emitted as soon as a multiple of ``play_steps`` items has arrived; the rest
+    (fewer than play_steps + stride items) wait in state until a row with
+    ``end_col`` true closes the key and flushes them, or, with ``timeout_ms``,
+    until no row of the key has come for so long (processing time).  Items are
+    ordered within a micro-batch; micro-batches follow each other."""
     _check_steps(play_steps, stride)
-    kt = stream.schema[key].dataType
+    item = stream.schema[item_col].dataType
     out = T.StructType(
         [
-            T.StructField(key, kt),
-            T.StructField(item_col, T.LongType()),
+            T.StructField(key, stream.schema[key].dataType),
+            T.StructField(item_col, item),
             T.StructField("position", T.LongType()),
             T.StructField("chunk", T.LongType()),
         ]
     )
+    kept = T.StructType(
+        [
+            T.StructField("n", T.LongType()),
+            T.StructField("pend_items", T.ArrayType(item)),
+            T.StructField("pend_pos", T.ArrayType(T.LongType())),
+        ]
+    )
     cols = list(dict.fromkeys([key, item_col, *order_cols, end_col]))
     return stream.select(*cols).groupBy(key).applyInPandasWithState(
-        _chunk_fn(key, item_col, order_cols, end_col, play_steps, stride),
+        _chunk_fn(key, item_col, order_cols, end_col, play_steps, stride, timeout_ms),
         outputStructType=out,
-        stateStructType=_CHUNK_STATE,
+        stateStructType=kept,
         outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )

@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from speechtab.schema import MANIFEST
 from speechtab.sources import io as IO
@@ -49,17 +50,17 @@ def test_edges_round_trip(spark, tmp):
     assert IO.load_edges(spark, f"{tmp}/edges") == {"noise": [0.0, 1.0, 2.0], "speaking_rate": [0.0, 5.0]}
 
 
-def test_list_files_and_split_spec(spark, tmp):
+def test_list_files_and_source_specs(spark, tmp):
     os.makedirs(f"{tmp}/d/sub")
     for p in ("d/a.wav", "d/sub/b.wav", "d/sub/b_denoised.wav", "d/c.txt"):
         with open(f"{tmp}/{p}", "wb") as f:
             f.write(b"xx")
     got = IO.list_files(spark, f"{tmp}/d", "*.wav", exclude_like=["%_denoised.wav"]).select("path").collect()
     assert sorted(os.path.basename(r[0]) for r in got) == ["a.wav", "b.wav"]
-    spec = IO.split_spec("a+b", "c1+c2", "train+dev", "1+2")
-    assert [s["split"] for s in spec] == ["train", "dev"] and spec[1]["samples"] == 2.0
+    spec = IO.parse_sources("a+b", config="c1+c2", split="train+dev", weight="1+2")
+    assert [s.split for s in spec] == ["train", "dev"] and spec[1].weight == 2.0 and IO.parse_sources("a")[0].split == "train"
     with pytest.raises(ValueError):
-        IO.split_spec("a+b", "c1")
+        IO.parse_sources("a+b", config="c1")
 
 
 def test_json_rows_and_run_args(spark, tmp):
@@ -73,11 +74,44 @@ def test_json_rows_and_run_args(spark, tmp):
 def test_load_many_tags_source_and_split(spark, tmp):
     spark.createDataFrame([(1, "train"), (2, "dev")], "id long, split string").write.parquet(f"{tmp}/a")
     spark.createDataFrame([(3, "x")], "id long, text string").write.parquet(f"{tmp}/b")
-    specs = IO.split_spec("a+b", splits="dev+train")
+    specs = IO.parse_sources("a+b", split="dev+train")
     got = sorted((r["source"], r["id"], r["split"], r["text"]) for r in IO.load_many(spark, specs, root=tmp).collect())
     assert got == [("a", 2, "dev", None), ("b", 3, "train", "x")]
 
 
+def test_load_many_merges_metadata_and_mixes(spark, tmp):
+    for name, lo in (("a", 0), ("b", 1000)):
+        df = spark.range(lo, lo + 400).select("id", F.when(F.col("id") % 2 == 0, "train").otherwise("dev").alias("split"))
+        df.write.parquet(f"{tmp}/{name}/c1")
+        df.select("id", "split", (F.col("id") * 2).alias("twice")).write.parquet(f"{tmp}/{name}_md/c1")
+    specs = IO.parse_sources("a+b", config="c1+c1", weight="3+1", metadata="a_md+b_md")
+    got = IO.load_many(spark, specs, root=tmp)
+    assert got.where("twice <> 2 * id OR split <> 'train' OR mix_key IS NULL").count() == 0
+    n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert n["a"] == 200 and 40 < n["b"] < 95
+    spark.range(3).write.parquet(f"{tmp}/c_md")
+    spark.range(4).write.parquet(f"{tmp}/c")
+    with pytest.raises(Exception, match="id in the dataset"):
+        IO.load_many(spark, IO.parse_sources("c", metadata="c_md"), root=tmp).collect()
+
+
+def test_a_half_written_table_is_not_reused(spark, tmp):
+    import glob
+
+    df = spark.range(100).withColumn("split", F.lit("train"))
+    spark.range(3).withColumn("split", F.lit("train")).write.partitionBy("split").parquet(f"{tmp}/t")
+    for f in glob.glob(f"{tmp}/t/*_SUCCESS*") + glob.glob(f"{tmp}/t/.*SUCCESS*"):
+        os.remove(f)
+    assert IO.save_or_reuse(spark, df, f"{tmp}/t").count() == 100
+    assert IO.save_or_reuse(spark, df.limit(1), f"{tmp}/t").count() == 100
+
+
+def test_a_chunk_written_twice_is_there_once(spark, tmp):
+    for k in (0, 1, 1):
+        IO.append_chunk(spark.range(5), f"{tmp}/c", k)
+    assert spark.read.parquet(f"{tmp}/c").count() == 10
+
+
 def test_checkpoint_dir_comes_from_the_session(spark):
     from speechtab.session import ensure_checkpoint_dir, materialize
 

@@ -8,10 +8,10 @@ def _vec_df(spark, rows):
     return spark.createDataFrame(rows, "speaker long, embedding array<float>")
 
 
-def test_median_vectors_equal_numpy_small_and_large_groups(spark):
+def test_median_vectors_equal_numpy_for_any_group_size(spark):
     rng = np.random.default_rng(0)
     rows, groups = [], {}
-    sizes = {1: 10, 2: 7, 3: 1, 4: SIM.SMALL_GROUP_ROWS + 9}  # group 4 takes the exploded path
+    sizes = {1: 10, 2: 7, 3: 1, 4: 73, 5: 2000}
     for g, n in sizes.items():
         m = rng.normal(size=(n, 6)).astype(np.float32)
         groups[g] = m
@@ -87,9 +87,25 @@ def test_pair_scores_use_crop_means(spark):
 
 def test_median_with_nan_like_numpy(spark):
     rows = [(1, [1.0, float("nan")]), (1, [2.0, 5.0]), (1, [3.0, 6.0])]
-    rows += [(2, [float(i), float("nan") if i == 3 else float(i)]) for i in range(SIM.SMALL_GROUP_ROWS + 5)]
+    rows += [(2, [float(i), float("nan") if i == 3 else float(i)]) for i in range(69)]
     df = spark.createDataFrame(rows, "speaker long, embedding array<double>")
     got = {r["speaker"]: r["median"] for r in SIM.median_vectors(df, normalize=False).collect()}
     for g in (1, 2):
         m = np.median(np.array([v for k, v in rows if k == g]), axis=0)
         assert all((np.isnan(a) and np.isnan(b)) or a == b for a, b in zip(got[g], m)), (g, got[g], m)
+
+
+def test_median_rule_is_one_for_all_sizes(spark):
+    """NULL components do not count, NaN makes the dimension NaN, whatever the size."""
+    rows, want = [], {}
+    for g, n in enumerate((1, 2, 63, 64, 65, 5000)):
+        v = [[float(i), None if i % 3 == 1 else float(-i), float("nan") if i == n - 1 else 1.0] for i in range(n)]
+        rows += [(g, x) for x in v]
+        some = [x[1] for x in v if x[1] is not None]
+        want[g] = (float(np.median([x[0] for x in v])), float(np.median(some)))
+    rows += [(0, None), (None, [1.0, 1.0, 1.0]), (9, [2.0]), (9, [4.0, 8.0])]
+    df = spark.createDataFrame(rows, "speaker long, embedding array<double>")
+    got = {r["speaker"]: r["median"] for r in SIM.median_vectors(df, normalize=False).collect()}
+    assert got.pop(9) == [3.0, 8.0] and None not in got
+    for g, m in got.items():
+        assert tuple(m[:2]) == want[g] and np.isnan(m[2])

@@ -72,5 +72,30 @@ def test_enrich_factory_gets_task_context(spark):
         return score
 
     schema = T.StructType([T.StructField("part", T.IntegerType())])
-    parts = {r["part"] for r in enrich(df, factory, ["t"], schema, keep_cols=["id"]).collect()}
+    parts = {r["part"] for r in enrich(df, factory, ["t"], schema, keep_cols=["id"], with_context=True).collect()}
     assert parts <= {0, 1} and len(parts) >= 1
+
+
+def test_enrich_factory_with_a_default_argument(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string").repartition(2)
+
+    def factory(scale=3):
+        return lambda pdf: pd.DataFrame({"n": [scale] * len(pdf)})
+
+    schema = T.StructType([T.StructField("n", T.IntegerType())])
+    assert {r["n"] for r in enrich(df, factory, ["t"], schema, keep_cols=["id"]).collect()} == {3}
+
+
+def test_stream_chunks_of_strings_over_several_batches(spark):
+    from speechtab.streaming import chunk_emission, file_stream, run_append, scratch_dir, stream_chunks
+
+    rows = [("k", f"i{n:03d}", n, False) for n in range(47)] + [("k", "", 99, True), ("open", "x", 1, False)]
+    schema = "key string, item string, t long, is_end boolean"
+    out = scratch_dir(spark, "strings")
+    stream = file_stream(spark, out + "/in/*", "*.parquet", spark.createDataFrame([], schema).schema)
+    for k, (lo, hi) in enumerate([(0, 5), (5, 23), (23, 49)]):
+        spark.createDataFrame(rows[lo:hi], schema).repartition(3).write.parquet(f"{out}/in/{k}")
+        run_append(stream_chunks(stream, "key", "item", ["t"]), out + "/t", out + "/c")
+    got = sorted((r["item"], r["position"], r["chunk"]) for r in spark.read.parquet(out + "/t").collect())
+    batch = chunk_emission(spark.createDataFrame(rows[:47], schema).drop("is_end"), "key", ["t"], "item")
+    assert got == sorted((r["item"], r["position"], r["chunk"]) for r in batch.collect())

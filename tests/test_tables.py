@@ -87,12 +87,16 @@ def test_audio_paths_and_unknown_source(spark):
 def test_merge_metadata_prefers_dataset_and_reports_mismatch(spark):
     ds = spark.createDataFrame([(1, "d1", "x"), (2, "d2", "y")], "id long, text string, lang string")
     md = spark.createDataFrame([(1, "m1", 0.5), (3, "m3", 0.1)], "id long, text string, score double")
-    m = P.merge_metadata(ds, md, "id").collect()
+    m = P.merge_metadata(ds, md, "id", on_mismatch="inner").collect()
     assert [(r["id"], r["text"], r["score"], r["metadata_id"]) for r in m] == [(1, "d1", 0.5, 1)]
     mm = sorted((r["id"], r["side"]) for r in P.merge_mismatches(ds, md).collect())
     assert mm == [(2, "dataset"), (3, "metadata")]
     with pytest.raises(ValueError):
         P.assert_merge_agrees(ds, md)
+    for bad in (md, md.where("id = 1"), ds.unionByName(ds.limit(1))):
+        with pytest.raises(Exception, match="id (in|more)"):
+            P.merge_metadata(ds, bad, "id").collect()
+    assert [r["id"] for r in P.merge_metadata(ds, ds, "id").orderBy("id").collect()] == [1, 2]
 
 
 def test_mix_sources_keeps_smallest_whole(spark):
@@ -104,12 +108,15 @@ def test_mix_sources_keeps_smallest_whole(spark):
 
 
 def test_snapshot_retention(spark):
-    names = ["checkpoint-10-epoch-0", "checkpoint-30-epoch-1", "checkpoint-20-epoch-0", "checkpoint-x", "checkpoint-5-epoch-0"]
+    names = ["checkpoint-10-epoch-0", "checkpoint-30-epoch-1", "checkpoint-20-epoch-0", "checkpoint-x", "checkpoint-5-epoch-0", "checkpoint-25", "checkpoint-25"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     r = {x["name"]: (x["keep"], x["latest"]) for x in C.snapshot_retention(df, "name", None, 2).collect()}
+    assert C.snapshot_retention(df, "name", None, 2).count() == 6
     assert r == {
+        "checkpoint-x": (True, False),
         "checkpoint-30-epoch-1": (True, True),
-        "checkpoint-20-epoch-0": (True, False),
+        "checkpoint-25": (True, False),
+        "checkpoint-20-epoch-0": (False, False),
         "checkpoint-10-epoch-0": (False, False),
         "checkpoint-5-epoch-0": (False, False),
     }
@@ -150,3 +157,47 @@ def test_positions_without_exchange_reuse(spark):
         assert [p for k, t, p in got if k == "a"] == list(range(500)) and ("b", 1, 0) in got
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_positions_with_payload_columns_at_scale(spark):
+    from pyspark.sql import Window
+    from speechtab.operators.ordering import positions_within_key
+
+    df = spark.range(300_000).select((F.col("id") % 3).alias("key"), F.xxhash64("id").alias("t"), F.lit("x").alias("payload"), (F.col("id") % 7).alias("other"))
+    got = positions_within_key(df, "key", ["t"], "pos", "total")
+    want = F.row_number().over(Window.partitionBy("key").orderBy("t")) - 1
+    assert got.count() == 300_000
+    assert got.withColumn("want", want).where("pos <> want OR total <> 100000").count() == 0
+
+
+def test_mixing_order_holds_the_sources_in_proportion(spark):
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    mixed = P.mix_sources(df, {"a": 0.5, "b": 0.5}).withColumn("tenth", F.substring("mix_key", 1, 1))
+    shares = mixed.groupBy("tenth").agg(F.avg((F.col("source") == "a").cast("int")).alias("s")).collect()
+    assert len(shares) == 16 and all(0.4 < r["s"] < 0.6 for r in shares)
+
+
+def test_histogram_takes_an_extreme_value(spark):
+    from speechtab.operators.binning import histogram_table
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v")).unionAll(spark.createDataFrame([(1e12,)], "v double"))
+    rows = histogram_table(df, "v", 10, std_tolerance=3.0).collect()
+    assert sum(r["n"] for r in rows if r["stage"] == "before") == 1001
+    assert sum(r["n"] for r in rows if r["stage"] == "after") == 1000
+
+
+def test_unknown_gender_has_no_label(spark):
+    from speechtab.operators.binning import speaker_pitch_labels
+
+    rows = [(i, i, 100.0 + i, "male" if i % 2 else "female") for i in range(40)] + [(90, 90, 500.0, None), (91, 91, 500.0, "other")]
+    df = spark.createDataFrame(rows, "speakerid long, utterance_id long, utterance_pitch_mean double, gender string")
+    got = {r["speakerid"]: r["pitch"] for r in speaker_pitch_labels(df, ["low", "mid", "high"], speaker_col="speakerid").collect()}
+    assert got[90] is None and got[91] is None and got[1] is not None
+
+
+def test_tokens_are_unicode_words(spark):
+    from speechtab.functions.text import count_tokens, simple_tokens
+
+    df = spark.createDataFrame([("déjà vu\u00a0façade, ok",)], "t string")
+    r = df.select(simple_tokens(F.col("t")).alias("w"), count_tokens(F.col("t")).alias("n")).collect()[0]
+    assert r["w"] == ["déjà", "vu", "façade", ",", "ok"] and r["n"] == 5
