@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import SPEAKER_RATE_BINS
 from ..operators import binning as B
+from ..operators import segments as SG
 from ..operators import speakers as SPK
 from ..operators import tags as TG
 from ..schema import MANIFEST
@@ -19,6 +20,7 @@ from . import basic_tags as BT
 from . import bindings as bd
 from . import oracle as O
 from . import propagation as PP
+from . import signals as PS
 
 
 def manifest_tsv(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +65,71 @@ def annotation_votes_json(spark: SparkSession, d: str) -> DataFrame:
 ANNOTATION_JSON_SQL = PP.TAG_VOTES_SQL
 
 
+def annotation_map_json(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations as JSON objects ``{name: [tag, ...]}``, one file for each of
+    a number of name buckets that grows with the names -> SRC3 map reader -> AGG6 votes."""
+    ann = bd.annotations(spark, d)
+    per_name = ann.groupBy("name").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+    per_name = per_name.withColumn("bucket", F.expr("name div 64"))  # at most 64 names to an object
+    maps = per_name.groupBy("bucket").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("name").cast("string"), "tags")))).alias("value"))
+    path = scratch_dir(spark, "annotation-map")
+    maps.write.partitionBy("bucket").text(path)
+    votes = TG.tag_votes(IO.read_annotation_map(spark, path), 2)
+    return votes.select(F.col("name").cast("bigint").alias("name"), "tags")
+
+
+def aligned_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled manifest rows with their embeddings, joined by id (SRC5)."""
+    e = bd.speaker_embeddings(spark, d).select("utterance_id", "embedding")
+    a = IO.align_embeddings(PP.manifest_sample(spark, d), e)
+    return a.select("utterance_id", "speaker", F.size("embedding").cast("bigint").alias("n"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+ALIGNED_SQL = f"""WITH m AS ({PP.MANIFEST_SAMPLE_SQL})
+SELECT m.utterance_id, m.speaker, CAST(len(e.embedding) AS BIGINT) AS n, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first
+FROM m JOIN embeddings e ON e.vec_id = m.utterance_id"""
+
+LOADED = {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 1.0}
+
+
+def loaded_sources(spark: SparkSession, d: str) -> DataFrame:
+    """One folder and one metadata folder for each language -> SRC7 loader
+    (split, metadata by id, weights)."""
+    docs = bd.transcripts(spark, d).select("id", "lang", "n_chars", F.when(F.col("id") % 10 < 8, "train").otherwise("dev").alias("split"))
+    root = scratch_dir(spark, "sources")
+    for lang in LOADED:
+        part = docs.where(F.col("lang") == lang)
+        part.select("id", "split", "n_chars").write.parquet(f"{root}/{lang}/base")
+        part.select("id", "split", (F.col("n_chars") * 2).alias("doubled")).write.parquet(f"{root}/{lang}-md/base")
+    specs = IO.parse_sources(
+        "+".join(LOADED), config="+".join(["base"] * 4), split="+".join(["train"] * 4),
+        weight="+".join(str(w) for w in LOADED.values()), metadata="+".join(f"{x}-md" for x in LOADED),
+    )
+    return IO.load_many(spark, specs, root).select("id", "source", "split", "n_chars", "doubled", "mix_key")
+
+
+def _loaded_sql() -> str:
+    total = sum(LOADED.values())
+    p = " ".join(f"WHEN source = '{k}' THEN {v / total!r}" for k, v in LOADED.items())
+    return f"""WITH part AS (SELECT doc_id AS id, lang AS source, n_chars FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') AND doc_id % 10 < 8),
+sizes AS (SELECT source, count(*) AS r, CASE {p} END AS p FROM part GROUP BY source),
+nn AS (SELECT min(r / p) AS n FROM sizes)
+SELECT id, source, 'train' AS split, n_chars, n_chars * 2 AS doubled, md5('42:order:' || CAST(id AS VARCHAR)) AS mix_key
+FROM part JOIN sizes USING (source), nn
+WHERE CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p * n / r"""
+
+
+def segment_lines_file(spark: SparkSession, d: str) -> DataFrame:
+    """Segment lines as text files -> SRC8 reader -> STR1, counted by channel."""
+    path = scratch_dir(spark, "segment-lines")
+    bd.vad_lines(spark, d).select("line").write.text(path)
+    parsed = SG.parse_segment_lines(SG.read_lines(spark, path))
+    return parsed.groupBy("filename", "channel").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("end"), 6).alias("ends"))
+
+
+SEGMENT_LINES_SQL = O.with_(PS.VAD_SQL) + 'SELECT filename, channel, count(*) AS segments, round(sum("end"), 6) AS ends FROM segs GROUP BY 1, 2'
+
+
 def saved_edges_labels(spark: SparkSession, d: str) -> DataFrame:
     """AGG2 -> SNK4 (edges JSON) -> reload -> BIN1 with the saved edges."""
     u = bd.utterances(spark, d)
@@ -113,6 +180,10 @@ CHUNKED_SQL = (
 QUERIES = {
     "manifest_tsv": (manifest_tsv, MANIFEST_TSV_SQL),
     "annotation_votes_json": (annotation_votes_json, ANNOTATION_JSON_SQL),
+    "annotation_map_json": (annotation_map_json, ANNOTATION_JSON_SQL),
+    "aligned_embeddings": (aligned_embeddings, ALIGNED_SQL),
+    "loaded_sources": (loaded_sources, _loaded_sql()),
+    "segment_lines_file": (segment_lines_file, SEGMENT_LINES_SQL),
     "saved_edges_labels": (saved_edges_labels, SAVED_EDGES_SQL),
     "split_table_reuse": (split_table_reuse, SPLIT_REUSE_SQL),
     "chunked_codes": (chunked_codes, CHUNKED_SQL),

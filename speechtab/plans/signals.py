@@ -42,7 +42,7 @@ def segments_parsed(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("filename", "channel", "segment_no", "start", "end", "line_no")
 
 
-_VAD_SQL = f"""vad AS (
+VAD_SQL = f"""vad AS (
   SELECT vec_id AS line_no,
     CASE WHEN label = 8 THEN '# note ' || CAST(vec_id AS VARCHAR)
          WHEN label = 9 AND vec_id % 2 = 0 THEN ''
@@ -63,7 +63,7 @@ segs AS (
 firsts AS (SELECT filename, channel, min(line_no) AS line_no FROM segs GROUP BY 1, 2),
 kept AS (SELECT s.* FROM segs s JOIN firsts f USING (filename, channel, line_no))"""
 
-SEGMENTS_PARSED_SQL = O.with_(_VAD_SQL) + 'SELECT filename, channel, segment_no, start, "end", line_no FROM kept'
+SEGMENTS_PARSED_SQL = O.with_(VAD_SQL) + 'SELECT filename, channel, segment_no, start, "end", line_no FROM kept'
 
 
 def segment_rejects(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def segment_rejects(spark: SparkSession, d: str) -> DataFrame:
     return rejects.select("filename", "channel", "segment_no", "line_no")
 
 
-SEGMENT_REJECTS_SQL = O.with_(_VAD_SQL) + (
+SEGMENT_REJECTS_SQL = O.with_(VAD_SQL) + (
     "SELECT filename, channel, segment_no, line_no FROM segs s "
     "WHERE line_no > (SELECT f.line_no FROM firsts f WHERE f.filename = s.filename AND f.channel = s.channel)"
 )
@@ -83,7 +83,7 @@ def clips_without_segments(spark: SparkSession, d: str) -> DataFrame:
     return missing.select("filename", "channel")
 
 
-CLIPS_WITHOUT_SQL = O.with_(_VAD_SQL) + (
+CLIPS_WITHOUT_SQL = O.with_(VAD_SQL) + (
     "SELECT filename, channel FROM (SELECT 'clip' || CAST(vec_id // 2 AS VARCHAR) AS filename, 'channel' || CAST(vec_id % 2 + 1 AS VARCHAR) AS channel FROM embeddings) c "
     "WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.filename = c.filename AND k.channel = c.channel)"
 )
@@ -99,7 +99,7 @@ def segment_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEGMENT_CUT_SQL = O.with_(
-    _VAD_SQL,
+    VAD_SQL,
     f"""clips AS (SELECT 'clip' || CAST(vec_id // 2 AS VARCHAR) AS filename, 'channel' || CAST(vec_id % 2 + 1 AS VARCHAR) AS channel,
    CAST(embedding AS DOUBLE[]) AS samples, {bd.CLIP_RATE} AS rate FROM embeddings),
 j AS (SELECT k.*, c.samples, len(c.samples) AS n,

@@ -7,7 +7,9 @@ fill in settings that the caller (or the cluster) left unset.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,8 +35,8 @@ def ship_package(spark: SparkSession) -> None:
     Functions that run in workers (pandas UDFs, ``mapInPandas``,
     ``applyInPandas``) are pickled by reference to this package, so the
     package is zipped once and added with ``addPyFile`` (Spark ships it to
-    every executor).  The zip is the driver's code artifact, built beside the
-    package sources."""
+    every executor).  The zip is the driver's own code artifact, in a temporary
+    folder that goes with the process: the package itself may be read-only."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: no context to ship through
@@ -46,8 +48,8 @@ def ship_package(spark: SparkSession) -> None:
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = os.path.join(root, ".build")
-    os.makedirs(out_dir, exist_ok=True)
+    out_dir = tempfile.mkdtemp(prefix="speechtab-code-")
+    atexit.register(shutil.rmtree, out_dir, ignore_errors=True)
     path = os.path.join(out_dir, f"speechtab-{sc.applicationId}.zip")
     if not os.path.exists(path):
         tmp = path + ".part"
