@@ -135,17 +135,21 @@ def label_by_learned_bins(
 
 def speaker_means(df: DataFrame, speaker_col: str, value_col: str, gender_col: str, order_col: str) -> DataFrame:
     """AGG1: per speaker, mean of ``value_col`` skipping NaN and the first
-    non-null gender by ``order_col``; NULL speaker keys are dropped."""
+    non-null gender by ``order_col``; NULL speaker keys are dropped.
+
+    The pass over all utterances is a hash aggregate of numbers by speaker and
+    gender; the first gender is then picked among the few rows of a speaker."""
     require_columns(df, [speaker_col, value_col, gender_col, order_col])
     v = F.col(value_col)
     g = F.col(gender_col)
-    return (
-        df.where(F.col(speaker_col).isNotNull())
-        .groupBy(speaker_col)
-        .agg(
-            F.avg(F.when(_valid(v), v)).alias(value_col),
-            F.min_by(g, F.when(g.isNotNull(), F.col(order_col))).alias(gender_col),
-        )
+    per_gender = df.where(F.col(speaker_col).isNotNull()).groupBy(speaker_col, gender_col).agg(
+        F.sum(F.when(_valid(v), v.cast("double"))).alias("_s"),
+        F.count(F.when(_valid(v), F.lit(1))).alias("_n"),
+        F.min(order_col).alias("_o"),
+    )
+    return per_gender.groupBy(speaker_col).agg(
+        F.when(F.sum("_n") > 0, F.sum("_s") / F.sum("_n")).alias(value_col),
+        F.min_by(g, F.when(g.isNotNull(), F.col("_o"))).alias(gender_col),
     )
 
 

@@ -34,8 +34,8 @@ def propagate_intrinsic_tags(
     (name, tag) votes; ``source_order``: (name, first_seen), where each source
     first appears in the manifest, which decides ties.  Returns (pairs, best-with-tags, votes, sources).
 
-    The two sides are materialised once: they are counted to size the
-    similarity blocks and then read by the join."""
+    The two sides are kept: they are counted once, to size the similarity
+    blocks, and then read by the join."""
     votes = TG.tag_votes(annotations, min_annotations)
     sources = TG.restrict_to(
         source_medians.select(F.col("speaker").alias("name"), F.col("median").alias("vec")), votes.select("name"), "name"
@@ -43,7 +43,7 @@ def propagate_intrinsic_tags(
         F.col("name").alias("source"), F.col("first_seen").alias("source_order"), "vec"
     )
     targets = target_medians.select(F.col("speaker").alias("target"), F.col("median").alias("vec"))
-    sources, targets = materialize(sources), materialize(targets)
+    sources, targets = sources.persist(), targets.persist()
     pairs = SIM.similar_pairs(sources, targets, threshold, max_similar)
     best = SIM.best_source(pairs)
     tagged = TG.attach_parent_tags(best, votes)
