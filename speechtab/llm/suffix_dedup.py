@@ -293,9 +293,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
                 )
 
     spans = written(docs.select("id", "rk", "text").mapInArrow(find, f"id {kind}, rk long, a long, lo long, hi long, key long, span long"), "anchors")
-    # grams that occur once end here
+    # grams that occur once end here; the counts are written, so that the join
+    # is one of two plain shuffles and Spark can split a gram that very many have
     grams = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("span") == F.max("span")).alias("alike")).where("n > 1")
-    shared = written(spans.join(grams.select("key", "alike"), "key"), "shared")
+    grams = written(grams.select("key", "alike"), "grams")
+    shared = written(spans.join(grams, "key"), "shared")
     # different spans of a gram, each once, with how often it occurs
     unlike = shared.where("NOT alike").groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rk", "a", "lo", "hi")).alias("at"))
     unlike = written(unlike, "unlike")
@@ -371,7 +373,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], names=["id", "rk", "lo", "digest"])
 
         windows = content.join(large, "key", "left_semi").select("id", "rk", "key", "n", "lo", "off", "body").mapInArrow(digests, f"id {kind}, rk long, lo long, digest binary")
-        often = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        windows = written(windows, "windows")
+        often = written(windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "often")
         found = found.unionAll(windows.join(often, "digest").select("id", "rk", "lo", F.col("lo").alias("hi")))
     return found
 
