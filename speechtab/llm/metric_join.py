@@ -168,9 +168,10 @@ def _join(reps: DataFrame, cosine: float, block: int, pivots: int) -> DataFrame:
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, per = cells.first, np.array(cells.blocks)
+        step = max(1, 65_536 // int(first[-1]))  # bounds what a slice expands to
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):  # bounds what a batch expands to
-                batch = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
                 x = _matrix(batch.column("emb"))
                 d = cells.distances(_unit(x))
                 home = cells.home(d)
