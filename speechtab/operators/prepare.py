@@ -260,10 +260,10 @@ def length_batches(
     mega-batches of about ``megabatch_rows`` (hash shard, so no global sort
     and no hot partition), sorted by length descending inside each, and cut
     into batches of ``batch_size``.  Output adds (megabatch, batch, position)."""
-    if n_rows is None:
-        n_rows = df.count()
-    n_mb = max(1, -(-n_rows // megabatch_rows))
-    shard = F.pmod(F.conv(F.substring(seeded_order(seed, F.col(id_col)), 1, 8), 16, 10).cast("bigint"), F.lit(n_mb))
+    # without a given row count, one scalar subquery of the same plan counts
+    n = F.lit(n_rows) if n_rows is not None else df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_mb = F.greatest(F.lit(1), F.ceil(n / F.lit(megabatch_rows))).cast("bigint")
+    shard = F.pmod(F.conv(F.substring(seeded_order(seed, F.col(id_col)), 1, 8), 16, 10).cast("bigint"), n_mb)
     out = df.withColumn("megabatch", shard)
     w = Window.partitionBy("megabatch").orderBy(F.col(length_col).desc(), F.col(id_col))
     out = out.withColumn("position", F.row_number().over(w))
