@@ -82,7 +82,7 @@ QUERIES: dict = {
     "op4_mixed_sources": (op4_mixed_sources, mixing.oracle_sql(MIX)),
     "op5_toxicity": (op5_toxicity, None),
     "op6_token_counts": (op6_token_counts, None),
-    "op7_secret_scans": (op7_secret_scans, None),
+    "op7_secret_scans": (op7_secret_scans, secrets.oracle_sql()),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_near_vectors": (op9_near_vectors, metric_join.oracle_sql()),
     "op10_license_scans": (op10_license_scans, licenses.oracle_sql()),

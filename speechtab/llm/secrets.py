@@ -56,7 +56,7 @@ RULES = BASE + (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("live_key", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
 )
 
 
@@ -246,3 +246,29 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         n = F.length(text).cast(docs.schema.fields[k].dataType)
         both = both.withColumn(f"c{k}", F.when(F.col("spans").isNotNull(), n).otherwise(F.col(f"c{k}")))
     return both.select(*plain.columns).toDF(*docs.columns)
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for the contract query: every rule over every text."""
+
+    def spans(k: int, rule: Rule) -> str:
+        rx = rule.regex.replace("'", "''")
+        return f"""SELECT r, {k} AS k, '{rule.kind}' AS kind, a, a + length(m[i]) AS b FROM (
+  SELECT *, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM (
+    SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+      SELECT r, regexp_extract_all(t, '{rx}') AS m, regexp_extract_all(t, '{rx}', {rule.group}) AS g, string_split_regex(t, '{rx}') AS gaps
+      FROM d WHERE regexp_matches(t, '{rx}'))))
+  WHERE length(g[i]) >= {rule.at_least}"""
+
+    def joined(where: str) -> str:
+        return f"coalesce(string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, k){where}, '')"
+
+    base = f"FILTER (WHERE k < {len(BASE)})"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{x.kind}') AS n_{x.kind}" for x in BASE)
+    every = "\nUNION ALL ".join(spans(k, rule) for k, rule in enumerate(rules))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({every}),
+f AS (SELECT r, {counts}, {joined(" " + base)} AS base, {joined("")} AS spans FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0)::BIGINT AS n_{x.kind}" for x in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f ON f.r = d.r"""
