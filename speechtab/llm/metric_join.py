@@ -85,7 +85,7 @@ def _valid(vectors: DataFrame, vec_col: str, emb_col: str) -> DataFrame:
     rows = pick(vectors, id=vec_col, emb=emb_col)
     e = F.col("emb")
     good = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    return rows.select("id", F.when(good, F.transform(e, lambda x: x.cast("double") + 0.0)).alias("emb"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.when(good, F.transform(e, lambda x: x.cast("double") + 0.0)).alias("emb"))
 
 
 def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
