@@ -112,11 +112,12 @@ def canonical(text: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for word, kept in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {kept.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.replace(F.trim(out), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    # never NULL, and said so: else a join would first compute it in a filter
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
