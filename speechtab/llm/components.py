@@ -20,19 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until the links are stars:
     each hangs a node's neighbours on the smallest of them, so the number of
     rounds grows with the logarithm of the longest chain and the number of
-    links never grows.  A hub's links are aggregated before they are shuffled,
-    and are spread by the skew join.  Each round is written to the shared
-    folder; self-links and repeated links do no harm."""
+    links never grows.  A hub's links are aggregated before they are shuffled; what
+    they are joined with is written first, so that the join is one of two plain
+    shuffles, which Spark splits where they are skewed.  Each round goes to the
+    shared folder; self-links and repeated links do no harm."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component"))
     edges, last = edges.where("a <> b"), None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")
         # large star: the greater neighbours of a node go to its smallest one
         large = both.where("b > a").join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: its smaller neighbours, and itself, do the same
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "least")
         small = large.join(low, F.col("a") == F.col("k")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = written(small.distinct(), "stars")
         now = _signature(edges)

@@ -181,8 +181,9 @@ def near_dups(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_c
     rows = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     comps = components(links(distinct.select("fp"), posting))
-    tied = distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    low = tied.groupBy("component").agg(F.min("low").alias("component_id"))
+    tied = written(distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")), "tied")
+    # written, so that the join reads two plain shuffles and a large component can be split
+    low = written(tied.groupBy("component").agg(F.min("low").alias("component_id")), "smallest")
     by_fp = tied.select("fp", "component").join(low, "component").select("fp", "component_id")
     out = rows.join(by_fp, "fp").select("id", "fp", "component_id")
     return out.withColumn("leader", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
@@ -190,8 +191,8 @@ def near_dups(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_c
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each connected group, the one with the smallest
-    id, all columns as they were.  Of rows that share that id one stays; rows
-    without an id go where their group has one, else one stays for them all."""
+    id, all columns as they were.  Of rows that share that id one stays.  Of all
+    rows without an id at most one stays, and none where every group has an id."""
     plain, (ident, text) = flat(docs, id_col, text_col)
     leaders = near_dups(plain, size, posting, ident, text).where("leader").select(F.col(ident).alias("key")).distinct()
     kept = plain.join(leaders, F.col(ident).eqNullSafe(F.col("key")), "left_semi")
