@@ -101,18 +101,22 @@ def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 30, rate: float = 0
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), RANK))
     gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
+    starts = np.cumsum([0] + [len(d) for d in data])
+    flat = np.concatenate(data)
+    n = len(chosen)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(rows), max(1, rows // 256)):
-            db, dw, dv = 0.0, decay * w, decay * v
-            for i in part:
-                f = data[i]
-                vf = v[f]
-                total = vf.sum(axis=0)
-                y = bias + w[f].sum() + 0.5 * (total @ total - (vf * vf).sum())
-                e = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[i]) / len(part)
-                db += e
-                dw[f] += e
-                dv[f] += e * (total - vf)
+            # the part's features end to end, and the row each belongs to
+            at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
+            f, row = flat[at], np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
+            vf = v[f]
+            total = np.stack([np.bincount(row, vf[:, r], len(part)) for r in range(RANK)], axis=1)
+            pairs = 0.5 * ((total * total).sum(axis=1) - np.bincount(row, (vf * vf).sum(axis=1), len(part)))
+            y = bias + np.bincount(row, w[f], len(part)) + pairs
+            e = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[part]) / len(part)
+            db, dw = e.sum(), decay * w + np.bincount(f, e[row], n)
+            push = e[row][:, None] * (total[row] - vf)
+            dv = decay * v + np.stack([np.bincount(f, push[:, r], n) for r in range(RANK)], axis=1)
             gb += db * db
             gw += dw * dw
             gv += dv * dv
