@@ -133,12 +133,14 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``rows`` labelled ids, in hash order, not held out.  Rows
-    without an id or label are passed over.  The ids, and of each sampled text
-    the distinct feature numbers, come to the driver."""
+    without an id or label are passed over.  Of rows that share an id, the one
+    whose text has the least hash is learned from.  The ids, and of each
+    sampled id's text the distinct feature numbers, come to the driver."""
     some = pick(labels, key=id_col, y=label_col).select("key", F.col("y").cast("int").alias("y"))
     some = some.where(F.col("key").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("key")))
     some = some.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(rows)
-    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(some), F.col("id") == F.col("key")).select("text", "y")
+    texts = ids_and_text(docs, id_col, text_col).join(F.broadcast(some), F.col("id") == F.col("key"))
+    texts = texts.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("least")).select("least.text", "least.y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: s
     ids = table.column("ids")
     samples = [(np.asarray(ids[k].values, dtype=np.int64), y) for k, y in enumerate(table.column("y").to_pylist())]
     samples.sort(key=lambda s: (s[1], len(s[0]), s[0].tobytes()))  # the same order however Spark returns them
-    return fit(samples[: 2 * rows])
+    return fit(samples)
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import pytest
 
@@ -98,6 +99,17 @@ def test_toxicity_rows(spark, table):
     assert none.index == {} and 0 < next(none.scores([""])) < 1
 
 
+def test_toxicity_learns_one_row_an_id(spark, table, monkeypatch):
+    """Repeated document rows neither add samples nor push a label out."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:30]
+    rows = [(i, f"you vile person {k}" if i == ids[0] else f"a kind person {k}") for i in ids for k in range(5)] + [(ids[1], "a kind person")] * 100
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", seen.append)
+    toxicity.train(table(rows), labels, rows=30)
+    assert [y for _, y in seen[0]] == [0] * 29 + [1]
+
+
 def test_license_digests(table):
     mit = dict(reversed(licenses.KNOWN))["MIT"]
     worn = "Copyright (c) 2020 Somebody\nCopyright 2021 <else>\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(". ", " .  ").replace('"', "'")
