@@ -88,16 +88,19 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (bigint holding the 64 bits) of every row."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``id, fp`` (bigint holding the 64 bits) of every row, and if ``hashed``
+    also ``h``, the text's hash."""
+    df = ids_and_text(docs, id_col, text_col)
+    kept = {"id": df.schema["id"].dataType.simpleString()} | ({"h": "long"} if hashed else {})
+    df = df.select("text", "id", *([F.xxhash64("text").alias("h")] if hashed else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array((fingerprint(t.as_py(), size) for t in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+            fps = pa.array((fingerprint(t.as_py(), size) for t in batch.column(0)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], fps], names=[*kept, "fp"])
 
-    df = ids_and_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, fp long")
+    return df.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kept.items()) + ", fp long")
 
 
 def forest(fps: np.ndarray, bits: int = MAX_BITS, shared: int = 8 - MAX_BITS) -> list[tuple[int, int]]:
@@ -169,6 +172,14 @@ def links(fps: DataFrame, posting: int = POSTING) -> DataFrame:
     return found.unionAll(_postings(keyed.distinct(), None)[0])
 
 
+def _tied(distinct: DataFrame, posting: int) -> DataFrame:
+    """``distinct`` (each ``fp`` once, and other columns) with the component of
+    each fingerprint."""
+    distinct = written(distinct, "distinct")
+    comps = components(links(distinct.select("fp"), posting))
+    return written(distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")), "tied")
+
+
 def near_dups(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fp, component_id, leader`` for every row: the smallest
     non-NULL id among the rows whose fingerprints are connected, and whether
@@ -179,9 +190,7 @@ def near_dups(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_c
     to its component too; where no id is known ``component_id`` is NULL.
     Other columns are dropped; an empty table gives an empty table."""
     rows = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    comps = components(links(distinct.select("fp"), posting))
-    tied = written(distinct.join(comps, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")), "tied")
+    tied = _tied(rows.groupBy("fp").agg(F.min("id").alias("low")), posting)
     # written, so that the join reads two plain shuffles and a large component can be split
     low = written(tied.groupBy("component").agg(F.min("low").alias("component_id")), "smallest")
     by_fp = tied.select("fp", "component").join(low, "component").select("fp", "component_id")
@@ -190,11 +199,17 @@ def near_dups(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_c
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, posting: int = POSTING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each connected group, the one with the smallest
-    id, all columns as they were.  Of rows that share that id one stays.  Of all
-    rows without an id at most one stays, and none where every group has an id."""
+    """One row of ``docs`` for each connected group, all columns as they were:
+    the one with the smallest id, a NULL id after all others, and of those with
+    one id the one whose text has the least hash.  Of rows alike in both one
+    stays."""
     plain, (ident, text) = flat(docs, id_col, text_col)
-    leaders = near_dups(plain, size, posting, ident, text).where("leader").select(F.col(ident).alias("key")).distinct()
-    kept = plain.join(leaders, F.col(ident).eqNullSafe(F.col("key")), "left_semi")
-    order = Window.partitionBy(ident).orderBy(F.xxhash64(text))
-    return kept.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank").toDF(*docs.columns)
+    rows = written(fingerprints(plain, size, ident, text, hashed=True), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("low")
+    tied = _tied(rows.groupBy("fp").agg(first), posting)
+    # id and text hash decide the fingerprint, so no two components have one leader
+    leaders = written(tied.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.id").alias("key"), F.col("low.h").alias("lead")), "leaders")
+    hashed = plain.withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    kept = hashed.join(leaders, F.col(ident).eqNullSafe(F.col("key")) & (F.col("h") == F.col("lead")), "left_semi")
+    order = Window.partitionBy(ident, "h").orderBy(F.col(text).isNull())
+    return kept.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "h").toDF(*docs.columns)

@@ -73,6 +73,16 @@ def test_simhash_rows(table):
     assert simhash.near_dups(df.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_of_each_group(table):
+    """Groups without an id, and groups led by one id, keep their document too."""
+    texts = [" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=80)) for k in range(6)]
+    a, b, c, d, e, f = texts
+    rows = [(None, a), (None, a.upper()), (None, b), (None, c), (3, c), (4, d), (4, e), (4, e), (9, e), (None, f), (None, f)]
+    assert len(set(groups(6, lambda i, j: ((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) & (2**64 - 1)).bit_count() <= 4))) == 6
+    kept = sorted(((r[0] or 0, r[1].lower()) for r in simhash.keep_one(table(rows)).collect()))
+    assert kept == sorted([(0, a), (0, b), (3, c), (4, d), (4, e), (0, f)])
+
+
 def brute_suffix(texts, n):
     seen = collections.Counter(t[p : p + n] for t in texts for p in range(len(t) - n + 1))
     for t in texts:
