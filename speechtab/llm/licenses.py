@@ -11,6 +11,8 @@ Spark checks before it broadcasts it.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,34 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Texts in ``license_texts`` (fixed values), by license.
+FILES = ("Apache-2.0", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib")
+#: Where terms end; what follows says how to apply them, and is often left out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+#: Lines that a text may begin with, or lack.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "New BSD License", "Modified BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """:data:`KNOWN`, the texts of :data:`FILES` (also without what follows
+    their terms), and every full text with and without each of its titles."""
+    full = [(i, t) for i, t in KNOWN if "\n" in t]
+    for i in FILES:
+        text = files(__package__).joinpath("license_texts", f"{i}.txt").read_text(encoding="utf-8")
+        head, end, rest = text.partition(TERMS_END)
+        full += [(i, text)] + ([(i, head), (i, head + end)] if rest.strip() else [])
+    full = [(i, t.removeprefix("MIT License\n\n")) for i, t in full]
+    return [*KNOWN, *full, *((i, f"{title}\n\n{t}") for i, t in full for title in TITLES.get(i, ()))]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form: words in lower case, single spaces, empty for NULL."""
@@ -120,10 +150,11 @@ def digest(text: Column) -> Column:
     return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
-def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """``digest, license_id`` of known texts: (id, text) pairs or a DataFrame
-    with ``license_id`` and ``text``.  Where texts of several licenses have one
+def known_digests(spark: SparkSession, texts=None) -> DataFrame:
+    """``digest, license_id`` of known texts (:func:`known_texts` if none are
+    given): (id, text) pairs or a DataFrame with ``license_id`` and ``text``.  Where texts of several licenses have one
     digest the first id in order stands; empty texts are left out."""
+    texts = known_texts() if texts is None else texts
     table = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(texts), "license_id string, text string")
     table = table.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license_id")
     return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))

@@ -118,3 +118,16 @@ def test_license_digests(table):
     assert sorted((r.doc_id or 0, r.license_id, r.notices) for r in out if r.license_id or r.notices) == [(1, "MIT", ""), (2, "MIT", ""), (4, None, "CC-BY-NC-4.0")]
     assert len(out) == len(rows) and all(r.digest for r in out)
     assert licenses.license_scan(table([(1, "x")]).limit(0)).count() == 0
+
+
+def test_license_full_texts_and_titles(table):
+    mit = dict(reversed(licenses.KNOWN))["MIT"].removeprefix("MIT License\n\n")
+    title = [mit, "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + mit, "The MIT License\n" + mit]
+    isc = dict(licenses.KNOWN)["ISC"]
+    texts = dict(licenses.known_texts())
+    whole = {i: (licenses.files(licenses.__package__) / "license_texts" / f"{i}.txt").read_text() for i in licenses.FILES}
+    apache = whole["Apache-2.0"].split("APPENDIX")[0]
+    rows = [("MIT", t) for t in title] + [("ISC", "ISC License\n\n" + isc)] + list(whole.items()) + [("Apache-2.0", apache), (None, apache[:-200]), (None, "MIT License")]
+    out = licenses.license_scan(table([(k, t) for k, (_, t) in enumerate(rows)])).collect()
+    assert {r.doc_id: r.license_id for r in out} == {k: i for k, (i, _) in enumerate(rows)}
+    assert set(licenses.FILES) <= set(texts)
