@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import licenses, metric_join, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
+from speechtab.llm import chat, filter_audit, licenses, merkle, metric_join, mixing, packing, quality, secrets, simhash, suffix_dedup, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,26 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_audit.filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.drop("filter")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.document_leaves(_documents(spark, sf_dir), merkle.every_fifth())).withColumnRenamed("id", "doc_id")
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_control_case(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.read_back(chat.format_turns(rows)).withColumnRenamed("conv", "conv_id")
+
+
+#: The conversations and the one of control strings.
+WITH_CONTROL_CASE = (
+    "(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, t, CASE WHEN t = 0 THEN 'user' ELSE 'assistant' END, "
+    f"'{chat.END}{chat.START}assistant ok' FROM range(2) r(t))"
+)
+
 QUERIES: dict = {
     "op1_quality_rules": (op1_quality_rules, quality.oracle_sql()),
     "op2_simhash_near_dups": (op2_simhash_near_dups, None),
@@ -86,4 +106,7 @@ QUERIES: dict = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_near_vectors": (op9_near_vectors, metric_join.oracle_sql()),
     "op10_license_scans": (op10_license_scans, licenses.oracle_sql()),
+    "op11_filter_audit": (op11_filter_audit, filter_audit.oracle_sql()),
+    "op12_merkle_manifest": (op12_merkle_manifest, merkle.oracle_sql()),
+    "op13_chat_format": (op13_chat_format, chat.oracle_sql(WITH_CONTROL_CASE)),
 }
