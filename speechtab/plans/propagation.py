@@ -34,8 +34,8 @@ def propagate_intrinsic_tags(
     (name, tag) votes; ``source_order``: (name, first_seen), where each source
     first appears in the manifest, which decides ties.  Returns (pairs, best-with-tags, votes, sources).
 
-    The two sides are kept: they are counted once, to size the similarity
-    blocks, and then read by the join."""
+    Hand over medians that are stored (``session.materialize``): the similarity
+    join reads both sides for its pivots, its blocks and its cells."""
     votes = TG.tag_votes(annotations, min_annotations)
     sources = TG.restrict_to(
         source_medians.select(F.col("speaker").alias("name"), F.col("median").alias("vec")), votes.select("name"), "name"
@@ -43,7 +43,6 @@ def propagate_intrinsic_tags(
         F.col("name").alias("source"), F.col("first_seen").alias("source_order"), "vec"
     )
     targets = target_medians.select(F.col("speaker").alias("target"), F.col("median").alias("vec"))
-    sources, targets = sources.persist(), targets.persist()
     pairs = SIM.similar_pairs(sources, targets, threshold, max_similar)
     best = SIM.best_source(pairs)
     tagged = TG.attach_parent_tags(best, votes)
@@ -55,7 +54,7 @@ def _medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str):
-    med = _medians(spark, d)
+    med = materialize(_medians(spark, d), reliable=True)
     src = med.where(bd.is_source(F.col("speaker")))
     tgt = med.where(~bd.is_source(F.col("speaker")))
     order = SPK.first_seen(bd.speaker_embeddings(spark, d), "speaker", "utterance_id").withColumnRenamed("speaker", "name")
@@ -137,6 +136,22 @@ def similar_speakers(spark: SparkSession, d: str) -> DataFrame:
 SIMILAR_SQL = O.with_(*_L2_CTES) + "SELECT source, target, round(score, 6) AS score, rank FROM pairs"
 
 
+def similar_speakers_all(spark: SparkSession, d: str) -> DataFrame:
+    """Without the cap: every target above the threshold, ranked."""
+    med = materialize(_medians(spark, d), reliable=True)
+    s = med.where(bd.is_source(F.col("speaker"))).select(F.col("speaker").alias("source"), F.col("speaker").alias("source_order"), F.col("median").alias("vec"))
+    t = med.where(~bd.is_source(F.col("speaker"))).select(F.col("speaker").alias("target"), F.col("median").alias("vec"))
+    pairs = SIM.similar_pairs(s, t, bd.RATING_THRESHOLD, top_k=None)
+    return pairs.select("source", "target", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+SIMILAR_ALL_SQL = O.with_(
+    O.SPEAKER_EMBEDDINGS,
+    MEDIANS,
+    f"allp AS (SELECT s.speaker AS source, t.speaker AS target, 5.0 * list_dot_product(s.v, t.v) + 1.0 AS score FROM nrm s, nrm t WHERE s.speaker % {bd.SOURCE_EVERY} = 0 AND t.speaker % {bd.SOURCE_EVERY} <> 0)",
+) + f"SELECT source, target, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM allp WHERE score > {bd.RATING_THRESHOLD}"
+
+
 def propagated_tags(spark: SparkSession, d: str) -> DataFrame:
     tagged = _run(spark, d)[1]
     return tagged.select("target", "parent", F.round("score", 6).alias("score"), "tags")
@@ -151,7 +166,7 @@ PROPAGATED_SQL = O.with_(
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     pairs, _, _, sources = _run(spark, d)
     # several aggregates read the pairs: materialise them once
-    m = SIM.match_statistics(materialize(pairs), sources)
+    m = SIM.match_statistics(materialize(pairs, reliable=True), sources)
     return m.select(
         "annotated_sources",
         "sources_with_matches",
@@ -216,6 +231,7 @@ QUERIES = {
     "speaker_median_vectors": (speaker_median_vectors, SPEAKER_MEDIANS_SQL),
     "tag_votes": (tag_votes, TAG_VOTES_SQL),
     "similar_speakers": (similar_speakers, SIMILAR_SQL),
+    "similar_speakers_all": (similar_speakers_all, SIMILAR_ALL_SQL),
     "propagated_tags": (propagated_tags, PROPAGATED_SQL),
     "match_statistics": (match_statistics, MATCH_STATS_SQL),
     "pair_scores": (pair_scores, PAIR_SCORES_SQL),
