@@ -22,10 +22,11 @@ def pad_batches(
 ) -> DataFrame:
     """ARR4: pad every sequence of a batch to the batch's longest (or to
     ``max_length``), optionally rounded up to a multiple.  The batch length
-    is a per-batch aggregate joined back (batches are bounded in size)."""
+    is a per-batch aggregate joined back (batches are bounded in size); rows
+    without a batch are one batch."""
     if mode == "longest":
-        lens = df.groupBy(batch_col).agg(F.max(F.size(seq_col)).alias("_target"))
-        out = df.join(lens, [batch_col], "inner")
+        lens = df.groupBy(F.col(batch_col).alias("_batch")).agg(F.max(F.size(seq_col)).alias("_target"))
+        out = df.join(lens, F.col(batch_col).eqNullSafe(F.col("_batch"))).drop("_batch")
         target = round_up(F.col("_target"), multiple_of)
         if max_length is not None:
             target = F.least(target, F.lit(max_length))
@@ -41,10 +42,10 @@ def pad_batches(
 
 def trim_codes(df: DataFrame, codes_col: str, length_col: str, batch_col: str, out_col: str = "trimmed") -> DataFrame:
     """ARR8: ratio = code frames / longest clip of the batch; keep
-    ``int(ratio * clip length)`` frames."""
+    ``int(ratio * clip length)`` frames.  Rows without a batch are one batch."""
     frames = F.size(F.element_at(codes_col, 1))
-    lens = df.groupBy(batch_col).agg(F.max(length_col).alias("_maxlen"))
-    out = df.join(lens, [batch_col], "inner")
+    lens = df.groupBy(F.col(batch_col).alias("_batch")).agg(F.max(length_col).alias("_maxlen"))
+    out = df.join(lens, F.col(batch_col).eqNullSafe(F.col("_batch"))).drop("_batch")
     ratio = frames / F.col("_maxlen")
     return out.withColumn(out_col, trim_frames(F.col(codes_col), ratio, F.col(length_col))).drop("_maxlen")
 
@@ -62,8 +63,9 @@ _CKPT = "^checkpoint-(\\d+)(?:-epoch-(\\d+))?$"
 def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | None = "run", keep_last: int = 3) -> DataFrame:
     """WIN8: parse ``checkpoint-<step>`` and ``checkpoint-<step>-epoch-<e>``
     names; flag the newest and the last ``keep_last`` by step (the rest may be
-    deleted by the caller).  Other names are listed too, without a step, and
-    always kept; a name that occurs twice in a run is listed once.
+    deleted by the caller).  Other names, steps beyond 63 bits among them, are
+    listed too, without a step, and always kept; a name that occurs twice in a
+    run is listed once.  Rows without a run form a run of their own.
 
     The kept set is a ``row_number() <= keep_last`` limit (pre-limited map
     side) joined back to flag rows, so no run is sorted whole in one task.
@@ -75,13 +77,13 @@ def snapshot_retention(df: DataFrame, name_col: str = "name", run_col: str | Non
 
     def number(group: int) -> Column:
         found = F.regexp_extract(F.col(name_col), _CKPT, group)
-        return F.when(found != "", found.cast("bigint"))
+        return F.when(found != "", found.try_cast("bigint"))
 
     parsed = df.select(*keys, name_col).distinct().select(*keys, name_col, number(1).alias("step"), number(2).alias("epoch"))
     w = Window.partitionBy(*keys).orderBy(F.col("step").desc(), F.col(name_col).desc())
     top = parsed.where(F.col("step").isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
-    top = top.select(*keys, name_col, (F.col("_rn") == 1).alias("latest"), F.lit(True).alias("keep"))
-    out = parsed.join(top, [*keys, name_col], "left")
+    top = top.select(F.col(run_col).alias("_r"), F.col(name_col).alias("_n"), (F.col("_rn") == 1).alias("latest"), F.lit(True).alias("keep"))
+    out = parsed.join(top, F.col(run_col).eqNullSafe(F.col("_r")) & (F.col(name_col) == F.col("_n")), "left")
     return out.select(
         *[k for k in keys if k != "_run"],
         name_col,

@@ -205,7 +205,8 @@ def mix_sources(
     p_i * n / r_i, so the choice is per row (no window, no hot task) and
     reproducible; ``mix_key``, salted differently, gives the interleaved
     order, in which every stretch holds the sources in proportion.  Only sources
-    named in ``probabilities`` take part.
+    named in ``probabilities`` take part; one of them without a row is exhausted
+    at once, so nothing is kept.
     """
     total = float(sum(probabilities.values()))
     probs = {k: v / total for k, v in probabilities.items() if v > 0}
@@ -215,7 +216,7 @@ def mix_sources(
     for k, v in probs.items():
         p_expr = F.when(F.col(source_col) == k, F.lit(v)) if p_expr is None else p_expr.when(F.col(source_col) == k, F.lit(v))
     sizes = sizes.withColumn("_p", p_expr)
-    n = sizes.agg(F.min(F.col("_r") / F.col("_p")).alias("n")).scalar()
+    n = sizes.agg(F.when(F.count(F.lit(1)) == len(probs), F.min(F.col("_r") / F.col("_p"))).otherwise(0.0).alias("n")).scalar()
     # one row per named source: bounded by the caller's list
     frac = F.broadcast(sizes.select(source_col, (F.col("_p") * n / F.col("_r")).alias("_keep")))
     u = hash_fraction(seed, F.col(id_col))
@@ -270,9 +271,12 @@ def length_batches(
     return out.withColumn("batch", F.floor((F.col("position") - 1) / batch_size).cast("bigint"))
 
 
-def explode_descriptions(df: DataFrame, col: str = "text_description", out_col: str = "description") -> DataFrame:
-    """PRJ4: one row per style description (with its index)."""
-    return df.select("*", F.posexplode(col).alias("description_index", out_col)).drop(col)
+def explode_descriptions(df: DataFrame, col: str = "text_description", out_col: str = "description", keep_empty: bool = False) -> DataFrame:
+    """PRJ4: one row per style description (with its index).  A row whose list
+    is NULL or empty gives none, or with ``keep_empty`` one without index and
+    description."""
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return df.select("*", explode(col).alias("description_index", out_col)).drop(col)
 
 
 def reattach(base: DataFrame, computed: DataFrame, id_col: str, renames: Mapping[str, str] | None = None) -> DataFrame:

@@ -167,8 +167,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderstatus").alias("run"),
-        F.when(F.col("o_orderkey") % 11 == 0, F.format_string("notes-%d", F.col("o_orderkey")))
+        # some snapshots belong to no run, some steps do not fit 63 bits
+        F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus")).alias("run"),
+        F.when(F.col("o_orderkey") % 17 == 0, F.format_string("checkpoint-99999999999999999999%d", F.col("o_orderkey")))
+        .when(F.col("o_orderkey") % 11 == 0, F.format_string("notes-%d", F.col("o_orderkey")))
         .when(F.col("o_orderkey") % 3 == 0, F.format_string("checkpoint-%d", F.col("o_orderkey")))
         .otherwise(F.format_string("checkpoint-%d-epoch-%d", F.col("o_orderkey"), F.col("o_custkey") % 10))
         .alias("name"),

@@ -89,34 +89,34 @@ ALIGNED_SQL = f"""WITH m AS ({PP.MANIFEST_SAMPLE_SQL})
 SELECT m.utterance_id, m.speaker, CAST(len(e.embedding) AS BIGINT) AS n, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first
 FROM m JOIN embeddings e ON e.vec_id = m.utterance_id"""
 
-LOADED = {"en": 3.0, "de": 1.0, "fr": 1.0, "es": 1.0}
+#: Folder -> its languages; every other language, NULL among them, goes to the last.
+LOADED = {"en": ["en"], "de": ["de"], "fr": ["fr"], "rest": None}
+LOADED_SPLITS = ["train", "dev"]
 
 
 def loaded_sources(spark: SparkSession, d: str) -> DataFrame:
-    """One folder and one metadata folder for each language -> SRC7 loader
-    (split, metadata by id, weights)."""
+    """One folder and one metadata folder for each language -> SRC7 loader, all
+    splits, metadata by id."""
     docs = bd.transcripts(spark, d).select("id", "lang", "n_chars", F.when(F.col("id") % 10 < 8, "train").otherwise("dev").alias("split"))
     root = scratch_dir(spark, "sources")
-    for lang in LOADED:
-        part = docs.where(F.col("lang") == lang)
-        part.select("id", "split", "n_chars").write.parquet(f"{root}/{lang}/base")
-        part.select("id", "split", (F.col("n_chars") * 2).alias("doubled")).write.parquet(f"{root}/{lang}-md/base")
+    folder = F.lit(list(LOADED)[-1])
+    for name, langs in LOADED.items():
+        folder = F.when(F.col("lang").isin(langs), name).otherwise(folder) if langs else folder
+    # all folders in one pass each: the loader reads <folder>/<config>
+    docs = docs.withColumn("folder", folder).withColumn("config", F.lit("base"))
+    docs.select("id", "split", "n_chars", "folder", "config").write.partitionBy("folder", "config").parquet(f"{root}/data")
+    docs.select("id", "split", (F.col("n_chars") * 2).alias("doubled"), "folder", "config").write.partitionBy("folder", "config").parquet(f"{root}/md")
+    names = [(f, s) for f in LOADED for s in LOADED_SPLITS if IO.exists(spark, f"{root}/data/folder={f}")]
     specs = IO.parse_sources(
-        "+".join(LOADED), config="+".join(["base"] * 4), split="+".join(["train"] * 4),
-        weight="+".join(str(w) for w in LOADED.values()), metadata="+".join(f"{x}-md" for x in LOADED),
+        "+".join(f"data/folder={f}" for f, _ in names), config="+".join(["config=base"] * len(names)),
+        split="+".join(s for _, s in names), metadata="+".join(f"md/folder={f}" for f, _ in names),
     )
-    return IO.load_many(spark, specs, root).select("id", "source", "split", "n_chars", "doubled", "mix_key")
+    out = IO.load_many(spark, specs, root)
+    return out.select("id", F.regexp_extract("source", "folder=(.*)", 1).alias("source"), "split", "n_chars", "doubled")
 
 
-def _loaded_sql() -> str:
-    total = sum(LOADED.values())
-    p = " ".join(f"WHEN source = '{k}' THEN {v / total!r}" for k, v in LOADED.items())
-    return f"""WITH part AS (SELECT doc_id AS id, lang AS source, n_chars FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') AND doc_id % 10 < 8),
-sizes AS (SELECT source, count(*) AS r, CASE {p} END AS p FROM part GROUP BY source),
-nn AS (SELECT min(r / p) AS n FROM sizes)
-SELECT id, source, 'train' AS split, n_chars, n_chars * 2 AS doubled, md5('42:order:' || CAST(id AS VARCHAR)) AS mix_key
-FROM part JOIN sizes USING (source), nn
-WHERE CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p * n / r"""
+LOADED_SQL = """SELECT doc_id AS id, CASE WHEN lang IN ('en', 'de', 'fr') THEN lang ELSE 'rest' END AS source,
+  CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'dev' END AS split, n_chars, n_chars * 2 AS doubled FROM documents"""
 
 
 def segment_lines_file(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ QUERIES = {
     "annotation_votes_json": (annotation_votes_json, ANNOTATION_JSON_SQL),
     "annotation_map_json": (annotation_map_json, ANNOTATION_JSON_SQL),
     "aligned_embeddings": (aligned_embeddings, ALIGNED_SQL),
-    "loaded_sources": (loaded_sources, _loaded_sql()),
+    "loaded_sources": (loaded_sources, LOADED_SQL),
     "segment_lines_file": (segment_lines_file, SEGMENT_LINES_SQL),
     "saved_edges_labels": (saved_edges_labels, SAVED_EDGES_SQL),
     "split_table_reuse": (split_table_reuse, SPLIT_REUSE_SQL),

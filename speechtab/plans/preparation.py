@@ -146,12 +146,16 @@ def explode_descriptions(spark: SparkSession, d: str) -> DataFrame:
     c = bd.table(spark, d, "conversations")
     per = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_t"))
     per = per.select("conv_id", F.transform("_t", lambda x: x["text"]).alias("text_description"))
-    out = P.explode_descriptions(per, "text_description", "description")
+    # some conversations have no description, some an empty list
+    r = F.col("conv_id") % 10
+    per = per.withColumn("text_description", F.when(r == 3, F.lit(None)).when(r == 4, F.slice("text_description", 1, 0)).otherwise(F.col("text_description")))
+    out = P.explode_descriptions(per, "text_description", "description", keep_empty=True)
     return out.select("conv_id", F.col("description_index").cast("bigint").alias("description_index"), "description")
 
 
 EXPLODE_SQL = (
-    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS description_index, text AS description FROM conversations"
+    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS description_index, text AS description FROM conversations WHERE conv_id % 10 NOT IN (3, 4) "
+    "UNION ALL SELECT DISTINCT conv_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM conversations WHERE conv_id % 10 IN (3, 4)"
 )
 
 
@@ -166,7 +170,7 @@ def _mix_sql() -> str:
     names = ", ".join(f"'{k}'" for k in MIX_PROBABILITIES)
     return f"""WITH part AS (SELECT doc_id AS id, source FROM documents WHERE source IN ({names})),
 sizes AS (SELECT source, count(*) AS r, CASE {p} END AS p FROM part GROUP BY source),
-nn AS (SELECT min(r / p) AS n FROM sizes)
+nn AS (SELECT CASE WHEN count(*) = {len(MIX_PROBABILITIES)} THEN min(r / p) ELSE 0.0 END AS n FROM sizes)
 SELECT id, source, md5('42:order:' || CAST(id AS VARCHAR)) AS mix_key
 FROM part JOIN sizes USING (source), nn
 WHERE CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < p * n / r"""

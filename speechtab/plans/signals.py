@@ -189,13 +189,14 @@ def _undelay_sql() -> str:
 
 def shift_right(spark: SparkSession, d: str) -> DataFrame:
     c = _codes(spark, d)
-    ids = F.transform(F.element_at("labels", 1), lambda x: F.when(x > MASK_ABOVE, F.lit(-100)).otherwise(x))
-    return c.select("id", A.shift_right(ids, bd.EOS_ID, bd.BOS_ID).alias("ids"))
+    row = c.select("id", F.posexplode("labels").alias("codebook", "row"))
+    ids = F.transform("row", lambda x: F.when(x > MASK_ABOVE, F.lit(-100)).otherwise(x))
+    return row.select("id", F.col("codebook").cast("bigint").alias("codebook"), A.shift_right(ids, bd.EOS_ID, bd.BOS_ID).alias("ids"))
 
 
 SHIFT_SQL = O.with_(O.CODES) + (
-    f"SELECT id, list_transform(list_concat([{bd.BOS_ID}], list_slice(list_transform(labels[1], lambda x: CASE WHEN x > {MASK_ABOVE} THEN -100 ELSE x END), 1, {bd.FRAMES - 1})), "
-    f"lambda x: CASE WHEN x = -100 THEN {bd.EOS_ID} ELSE x END) AS ids FROM codes"
+    f"SELECT id, k - 1 AS codebook, list_transform(list_concat([{bd.BOS_ID}], list_slice(list_transform(labels[k], lambda x: CASE WHEN x > {MASK_ABOVE} THEN -100 ELSE x END), 1, {bd.FRAMES - 1})), "
+    f"lambda x: CASE WHEN x = -100 THEN {bd.EOS_ID} ELSE x END) AS ids FROM codes, range(1, {bd.CODEBOOKS + 1}) r(k)"
 )
 
 
@@ -233,21 +234,19 @@ LONGEST_SQL = O.with_(O.CODES) + (
 
 
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
-    c = _codes(spark, d).select(
-        "id",
-        F.expr(f"id div {BATCH_ROWS}").alias("batch"),
-        F.slice(F.element_at("labels", 1), 1, F.col("id") % 16 + 1).alias("seq"),
-    )
+    # a batch holds all codebooks of its clips; some clips have no batch
+    c = _codes(spark, d).select("id", F.expr(f"CASE WHEN id % 9 <> 8 THEN id div {BATCH_ROWS} END").alias("batch"), F.posexplode("labels").alias("codebook", "row"))
+    c = c.select("id", "batch", F.col("codebook").cast("bigint").alias("codebook"), F.slice("row", 1, ((F.col("id") + F.col("codebook")) % 16 + 1).cast("int")).alias("seq"))
     p = C.pad_batches(c, "seq", "batch", pad_value=-100, multiple_of=PAD_MULTIPLE)
-    return p.select("id", "batch", "padded")
+    return p.select("id", "batch", "codebook", "padded")
 
 
 PADDED_SQL = O.with_(
     O.CODES,
-    f"s AS (SELECT id, id // {BATCH_ROWS} AS batch, list_slice(labels[1], 1, id % 16 + 1) AS seq FROM codes)",
+    f"s AS (SELECT id, CASE WHEN id % 9 <> 8 THEN id // {BATCH_ROWS} END AS batch, k AS codebook, list_slice(labels[k + 1], 1, (id + k) % 16 + 1) AS seq FROM codes, range({bd.CODEBOOKS}) r(k))",
     f"t AS (SELECT batch, CAST(ceil(max(len(seq)) / {float(PAD_MULTIPLE)}) * {PAD_MULTIPLE} AS INTEGER) AS target FROM s GROUP BY batch)",
 ) + (
-    "SELECT id, batch, list_concat(seq, list_transform(range(0, greatest(target - len(seq), 0)), lambda z: -100)) AS padded FROM s JOIN t USING (batch)"
+    "SELECT id, s.batch, codebook, list_concat(seq, list_transform(range(0, greatest(target - len(seq), 0)), lambda z: -100)) AS padded FROM s JOIN t ON s.batch IS NOT DISTINCT FROM t.batch"
 )
 
 
@@ -255,7 +254,7 @@ def snapshot_retention(spark: SparkSession, d: str) -> DataFrame:
     return C.snapshot_retention(bd.snapshots(spark, d), "name", "run", KEEP_SNAPSHOTS)
 
 
-SNAPSHOT_SQL = f"""WITH s AS (SELECT DISTINCT o_orderstatus AS run, CASE WHEN o_orderkey % 11 = 0 THEN 'notes-' || CAST(o_orderkey AS VARCHAR)
+SNAPSHOT_SQL = f"""WITH s AS (SELECT DISTINCT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS run, CASE WHEN o_orderkey % 17 = 0 THEN 'checkpoint-99999999999999999999' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 11 = 0 THEN 'notes-' || CAST(o_orderkey AS VARCHAR)
     WHEN o_orderkey % 3 = 0 THEN 'checkpoint-' || CAST(o_orderkey AS VARCHAR)
     ELSE 'checkpoint-' || CAST(o_orderkey AS VARCHAR) || '-epoch-' || CAST(o_custkey % 10 AS VARCHAR) END AS name FROM orders),
 p AS (SELECT run, name, TRY_CAST(nullif(regexp_extract(name, '^checkpoint-(\\d+)(?:-epoch-(\\d+))?$', 1), '') AS BIGINT) AS step,
