@@ -22,6 +22,11 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v)
 
 
+def _finite(v: Column) -> Column:
+    d = v.cast("double")
+    return _valid(v) & (F.abs(d) != float("inf"))
+
+
 def _edges_from_bounds(lo: Column, hi: Column, n_bins: int) -> Column:
     """``n_bins + 1`` equal-width edges over lo..hi, last edge exactly hi.
 
@@ -50,7 +55,8 @@ def _outer_bounds(lo: Column, hi: Column, n_kept: Column, lower_range: float | N
 
 def select_for_edges(df: DataFrame, value_col: str, split_col: str | None = None, leading_split: str | None = None) -> DataFrame:
     """FLT8 + FLT9: rows of splits whose name contains ``leading_split`` (all when
-    None), with NULL and NaN values removed."""
+    None), with NULL, NaN and infinite values removed (no equal-width edges
+    lead to infinity)."""
     v = F.col(value_col)
     out = df
     if leading_split is not None:
@@ -58,7 +64,7 @@ def select_for_edges(df: DataFrame, value_col: str, split_col: str | None = None
             raise ValueError("leading_split needs split_col")
         out = out.where(F.col(split_col).contains(leading_split))
     keep = [c for c in df.columns if c != value_col]
-    return out.where(_valid(v)).select(v.cast("double").alias("v"), *keep)
+    return out.where(_finite(v)).select(v.cast("double").alias("v"), *keep)
 
 
 def learn_edges(
@@ -212,13 +218,13 @@ def _with_bucket(df: DataFrame, v: str, lo: str, hi: str, n_bins: int, out: str)
 def histogram_table(df: DataFrame, value_col: str, n_bins: int = 100, std_tolerance: float | None = None) -> DataFrame:
     """AGG18: the histogram behind the reference's plots, as a table.
 
-    ``stage`` is ``before`` (NaN/NULL dropped) and, when ``std_tolerance`` is
+    ``stage`` is ``before`` (NaN, NULL and infinite values dropped) and, when ``std_tolerance`` is
     given, ``after`` (outliers dropped).  Bins are equal width over min..max,
     half-open except the last, and every bin is listed (zero counts too).
     Two scalar statistics (all values; kept values) and one counting pass
     over the data, whatever the number of stages.
     """
-    base = df.where(_valid(F.col(value_col))).select(F.col(value_col).cast("double").alias("v"))
+    base = df.where(_finite(F.col(value_col))).select(F.col(value_col).cast("double").alias("v"))
 
     def bounds_row(agg_df: DataFrame, extra=()) -> Column:
         # final histogram range computed inside the one-row statistics plan,
@@ -276,3 +282,77 @@ def histogram_table(df: DataFrame, value_col: str, n_bins: int = 100, std_tolera
     return grid.join(counts, ["stage", "bucket"], "left").select(
         "stage", "bucket", "lower", "upper", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")
     )
+
+
+def distribution_tables(
+    df: DataFrame,
+    value_col: str,
+    n_labels: int,
+    n_bins: int = 100,
+    std_tolerance: float | None = None,
+    lower_range: float | None = None,
+    group_col: str | None = None,
+    groups: Sequence[str] = (),
+) -> DataFrame:
+    """AGG18 in full: the distributions drawn over each other, with the label
+    edges drawn into them.
+
+    A series is a group (each of ``groups``, the values of ``group_col`` that
+    count; one series named ``all`` without it) at a stage: ``before`` and, with
+    ``std_tolerance``, ``after`` its group's outliers are dropped.  Rows
+    ``series, stage, bucket, lower, upper, n, label_edges``: ``n_bins`` bins over
+    the series' own min..max, empty ones too, and the ``n_labels + 1`` edges
+    that labels learned from the series have, from ``lower_range`` on if given
+    (NULL for a series without values then, 0..1 otherwise).  NULL, NaN and
+    infinite values are left out.
+
+    Every series is counted in the same pass, each row once for each stage; the
+    groups' statistics (two aggregates of one row a group) are columns of it."""
+    require_columns(df, [value_col, *([group_col] if group_col else [])])
+    names = list(groups) if group_col else ["all"]
+    series = F.col(group_col).cast("string") if group_col else F.lit("all")
+    base = df.where(_finite(F.col(value_col)) & series.isin(names)).select(F.col(value_col).cast("double").alias("v"), series.alias("series"))
+
+    def statistics(d: DataFrame) -> Column:
+        one = d.groupBy("series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        return one.agg(F.map_from_entries(F.collect_list(F.struct("series", F.struct("mean", "std", "lo", "hi", "n")))).alias("m")).scalar()
+
+    def ends(of: str, series: str = "series") -> list[Column]:
+        s = F.element_at(of, F.col(series))
+        return list(_outer_bounds(s["lo"], s["hi"], F.coalesce(s["n"], F.lit(0)), None))
+
+    maps = {"before": statistics(base)}
+    staged = base.withColumn("_before", maps["before"])
+    stages = [("before", F.lit(True))]
+    if std_tolerance is not None:
+        s = F.element_at("_before", F.col("series"))
+        keep = F.abs(F.col("v") - s["mean"]) < F.lit(float(std_tolerance)) * s["std"]
+        maps["after"] = statistics(staged.where(keep))
+        staged = staged.withColumn("_after", maps["after"])
+        stages.append(("after", keep))
+    shown = [F.when(k, F.struct(F.lit(name).alias("stage"), *[x.alias(a) for x, a in zip(ends(f"_{name}"), ("_lo", "_hi"))])) for name, k in stages]
+    rows = staged.select("series", "v", F.explode(F.array(*shown)).alias("_x")).where("_x IS NOT NULL").select("series", "v", "_x.*")
+    counts = _with_bucket(rows, "v", "_lo", "_hi", n_bins, "bucket").groupBy("series", "stage", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(g).alias("series"), F.lit(st).alias("stage")) for g in names for st, _ in stages])).alias("_s")).select("_s.*")
+    for name in maps:
+        grid = grid.withColumn(f"_{name}", maps[name])
+    of = F.when(F.col("stage") == "before", F.element_at("_before", F.col("series")))
+    if "after" in maps:
+        of = of.otherwise(F.element_at("_after", F.col("series")))
+    grid = grid.select("series", "stage", of.alias("_st"))
+    n = F.coalesce(F.col("_st.n"), F.lit(0))
+    lo, hi = _outer_bounds(F.col("_st.lo"), F.col("_st.hi"), n, None)
+    first, last = _outer_bounds(F.col("_st.lo"), F.col("_st.hi"), n, lower_range)
+    grid = grid.select("series", "stage", lo.alias("_lo"), hi.alias("_hi"), _edges_from_bounds(first, last, n_labels).alias("label_edges"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bucket"))
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))
+    b = F.col("bucket")
+    return grid.join(counts, ["series", "stage", "bucket"], "left").select(
+        "series",
+        "stage",
+        "bucket",
+        (b.cast("double") * step + F.col("_lo")).alias("lower"),
+        F.when(b + 1 == F.lit(n_bins), F.col("_hi")).otherwise((b + 1).cast("double") * step + F.col("_lo")).alias("upper"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+        "label_edges",
+    )

@@ -127,6 +127,49 @@ GROUP BY ALL"""
     return O.with_(O.UTTERANCES, before, st, after) + "\nUNION ALL\n".join(parts)
 
 
+def _shown(h: DataFrame) -> DataFrame:
+    return h.select("series", "stage", F.col("bucket").cast("bigint").alias("bucket"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "n", F.transform("label_edges", lambda e: F.round(e, 6)).alias("label_edges"))
+
+
+def pitch_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Speaker means by gender, before and after the outliers: four series."""
+    spk = B.speaker_means(bd.utterances(spark, d), "speakerid", "utterance_pitch_mean", "gender", "utterance_id")
+    return _shown(B.distribution_tables(spk, "utterance_pitch_mean", len(SPEAKER_LEVEL_PITCH_BINS), std_tolerance=2.0, group_col="gender", groups=B.GENDERS))
+
+
+def rate_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Speaking rates with label edges from a lower range of -2 on."""
+    return _shown(B.distribution_tables(bd.utterances(spark, d), "speaking_rate_value", len(SPEAKER_RATE_BINS), std_tolerance=2.5, lower_range=-2.0))
+
+
+def _distributions_sql(values: tuple[str, ...], tol: float, n_labels: int, first: str) -> str:
+    """``values`` define the CTE ``b0 (series, v)``."""
+    n = 100
+    edges = ", ".join(f"round({'hi' if k == n_labels else f'{k} * ((hi - {first}) / {float(n_labels)}) + {first}'}, 6)" for k in range(n_labels + 1))
+    return O.with_(
+        O.UTTERANCES,
+        *values,
+        "st AS (SELECT series, avg(v) AS m, stddev_pop(v) AS s FROM b0 GROUP BY series)",
+        f"x AS (SELECT series, 'before' AS stage, v FROM b0 UNION ALL SELECT series, 'after', v FROM b0 JOIN st USING (series) WHERE abs(v - m) < {tol} * s)",
+        "r AS (SELECT series, stage, min(v) AS lo, max(v) AS hi FROM x GROUP BY ALL)",
+        f"g AS (SELECT *, i * ((hi - lo) / {float(n)}) + lo AS lo_e, CASE WHEN i + 1 = {n} THEN hi ELSE (i + 1) * ((hi - lo) / {float(n)}) + lo END AS hi_e FROM r, range(0, {n}) t(i))",
+    ) + f"""SELECT g.series, g.stage, i AS bucket, round(lo_e, 6) AS lower, round(hi_e, 6) AS upper, count(x.v) AS n, [{edges}] AS label_edges
+FROM g LEFT JOIN x ON x.series = g.series AND x.stage = g.stage AND x.v >= lo_e AND (x.v < hi_e OR (i = {n - 1} AND x.v <= hi_e))
+GROUP BY g.series, g.stage, i, lo_e, hi_e, lo, hi"""
+
+
+PITCH_DISTRIBUTIONS_SQL = _distributions_sql(
+    (
+        "spk AS (SELECT speakerid, avg(utterance_pitch_mean) AS v, arg_min(gender, utterance_id) FILTER (WHERE gender IS NOT NULL) AS gender FROM utterances WHERE speakerid IS NOT NULL GROUP BY speakerid)",
+        "b0 AS (SELECT gender AS series, v FROM spk WHERE gender IN ('male', 'female'))",
+    ),
+    2.0,
+    len(SPEAKER_LEVEL_PITCH_BINS),
+    "lo",
+)
+RATE_DISTRIBUTIONS_SQL = _distributions_sql(("b0 AS (SELECT 'all' AS series, speaking_rate_value AS v FROM utterances)",), 2.5, len(SPEAKER_RATE_BINS), "-2.0")
+
+
 def split_statistics(spark: SparkSession, d: str) -> DataFrame:
     u = bd.utterances_tagged(spark, d)
     return S.split_statistics(u)
@@ -246,6 +289,8 @@ QUERIES = {
     "speaker_pitch_labels": (speaker_pitch_labels, _pitch_sql()),
     "speaker_pitch_labels_fixed": (speaker_pitch_labels_fixed, _pitch_fixed_sql()),
     "value_histogram": (value_histogram, _hist_sql()),
+    "pitch_distributions": (pitch_distributions, PITCH_DISTRIBUTIONS_SQL),
+    "rate_distributions": (rate_distributions, RATE_DISTRIBUTIONS_SQL),
     "split_statistics": (split_statistics, SPLIT_STATS_SQL),
     "basic_tags_all": (basic_tags_all, _basic_all_sql()),
 }

@@ -142,3 +142,31 @@ def test_annotate_basic_tags_learns_missing_edges(spark):
             assert out[r[0]][col] == labels[want]
     for r in rows:
         assert out[r[0]]["noise"] == ["loud", "mid", "quiet"][reference_bin(edges["noise"], r[6], 3)]
+
+
+def test_distributions_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("male", 400), ("female", 300)) for v in rng.normal(size=n) * (3 if g == "male" else 1)]
+    rows += [("male", 90.0), ("other", 5.0), (None, 1.0), ("male", float("nan")), ("male", float("inf")), ("female", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {}
+    for r in B.distribution_tables(df, "v", 3, n_bins=20, std_tolerance=2.0, group_col="g", groups=["male", "female", "one", "none"]).collect():
+        got.setdefault((r.series, r.stage), []).append((r.bucket, r.n, r.lower, r.upper, r.label_edges))
+    for g in ("male", "female", "one", "none"):
+        values = np.array([v for k, v in rows if k == g and v is not None and np.isfinite(v)])
+        after = values[np.abs(values - values.mean()) < 2.0 * values.std()] if len(values) else values
+        for stage, v in (("before", values), ("after", after)):
+            cells = sorted(got[g, stage])
+            n, edges = np.histogram(v, 20)
+            assert [c[1] for c in cells] == n.tolist()
+            assert np.allclose([c[2] for c in cells] + [cells[-1][3]], edges)
+            assert np.allclose(cells[0][4], np.histogram(v, 3)[1])
+    low = B.distribution_tables(df.where("g = 'female'"), "v", 4, n_bins=2, lower_range=-9.0).collect()
+    v = np.array([x for k, x in rows if k == "female" and x is not None])
+    assert len(low) == 2 and np.allclose(low[0].label_edges, np.histogram(v, 4, range=(-9.0, v.max()))[1])
+    assert {r.n for r in B.distribution_tables(df.limit(0), "v", 3, n_bins=5).collect()} == {0}
+
+
+def test_infinite_values_do_not_reach_the_edges(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(11)] + [(float("inf"),), (float("-inf"),)], "v double")
+    assert B.learn_edges(df, "v", 2).first()["edges"] == [0.0, 5.0, 10.0]
