@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import normalize_by_language
 from ..functions.text import basic_normalize, text_edit_distance, words
 from ..functions.vectors import as_double_array, cosine
 from ..schema import require_columns
@@ -17,14 +18,20 @@ def word_error_rows(
     ref_col: str = "reference",
     hyp_col: str = "prediction",
     normalize: bool = True,
+    language_col: str | None = None,
 ) -> DataFrame:
-    """STR3 + STR4: per row the word edits and reference word count.
+    """STR3 + STR4: per row the word edits and reference word count.  With
+    ``language_col`` texts are normalised by the rules of their row's language,
+    else by the basic ones.
 
     Rows whose normalised reference has no words are dropped (they cannot
     be scored)."""
     require_columns(df, [ref_col, hyp_col])
-    ref = basic_normalize(F.col(ref_col)) if normalize else F.col(ref_col)
-    hyp = basic_normalize(F.coalesce(F.col(hyp_col), F.lit(""))) if normalize else F.coalesce(F.col(hyp_col), F.lit(""))
+    ref, hyp = F.col(ref_col), F.coalesce(F.col(hyp_col), F.lit(""))
+    if normalize and language_col is not None:
+        ref, hyp = (normalize_by_language(c, F.col(language_col)) for c in (ref, hyp))
+    elif normalize:
+        ref, hyp = basic_normalize(ref), basic_normalize(hyp)
     # words are split in the JVM; the filter uses only native expressions so
     # it never re-runs the Python step wherever Catalyst moves it
     out = df.withColumn("_r", ref).withColumn("_h", hyp)
@@ -45,11 +52,12 @@ def corpus_wer(rows: DataFrame) -> DataFrame:
 def clean_noisy_wer(rows: DataFrame, quality_col: str = "si_sdr", clean_limit: float | None = 25.0) -> DataFrame:
     """AGG11: error rate over clean rows (quality >= limit) and noisy rows,
     share of clean rows.  Clean is NULL when no row is clean, noisy is 0
-    when every row is clean.  ``clean_limit=None``: rows are not told apart,
+    when every row is clean.  Rows without a quality are in neither rate and
+    not in the share, only in ``wer`` and in ``unrated``.  ``clean_limit=None``: rows are not told apart,
     only ``wer`` is a number.  One pass, conditional sums."""
     if clean_limit is None:
         none = F.lit(None).cast("double")
-        return corpus_wer(rows).select("wer", none.alias("clean_wer"), none.alias("noisy_wer"), none.alias("percent_clean"))
+        return corpus_wer(rows).select("wer", none.alias("clean_wer"), none.alias("noisy_wer"), none.alias("percent_clean"), F.col("scored").alias("unrated"))
     clean = F.col(quality_col) >= F.lit(float(clean_limit))
     agg = rows.agg(
         F.sum(F.when(clean, F.col("edits"))).alias("ce"),
@@ -57,7 +65,8 @@ def clean_noisy_wer(rows: DataFrame, quality_col: str = "si_sdr", clean_limit: f
         F.sum(F.when(~clean, F.col("edits"))).alias("ne"),
         F.sum(F.when(~clean, F.col("ref_words"))).alias("nw"),
         F.count(F.when(clean, F.lit(1))).alias("nc"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(clean).alias("n"),
+        F.count(F.when(clean.isNull(), F.lit(1))).alias("unrated"),
         F.sum("edits").alias("te"),
         F.sum("ref_words").alias("tw"),
     )
@@ -69,6 +78,7 @@ def clean_noisy_wer(rows: DataFrame, quality_col: str = "si_sdr", clean_limit: f
         .otherwise(100.0 * F.col("ne") / F.col("nw"))
         .alias("noisy_wer"),
         F.when(F.col("nc") > 0, F.col("nc") / F.col("n")).otherwise(F.lit(0.0)).alias("percent_clean"),
+        "unrated",
     )
 
 

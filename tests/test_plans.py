@@ -10,10 +10,10 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 
 # queries whose plans may hold a Python node: the blocked similarity product,
-# the word edit distance, the pluggable scorer (and plans built on them)
+# compatibility folding, the word edit distance, the pluggable scorer (and plans built on them)
 PYTHON_ALLOWED = {
     "similar_speakers", "similar_speakers_all", "propagated_tags", "match_statistics",
-    "word_error_rows", "corpus_wer", "clean_noisy_wer", "enrich_scores",
+    "normalised_by_language", "word_error_rows", "corpus_wer", "clean_noisy_wer", "enrich_scores",
 }
 PYTHON_NODES = re.compile(r"\b(BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas|PythonMapInArrow)\b")
 CROSS = re.compile(r"\b(CartesianProduct|BroadcastNestedLoopJoin)\b")
