@@ -159,6 +159,19 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     return df.mapInArrow(tokenise, f"id {df.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
+#: Bins of up to so many pieces offer and give pairs of them; in fuller ones
+#: pieces are so small that single ones do.
+PAIRED = 48
+#: Partners of one sum that are compared.
+LOOKS = 8
+#: Sums that are tried for what a bin gives, from the one that fills it down.
+TRIED = 128
+#: Underfull bins that exchange with each other.
+TOGETHER = 256
+#: Passes over the underfull bins.
+PASSES = 40
+
+
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of indices by best fit in decreasing order (ties: input order)."""
     bins: list[list[int]] = []
@@ -183,69 +196,147 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _improve(donor: list[int], other: list[int], lengths: list[int], room: int) -> bool:
-    """The first exchange that moves tokens from ``donor`` into the ``room`` of
-    ``other``, the fuller one, as every such exchange increases the sum of
-    squares: a move, one for one, two for one, one for two."""
-    for d in donor:
-        if lengths[d] <= room:
-            donor.remove(d)
-            other.append(d)
-            return True
-    gains: list[tuple[int, tuple, tuple]] = []
-    for d in donor:
-        for a in other:
-            if 0 < lengths[d] - lengths[a] <= room:
-                gains.append((lengths[d] - lengths[a], (d,), (a,)))
-    if not gains:
-        for d in donor:
-            for x, a in enumerate(other):
-                for b in other[:x]:
-                    if 0 < lengths[d] - lengths[a] - lengths[b] <= room:
-                        gains.append((lengths[d] - lengths[a] - lengths[b], (d,), (a, b)))
-        for x, d in enumerate(donor):
-            for e in donor[:x]:
-                for a in other:
-                    if 0 < lengths[d] + lengths[e] - lengths[a] <= room:
-                        gains.append((lengths[d] + lengths[e] - lengths[a], (d, e), (a,)))
-    if not gains:
-        return False
-    _, out, back = max(gains)
-    for d in out:
-        donor.remove(d)
-        other.append(d)
-    for a in back:
-        other.remove(a)
-        donor.append(a)
-    return True
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, tries: int = 20_000) -> list[list[int]]:
-    """Empty the least filled bins into the room of the others, as far as
-    ``tries`` pairs of bins allow; never more bins than before."""
+class _Index:
+    """Exchange partners in the underfull bins: one or two pieces of a bin by
+    the sum of their lengths.  Entries are checked when they are used, so a
+    change only adds those that are new."""
+
+    def __init__(self, lengths: list[int], capacity: int) -> None:
+        self.lengths, self.where = lengths, {}
+        self.sums: list[list[tuple[int, ...]]] = [[] for _ in range(capacity + 1)]
+        self.there = 0  # bit s: some entry has sum s
+
+    def add(self, k: int, bin_: list[int], new: list[int]) -> None:
+        """Pieces ``new`` of bin ``k`` and their pairs with its other pieces."""
+        for i in new:
+            self.where[i] = k
+        for i in new:
+            self._put(self.lengths[i], (i,))
+            if len(bin_) <= PAIRED:
+                for j in bin_:
+                    if j != i:
+                        self._put(self.lengths[i] + self.lengths[j], (i, j))
+
+    def _put(self, total: int, pieces: tuple[int, ...]) -> None:
+        if total < len(self.sums):
+            self.sums[total].append(pieces)
+            self.there |= 1 << total
+
+    def largest(self, most: int) -> int:
+        """The largest sum of up to ``most`` that has entries, or 0."""
+        return (self.there & ((2 << most) - 1)).bit_length() - 1 if most > 0 else 0
+
+    def partners(self, total: int, not_in: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(bin, pieces) with that sum, from any bin but one; entries whose
+        pieces have parted since go."""
+        entries, kept, looked = self.sums[total], [], 0
+        while entries and looked < LOOKS:
+            pieces = entries.pop()
+            k = self.where.get(pieces[0])
+            if k is None or self.where.get(pieces[-1]) != k:
+                continue
+            kept.append(pieces)
+            looked += 1
+            if k != not_in:
+                yield k, pieces
+        entries.extend(kept)
+        if not entries:
+            self.there &= ~(1 << total)
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, passes: int = PASSES) -> list[list[int]]:
+    """Exchange up to two pieces for up to two between underfull bins as long
+    as the sum of squared fills grows, which empties bins; never more bins than
+    before.
+
+    A bin with room r gives none, one or two pieces of sum y and takes one or
+    two of another bin, found by sum: y + r, which fills it, or else the largest
+    sum below with which it becomes fuller than the other bin was.  Of partners
+    with one sum that in the least filled bin is taken.  The search ends at
+    the least possible number of bins, after a pass over the underfull bins
+    without an exchange, or after ``passes``.
+
+    ``TOGETHER`` underfull bins at a time exchange with each other (every
+    n-th by fill, so that all parts hold full and less full ones), which makes
+    the work grow with the number of bins; the bins that are underfull after
+    that are dealt anew, as long as a round empties any."""
     fill = [sum(lengths[i] for i in b) for b in bins]
+    done = [b for b, f in zip(bins, fill) if f == capacity]
+    under = [b for b, f in sorted(zip(bins, fill), key=lambda x: -x[1]) if 0 < f < capacity]
     least = -(-sum(fill) // capacity)
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    count = sum(1 for f in fill if f)
-    while under and count > least and tries > 0:
-        donor, moved = under[0], False
-        for other in sorted(under[1:], key=lambda k: -fill[k]):
-            tries -= 1
-            if tries <= 0 or not bins[donor]:
+    while under and len(done) + len(under) > least:
+        before, parts = len(under), -(-len(under) // TOGETHER)
+        out = [x for k in range(parts) for x in _exchanged(under[k::parts], lengths, capacity, passes)]
+        done += [b for f, b in out if f == capacity]
+        under = [b for f, b in sorted(out, key=lambda x: -x[0]) if f < capacity]
+        if parts == 1 or len(under) + sum(f == capacity for f, _ in out) == before:
+            break
+    return done + under
+
+
+def _exchanged(bins: list[list[int]], lengths: list[int], capacity: int, passes: int) -> list[tuple[int, list[int]]]:
+    """(fill, bin) of what exchanges among ``bins`` leave."""
+    bins = [list(b) for b in bins]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    least = -(-sum(fill) // capacity)
+    count = len(bins)
+    if count <= least:
+        return list(zip(fill, bins))
+    index = _Index(lengths, capacity)
+    for k, b in enumerate(bins):
+        if fill[k] < capacity:
+            index.add(k, b, list(b))
+
+    def exchange(k: int) -> bool:
+        """The best exchange that makes bin ``k`` fuller, if there is one."""
+        b, room = bins[k], capacity - fill[k]
+        gives: dict[int, tuple[int, ...]] = {0: ()}
+        for x, i in enumerate(b):
+            gives.setdefault(lengths[i], (i,))
+            if len(b) <= PAIRED:
+                for j in b[:x]:
+                    gives.setdefault(lengths[i] + lengths[j], (i, j))
+        best: tuple[int, int, tuple, tuple] | None = None
+        for y, out in gives.items():
+            total, tried = index.largest(min(y + room, capacity)), 0
+            while total > y and tried < TRIED and (best is None or total - y > best[0]):
+                tried += 1
+                found = [(fill[a], a, taken) for a, taken in index.partners(total, k) if fill[k] + total - y > fill[a]]
+                if found:
+                    _, a, taken = min(found)
+                    best = (total - y, a, taken, out)
+                    break
+                total = index.largest(total - 1)
+            if best and best[0] == room:
                 break
-            if len(bins[donor]) * len(bins[other]) ** 2 > 200_000:
-                continue  # two bins of crumbs: their pieces fit elsewhere singly
-            while fill[other] < capacity and bins[donor] and _improve(bins[donor], bins[other], lengths, capacity - fill[other]):
-                moved = True
-                fill[other] = sum(lengths[i] for i in bins[other])
-                fill[donor] = sum(lengths[i] for i in bins[donor])
-        if not bins[donor]:
-            count -= 1
-            under = under[1:]
-        elif not moved:
-            under = under[1:]  # cannot be emptied further; try the next
-        under = sorted((k for k in under if fill[k] < capacity), key=lambda k: fill[k])
-    return [b for b in bins if b]
+        if best is None:
+            return False
+        gain, a, taken, out = best
+        for i in taken:
+            bins[a].remove(i)
+        for i in out:
+            b.remove(i)
+        b.extend(taken)
+        bins[a].extend(out)
+        fill[k] += gain
+        fill[a] -= gain
+        if fill[k] == capacity:  # full bins take no more part
+            for i in b:
+                index.where.pop(i, None)
+        else:
+            index.add(k, b, list(taken))
+        index.add(a, bins[a], list(out))
+        return True
+
+    for _ in range(passes):
+        changed = False
+        for k in sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=lambda k: -fill[k]):
+            while 0 < fill[k] < capacity and exchange(k):
+                changed = True
+        count = sum(1 for f in fill if f)
+        if not changed or count <= least:
+            break
+    return [(f, b) for f, b in zip(fill, bins) if f]
 
 
 def pack_pieces(table: DataFrame, capacity: int = CAPACITY, block: int = BLOCK_PIECES) -> DataFrame:
