@@ -50,13 +50,15 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),  # the runs of 24 and more: the same spans as dropping shorter ones
 )
 RULES = BASE + (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # to its END line, if that is the next line of five dashes; a body has up to 100 shorter dashes
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # bounded where a match may begin anywhere in a long word, or the time is quadratic in its length
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{1,512}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("live_key", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{0,30}://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
 )
 
 

@@ -5,11 +5,13 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from speechtab.llm import components, metric_join, mixing, packing, secrets, simhash, suffix_dedup
 from speechtab.llm.queries import MIX, tokenizer_path
@@ -140,7 +142,7 @@ def brute_secrets(text):
 
 def test_secret_spans_match_brute_force(table):
     rnd = random.Random(6)
-    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdef", "x", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é😀", "\n", "ghp_", "a1" * 20, "sk_live_", "eyJ", ".", "://", "u:p@", "-----BEGIN RSA PRIVATE KEY-----"]
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdef", "x", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é😀", "\n", "ghp_", "a1" * 20, "sk_live_", "eyJ", ".", "://", "u:p@", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"]
     texts = [None, "", "token=token:abcdefgh", LONG] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(600)]
     rows = list(enumerate(texts)) + [(None, "secret=abcdefg"), (2, "secret=abcdefg"), (2, "token=token:abcdefgh")]
     out = secrets.report(table(rows)).collect()
@@ -159,6 +161,28 @@ def test_redaction(table):
     )
 
 
+def test_redaction_takes_the_whole_key(table):
+    body = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A\n\n" + "MIIEpAIBAAKC+/x\n" * 900
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {key} b {key}\n"), (2, "x -----BEGIN PRIVATE KEY----- y"), (3, "-----BEGIN PRIVATE KEY-----\n-----BEGIN EC PRIVATE KEY-----\nq-q\n-----END EC PRIVATE KEY-----z")]
+    got = {r[0]: r[1] for r in secrets.redact(table(rows)).collect()}
+    assert got == {1: "a [secret] b [secret]\n", 2: "x [secret] y", 3: "[secret]\n[secret]z"}
+
+
+def test_long_words_take_linear_time(spark):
+    """A word of a megabyte for every rule, on which matches may begin anywhere."""
+    n = 1_000_000
+    words = ["a" * n + "://x", "eyJ" * (n // 3) + ".", "eyJ" * 100 + ".eyJ" + "eyJ" * (n // 3), "AKIA" * (n // 4), "ghp_" * (n // 4), "xoxb-" * (n // 5), "AIza" * (n // 4), "sk_live_" * (n // 8)]
+    words += ["token" * (n // 5), "0123456789abcdef" * (n // 16), "-----BEGIN PRIVATE KEY-----" * (n // 27), "-----BEGIN " + "PRIVATE " * (n // 8), "a://" * (n // 4), "a://b:" + "c" * n, "token" + " " * n]
+    df = spark.createDataFrame([(w,) for w in words], "text string").repartition(len(words)).cache()
+    df.count()
+    for rule in secrets.RULES:
+        began = time.time()
+        df.select(F.sum(F.regexp_count("text", F.lit(rule.regex)))).collect()
+        assert time.time() - began < 20, rule.kind
+    df.unpersist()
+
+
 def test_trigram_queries_hold_for_every_match():
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.regex)
@@ -276,6 +300,22 @@ def test_local_search_empties_sequences():
         assert all(0 < sum(lengths[i] for i in b) <= 100 for b in done)
 
 
+@pytest.mark.parametrize("n", [100, 1000])
+def test_local_search_beats_best_fit_on_triples(n):
+    rnd = random.Random(n)
+    lengths = []
+    for _ in range(n):
+        a, b = rnd.randint(400, 900), rnd.randint(400, 900)
+        lengths += [a, b, 2048 - a - b]
+    rnd.shuffle(lengths)
+    start = packing.best_fit(lengths, 2048)
+    done = packing.local_search(start, lengths, 2048)
+    assert len(done) < len(start) and len(done) <= 1.035 * n
+    squares = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+    assert squares(done) > squares(start)
+    assert sorted(i for b in done for i in b) == list(range(3 * n)) and all(sum(lengths[i] for i in b) <= 2048 for b in done)
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_metric_join_matches_brute_force(spark, block):
     rng = np.random.default_rng(block)
