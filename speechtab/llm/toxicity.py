@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import ids_and_text, pick
+from speechtab.llm.common import ids_and_text, pick, written
 
 #: Labelled rows that the machine is fitted on at most, in hash order.
 SAMPLE_ROWS = 20_000
@@ -30,6 +30,13 @@ RANK = 4
 #: A feature takes part if its share among toxic texts differs from that among
 #: the others by so many standard errors, and if it occurs often enough.
 MIN_Z, MIN_ROWS = 6.0, 8
+#: The least lean to toxic texts of features that pairs are looked for among,
+#: and how many of them.
+PAIR_Z, PAIRED = 1.5, 1500
+#: Features that take part where none stands out.
+FEW = 10
+#: Gradient steps at least.
+STEPS = 1500
 PREFIXES = (4, 5)
 CUT = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,35 +84,107 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.weights[rows].sum() + pairs, -30, 30)))
 
 
-def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Fit on (feature ids, label) pairs by adaptive gradient steps.  With no
-    samples, or one label only, the score is the (smoothed) share of ones."""
+def _chance(hits: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How likely at least ``toxic`` of ``hits`` texts are toxic if each is
+    with probability ``share`` (the binomial tail, summed down from all)."""
+    hits, toxic = hits.astype(int), toxic.astype(int)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(1, hits.max(initial=0)) + 1)))])
+    total = np.zeros(len(hits))
+    for k in range(int((hits - toxic).max(initial=0)) + 1):
+        n = hits - k  # toxic ones of the term with k others
+        ok = n >= toxic
+        h, m = hits[ok], n[ok]
+        total[ok] += np.exp(log[h] - log[m] - log[h - m] + m * np.log(share) + k * np.log1p(-share))
+    return total
+
+
+def screened(hit: np.ndarray, toxic: np.ndarray, ones: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features that take part by themselves, those that may by pairs).
+
+    A feature takes part if its share among toxic texts differs from that among
+    the others by ``MIN_Z`` standard errors in ``MIN_ROWS`` texts, or if fewer
+    than one such feature is expected to be as one-sidedly toxic by chance,
+    whatever the number of rows; if none does, the ``FEW`` least likely ones
+    do.  Pairs are looked for among the others that
+    lean to toxic texts (``PAIR_Z``, and two of them), the ``PAIRED`` with the
+    clearest lean."""
+    share = hit / rows
+    spread = np.sqrt(np.maximum(share * (1 - share) * (1 / ones + 1 / (rows - ones)), 1e-12))
+    z = (toxic / ones - (hit - toxic) / (rows - ones)) / spread
+    taken = (np.abs(z) >= MIN_Z) & (hit >= MIN_ROWS)
+    few = np.flatnonzero((toxic >= 2) & (hit < 200) & (z > PAIR_Z) & ~taken)
+    rare = few[_chance(hit[few], toxic[few], ones / rows) * max(1, np.count_nonzero(hit)) < 1]
+    taken[rare] = True
+    if not taken.any():
+        taken[few[np.argsort(_chance(hit[few], toxic[few], ones / rows), kind="stable")[:FEW]]] = True
+    lean = np.flatnonzero((toxic >= 2) & (z >= PAIR_Z) & ~taken)
+    lean = lean[np.argsort(-z[lean], kind="stable")[:PAIRED]]
+    return np.flatnonzero(taken), np.sort(lean)
+
+
+def toxic_pairs(data: list[np.ndarray], labels: np.ndarray, lean: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``lean`` features whose meetings are toxic more often than
+    chance allows for any of all pairs that met (a hundredth in expectation).
+    Features of one text are counted together by a matrix product."""
+    if not len(lean):
+        return []
+    place = np.full(BUCKETS, -1)
+    place[lean] = np.arange(len(lean))
+    met = {0: np.zeros((len(lean), len(lean))), 1: np.zeros((len(lean), len(lean)))}
+    for y in (0, 1):
+        rows = [place[d] for d, label in zip(data, labels) if label == y]
+        for at in range(0, len(rows), 1024):
+            m = np.zeros((len(rows[at : at + 1024]), len(lean)), np.float32)
+            for k, r in enumerate(rows[at : at + 1024]):
+                m[k, r[r >= 0]] = 1
+            met[y] += m.T @ m
+    i, j = np.nonzero(np.triu(met[1] >= 4, 1))
+    toxic, hits = met[1][i, j], met[0][i, j] + met[1][i, j]
+    tests = max(1, np.count_nonzero(np.triu(met[0] + met[1], 1)))
+    found = np.flatnonzero((hits < 4 * toxic) & (toxic / hits > 2 * labels.mean()))
+    sure = found[_chance(hits[found], toxic[found], float(labels.mean())) * tests < 0.01]
+    return [(int(lean[i[k]]), int(lean[j[k]])) for k in sure]
+
+
+def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 11, screen: tuple[np.ndarray, np.ndarray] | None = None) -> Machine:
+    """Fit on (feature ids, label) pairs by adaptive gradient steps: ``epochs``
+    passes, and more over few rows, so that there are ``STEPS`` steps.  With no
+    samples, or one label only, the score is the (smoothed) share of ones.
+
+    Features take part by themselves or in pairs (``screened``, computed from
+    the samples unless given; ``toxic_pairs``); the factors of a pair start
+    alike, so that its meeting weighs from the start."""
     labels = np.array([y for _, y in samples], float)
     ones, rows = labels.sum(), len(samples)
     bias = float(np.log((ones + 0.5) / (rows - ones + 0.5)))
-    hit, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for ids, y in samples:
-        hit[ids] += 1
-        if y:
-            toxic[ids] += 1
     if not 0 < ones < rows:
         return Machine({}, bias, np.zeros(0), np.zeros((0, RANK)))
-    share = hit / rows
-    spread = np.sqrt(np.maximum(share * (1 - share) * (1 / ones + 1 / (rows - ones)), 1e-12))
-    z = np.abs(toxic / ones - (hit - toxic) / (rows - ones)) / spread
-    chosen = np.flatnonzero((z >= MIN_Z) & (hit >= MIN_ROWS))
+    if screen is None:
+        hit, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for ids, y in samples:
+            hit[ids] += 1
+            if y:
+                toxic[ids] += 1
+        screen = screened(hit, toxic, ones, rows)
+    pairs = toxic_pairs([ids for ids, _ in samples], labels, screen[1])
+    chosen = np.unique(np.concatenate([screen[0], np.array([f for p in pairs for f in p], np.int64)]))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     data = [place[ids] for ids, _ in samples]
     data = [np.sort(d[d >= 0]) for d in data]
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), RANK))
+    for a, b in pairs:
+        u = rng.normal(size=RANK)
+        u *= 0.7 / np.linalg.norm(u)
+        v[place[a]] += u
+        v[place[b]] += u
     gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
     starts = np.cumsum([0] + [len(d) for d in data])
     flat = np.concatenate(data)
-    n = len(chosen)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(rows), max(1, rows // 256)):
+    n, batches = len(chosen), max(1, rows // 256)
+    for _ in range(max(epochs, -(-STEPS // batches))):
+        for part in np.array_split(rng.permutation(rows), batches):
             # the part's features end to end, and the row each belongs to
             at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
             f, row = flat[at], np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
@@ -134,8 +213,12 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on at most ``rows`` labelled ids, in hash order, not held out.  Rows
     without an id or label are passed over.  Of rows that share an id, the one
-    whose text has the least hash is learned from.  The ids, and of each
-    sampled id's text the distinct feature numbers, come to the driver."""
+    whose text has the least hash is learned from.
+
+    Features are counted on Spark (at most ``BUCKETS`` counts come to the
+    driver) and screened; then the screened features of each sampled id come,
+    however long its text is.  With fewer than some 50 toxic rows single terms
+    rarely show clearly enough, and scores tell little."""
     some = pick(labels, key=id_col, y=label_col).select("key", F.col("y").cast("int").alias("y"))
     some = some.where(F.col("key").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("key")))
     some = some.groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(rows)
@@ -147,11 +230,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: s
             ids = [sorted({f for w in words(t.as_py()) for f in features(w)}) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column(1)], names=["ids", "y"])
 
-    table = texts.mapInArrow(extract, "ids array<int>, y int").toArrow()
-    ids = table.column("ids")
-    samples = [(np.asarray(ids[k].values, dtype=np.int64), y) for k, y in enumerate(table.column("y").to_pylist())]
+    found = written(texts.mapInArrow(extract, "ids array<int>, y int"), "features")
+    sizes = found.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("ones")).first()
+    n, ones = sizes["rows"], float(sizes["ones"] or 0)
+    screen = None
+    if 0 < ones < n:
+        counts = found.select("y", F.explode("ids").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("hit"), F.sum("y").alias("toxic")).toArrow()
+        hit, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        at = counts.column("f").to_numpy()
+        hit[at], toxic[at] = counts.column("hit").to_numpy(), counts.column("toxic").to_numpy()
+        screen = screened(hit, toxic, ones, n)
+        wanted = np.zeros(BUCKETS, bool)
+        wanted[np.concatenate(screen)] = True
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [x[wanted[x]] for x in (np.asarray(i.values, np.int64) for i in batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), batch.column(1)], names=["ids", "y"])
+
+        found = found.mapInArrow(kept, "ids array<int>, y int")
+    else:
+        found = found.select(F.array().cast("array<int>").alias("ids"), "y")
+    table = found.toArrow()
+    samples = [(np.asarray(i.values, dtype=np.int64), y) for i, y in zip(table.column("ids"), table.column("y").to_pylist())]
     samples.sort(key=lambda s: (s[1], len(s[0]), s[0].tobytes()))  # the same order however Spark returns them
-    return fit(samples)
+    return fit(samples, screen=screen)
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
