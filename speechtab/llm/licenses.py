@@ -179,8 +179,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     return out.select(F.col("id").alias(id_col), "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
-def oracle_sql(texts=KNOWN) -> str:
-    """DuckDB SQL for the contract query."""
+def oracle_sql(texts=None) -> str:
+    """DuckDB SQL for the contract query, over :func:`known_texts` like it."""
+    texts = known_texts() if texts is None else texts
 
     def form(x: str) -> str:
         out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g')"

@@ -90,6 +90,7 @@ def _chance(hits: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     hits, toxic = hits.astype(int), toxic.astype(int)
     log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(1, hits.max(initial=0)) + 1)))])
     total = np.zeros(len(hits))
+    share = min(share, 1 - 1e-9)
     for k in range(int((hits - toxic).max(initial=0)) + 1):
         n = hits - k  # toxic ones of the term with k others
         ok = n >= toxic
@@ -122,28 +123,41 @@ def screened(hit: np.ndarray, toxic: np.ndarray, ones: float, rows: int) -> tupl
     return np.flatnonzero(taken), np.sort(lean)
 
 
-def toxic_pairs(data: list[np.ndarray], labels: np.ndarray, lean: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of ``lean`` features whose meetings are toxic more often than
-    chance allows for any of all pairs that met (a hundredth in expectation).
-    Features of one text are counted together by a matrix product."""
+def toxic_pairs(data: list[np.ndarray], labels: np.ndarray, taken: np.ndarray, lean: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of features, one of them at least in ``lean`` and the other there
+    or in ``taken``, whose meetings are toxic more often than the base rate, or
+    the rate of the one that is taken, allows for any of all pairs that met (a
+    tenth in expectation).  Features of one text are counted together by a
+    matrix product."""
     if not len(lean):
         return []
+    every = np.concatenate([taken[:PAIRED], lean])
+    first = len(every) - len(lean)
     place = np.full(BUCKETS, -1)
-    place[lean] = np.arange(len(lean))
-    met = {0: np.zeros((len(lean), len(lean))), 1: np.zeros((len(lean), len(lean)))}
+    place[every] = np.arange(len(every))
+    met = {0: np.zeros((len(every), len(lean))), 1: np.zeros((len(every), len(lean)))}
+    alone = {0: np.zeros(len(every)), 1: np.zeros(len(every))}
     for y in (0, 1):
         rows = [place[d] for d, label in zip(data, labels) if label == y]
         for at in range(0, len(rows), 1024):
-            m = np.zeros((len(rows[at : at + 1024]), len(lean)), np.float32)
+            m = np.zeros((len(rows[at : at + 1024]), len(every)), np.float32)
             for k, r in enumerate(rows[at : at + 1024]):
                 m[k, r[r >= 0]] = 1
-            met[y] += m.T @ m
-    i, j = np.nonzero(np.triu(met[1] >= 4, 1))
-    toxic, hits = met[1][i, j], met[0][i, j] + met[1][i, j]
-    tests = max(1, np.count_nonzero(np.triu(met[0] + met[1], 1)))
-    found = np.flatnonzero((hits < 4 * toxic) & (toxic / hits > 2 * labels.mean()))
-    sure = found[_chance(hits[found], toxic[found], float(labels.mean())) * tests < 0.01]
-    return [(int(lean[i[k]]), int(lean[j[k]])) for k in sure]
+            met[y] += m.T @ m[:, first:]
+            alone[y] += m.sum(axis=0)
+    below = np.arange(len(every))[:, None] < first + np.arange(len(lean))[None, :]  # each pair once
+    out = []
+    for some in (np.arange(len(every)) < first, np.arange(len(every)) >= first):
+        shown = below & some[:, None] & (met[0] + met[1] > 0)
+        i, j = np.nonzero(shown & (met[1] >= 4))
+        toxic, hits = met[1][i, j], met[0][i, j] + met[1][i, j]
+        base = np.full(len(i), labels.mean())
+        if some[:first].any():
+            base = np.maximum(base, alone[1][i] / (alone[0][i] + alone[1][i]))
+        for k in np.flatnonzero(toxic / hits > np.minimum(2 * base, (1 + base) / 2)):
+            if _chance(hits[k : k + 1], toxic[k : k + 1], float(base[k]))[0] * np.count_nonzero(shown) < 0.1:
+                out.append((int(every[i[k]]), int(lean[j[k]])))
+    return out
 
 
 def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 11, screen: tuple[np.ndarray, np.ndarray] | None = None) -> Machine:
@@ -166,7 +180,7 @@ def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 30, rate: float = 0
             if y:
                 toxic[ids] += 1
         screen = screened(hit, toxic, ones, rows)
-    pairs = toxic_pairs([ids for ids, _ in samples], labels, screen[1])
+    pairs = toxic_pairs([ids for ids, _ in samples], labels, *screen)
     chosen = np.unique(np.concatenate([screen[0], np.array([f for p in pairs for f in p], np.int64)]))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))

@@ -63,6 +63,23 @@ def test_simhash_links_match_brute_force(spark, posting):
     assert [comps.get(x, x) for x in fps] == [fps[h] for h in head]
 
 
+def test_fingerprints_are_the_majority_of_shingle_hashes(table):
+    import xxhash
+
+    def majority(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if not words:
+            return 0
+        shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rnd = random.Random(9)
+    texts = [None, "", " \n", "Éa B", LONG, "a\xa0b c\u2003d e f"] + [rnd.choice([" ", "\n", " \t"]).join(rnd.choices(["Über", "a", "THE", "é😀", "x" * 40, "\x85"], k=rnd.randint(1, 30))) for _ in range(200)]
+    got = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.near_dups(table(list(enumerate(texts)))).collect()}
+    assert got == {i: majority(t) for i, t in enumerate(texts)}
+
+
 def test_simhash_rows(table):
     base = "The quick brown fox jumps over the lazy dog and then it runs away from all of the other dogs"
     rows = [(5, base), (3, base.upper()), (9, base + "."), (4, None), (2, ""), (8, " \n"), (None, base), (None, None), (5, base), (1, LONG), (7, "one two")]

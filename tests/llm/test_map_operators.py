@@ -84,6 +84,34 @@ def test_factorization_machine_learns_a_meeting():
     assert scores[2] > 0.7 and max(scores[0], scores[1], scores[3], scores[4]) < 0.5
 
 
+@pytest.mark.parametrize("rows", [2000, 20_000])
+def test_rare_words_toxic_only_together(rows):
+    """Two words of 2 % of the rows each, neither of which stands out by
+    itself, and one that does."""
+    rnd = random.Random(rows)
+    samples = []
+    for _ in range(rows):
+        words = {f"w{rnd.randint(0, 3000):04}" for _ in range(80)}
+        for w, share in (("groupterm", 0.02), ("oddword", 0.02), ("badword", 0.08)):
+            if rnd.random() < share:
+                words.add(w)
+        if rnd.random() < 0.006:
+            words |= {"groupterm", "oddword"}
+        toxic = "badword" in words or {"groupterm", "oddword"} <= words
+        samples.append((toxicity.np.array(sorted({f for w in words for f in toxicity.features(w)})), int(toxic)))
+    machine = toxicity.fit(samples)
+    both, one, other, bad, none = machine.scores(["an oddword w0001 groupterm", "oddword w0001", "groupterm w0002", "badword", "w0003 w0004"])
+    assert both >= 0.7 and bad >= 0.7 and max(one, other, none) < 0.2
+
+
+def test_chance_is_the_binomial_tail():
+    hits, toxic = toxicity.np.array([5, 5, 10, 40]), toxicity.np.array([5, 3, 0, 10])
+    from math import comb
+
+    want = [sum(comb(h, k) * 0.1**k * 0.9 ** (h - k) for k in range(t, h + 1)) for h, t in zip(hits.tolist(), toxic.tolist())]
+    assert toxicity.np.allclose(toxicity._chance(hits, toxic, 0.1), want)
+
+
 def test_toxicity_rows(spark, table):
     rows = [(i, ("you vile person " if i % 3 == 0 else "a kind person ") + "of many plain words") for i in range(300)] + [(None, None), (7, ""), (7, ""), (9, LONG)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(5, None), (None, 1)], "doc_id long, toxic int")
@@ -105,11 +133,25 @@ def test_toxicity_learns_one_row_an_id(spark, table, monkeypatch):
     rows = [(i, f"you vile person {k}" if i == ids[0] else f"a kind person {k}") for i in ids for k in range(5)] + [(ids[1], "a kind person")] * 100
     labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "fit", seen.append)
+    monkeypatch.setattr(toxicity, "fit", lambda samples, **how: seen.append(samples))
     toxicity.train(table(rows), labels, rows=30)
     assert [y for _, y in seen[0]] == [0] * 29 + [1]
 
 
+def test_license_sql_knows_the_same_texts(table):
+    import duckdb
+    import pyarrow as pa
+
+    rows = [(k, t + "\n") for k, (_, t) in enumerate(licenses.known_texts())] + [(-1, "GNU GENERAL PUBLIC LICENSE"), (None, None)]
+    df = table(rows)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    con.execute(licenses.oracle_sql())
+    want = sorted(con.fetchall(), key=repr)
+    got = sorted((tuple(r) for r in licenses.license_scan(df).collect()), key=repr)
+    assert got == want and sum(r[2] is not None for r in got) == len(rows) - 2
+
+
 def test_license_digests(table):
     mit = dict(reversed(licenses.KNOWN))["MIT"]
     worn = "Copyright (c) 2020 Somebody\nCopyright 2021 <else>\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(". ", " .  ").replace('"', "'")
