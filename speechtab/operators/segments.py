@@ -11,11 +11,18 @@ from ..functions.text import segment_file_name
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: text lines with their position (file, line_no).  Line numbers
-    follow file order: partition ids grow with the file offset."""
-    return spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+    """SRC8: text lines (file, line_no, line) of one file or several.
+
+    ``line_no`` is a struct that sorts as the lines do: by file path, by the
+    start of the block of the file that a task read, and by row within that
+    task.  It rests on the scan's own file metadata, so it holds for files cut
+    into splits and for splits of several files packed into one task."""
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), F.col("value").alias("line"))
 
 
 def parse_segment_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:

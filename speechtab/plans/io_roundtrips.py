@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import SPEAKER_RATE_BINS
 from ..operators import binning as B
+from ..operators import prepare as P
 from ..operators import segments as SG
 from ..operators import speakers as SPK
 from ..operators import tags as TG
@@ -130,6 +131,36 @@ def segment_lines_file(spark: SparkSession, d: str) -> DataFrame:
 SEGMENT_LINES_SQL = O.with_(PS.VAD_SQL) + 'SELECT filename, channel, count(*) AS segments, round(sum("end"), 6) AS ends FROM segs GROUP BY 1, 2'
 
 
+def segments_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """Segment lines as several text files in line order -> SRC8 reader ->
+    STR1 -> WIN7: which line comes first is known from the files alone."""
+    path = scratch_dir(spark, "segment-files")
+    lines = bd.vad_lines(spark, d).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+    lines.select("line").write.text(path)
+    kept, _ = SG.first_per_key(SG.parse_segment_lines(SG.read_lines(spark, path)))
+    return kept.select("filename", "channel", "segment_no", "start", "end")
+
+
+SEGMENTS_FILES_SQL = O.with_(PS.VAD_SQL) + 'SELECT filename, channel, segment_no, start, "end" FROM kept'
+
+
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC6 + FLT1: clips saved in a folder for every ten speakers, some of
+    them left out; the listing of the files says which folders are there."""
+    e = bd.speaker_embeddings(spark, d).select("utterance_id", F.expr("speaker div 10").alias("shelf"))
+    root = scratch_dir(spark, "listing")
+    e.where(F.col("shelf") % 4 != 3).write.partitionBy("shelf").parquet(root)
+    files = IO.list_files(spark, root, "*.parquet", exclude_like=["%/_temporary/%"]).where(F.col("length") > 0)
+    listing = files.select(F.regexp_extract("path", "(shelf=\\d+)/[^/]+$", 1).alias("path")).distinct()
+    wanted = e.select("utterance_id", F.concat(F.lit("shelf="), F.col("shelf").cast("string")).alias("path"))
+    return P.missing_paths(wanted, listing, "path", "path")
+
+
+LISTED_SQL = O.with_(O.SPEAKER_EMBEDDINGS) + (
+    "SELECT utterance_id, 'shelf=' || CAST(speaker // 10 AS VARCHAR) AS path FROM speaker_embeddings WHERE (speaker // 10) % 4 = 3"
+)
+
+
 def saved_edges_labels(spark: SparkSession, d: str) -> DataFrame:
     """AGG2 -> SNK4 (edges JSON) -> reload -> BIN1 with the saved edges."""
     u = bd.utterances(spark, d)
@@ -184,6 +215,8 @@ QUERIES = {
     "aligned_embeddings": (aligned_embeddings, ALIGNED_SQL),
     "loaded_sources": (loaded_sources, LOADED_SQL),
     "segment_lines_file": (segment_lines_file, SEGMENT_LINES_SQL),
+    "segments_from_files": (segments_from_files, SEGMENTS_FILES_SQL),
+    "listed_files": (listed_files, LISTED_SQL),
     "saved_edges_labels": (saved_edges_labels, SAVED_EDGES_SQL),
     "split_table_reuse": (split_table_reuse, SPLIT_REUSE_SQL),
     "chunked_codes": (chunked_codes, CHUNKED_SQL),

@@ -17,12 +17,20 @@ from .. import streaming as STM
 from ..functions.binning import SHIPPED_BIN_EDGES, SHIPPED_TEXT_BINS, bin_label
 from ..operators import enrich as EN
 from ..operators import stats as ST
+from ..operators.tags import INTRINSIC_TAGS_EXPANDABLE
 from ..session import spread
+from ..streaming import chunks as CH
+from ..streaming import votes as VO
+from ..streaming.chunks import list_state_store
 from . import bindings as bd
 from . import oracle as O
 
 PLAY_STEPS = 10
 STRIDE = 3
+VOTE_DELAY = "2 days"
+VOTE_DELAY_MS = 2 * 86_400_000
+WITHHELD_EVERY = 11
+REPEATED_EVERY = 5
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +84,7 @@ CHUNK_SQL = f"""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITIO
 SELECT user_id, event_id, position, CAST(least(floor((position + {STRIDE}) / {PLAY_STEPS}) + 1, floor(total / {PLAY_STEPS}) + 1) AS BIGINT) AS chunk FROM p"""
 
 
-def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
+def _chunks_of_halves(spark: SparkSession, d: str, operator) -> DataFrame:
     """Events arrive in two halves (earlier and later by time, the second also
     holding one end row per user), one micro-batch each, as many files as the
     table has parts; state carries the held-back items from the first half to
@@ -100,13 +108,69 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
         ]
     )
     stream = STM.file_stream(spark, src + "/*", "*.parquet", schema)
-    out = STM.stream_chunks(stream, "user_id", "event_id", ["ts", "event_id"], "is_end", PLAY_STEPS, STRIDE)
+    out = operator(stream, "user_id", "event_id", ["ts", "event_id"], "is_end", PLAY_STEPS, STRIDE)
     for name, half in halves.items():
         half.write.parquet(f"{src}/{name}")
         STM.run_append(out, folder + "/table", folder + "/checkpoint")
     return spark.read.parquet(folder + "/table")
 
 
+def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks_of_halves(spark, d, STM.stream_chunks)
+
+
+def stream_chunks_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The same arrivals with the held-back items in list state."""
+    with list_state_store(spark):
+        return _chunks_of_halves(spark, d, CH.stream_chunks_listed)
+
+
+# --- running tag votes ---------------------------------------------------------
+
+def running_tag_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes (an event is a user's vote for a tag) in three arrivals: the first
+    half by time; the second half with a fifth of the first half's votes again;
+    the votes withheld so far, old and new.  Returns the votes counted for each
+    (name, tag), and in a row without name and tag how many rows came late."""
+    tags = F.array(*[F.lit(t) for t in bd.LABEL_TAGS])
+    v = bd.table(spark, d, "events").select(
+        F.col("event_id").alias("vote_id"), F.col("user_id").alias("name"),
+        F.element_at(tags, (F.col("event_id") % 10 + 1).cast("int")).alias("tag"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    us = F.unix_micros("ts")
+    mid = v.agg(F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2").alias("m")).scalar()
+    withheld = F.col("vote_id") % WITHHELD_EVERY == 0
+    again = (us <= mid) & (F.col("vote_id") % REPEATED_EVERY == 0)
+    arrivals = [
+        v.where(~withheld & (us <= mid)),
+        v.where(~withheld & (us > mid)).unionByName(v.where(~withheld & again)),
+        v.where(withheld),
+    ]
+    out = STM.scratch_dir(spark, "stream-votes")
+    admitted = VO.admitted_votes(STM.file_stream(spark, out + "/input/*", "*.parquet", v.schema), VOTE_DELAY)
+    late = 0
+    for k, part in enumerate(arrivals):
+        part.write.parquet(f"{out}/input/{k}")
+        late += VO.run_admitted(admitted, out + "/admitted", out + "/admitted-checkpoint")
+        counts = VO.running_votes(STM.file_stream(spark, out + "/admitted", "*.parquet", v.schema))
+        STM.run_update(counts, out + "/counts", out + "/counts-checkpoint")
+    t = STM.latest(spark, out + "/counts", ["name", "tag"])
+    missed = spark.range(1).select(F.lit(None).cast("long").alias("name"), F.lit(None).cast("string").alias("tag"), F.lit(late).cast("long").alias("votes"))
+    return t.select("name", "tag", "votes").unionByName(missed)
+
+
+RUNNING_VOTES_SQL = f"""WITH v AS (SELECT event_id AS vote_id, user_id AS name, {O.sql_list(bd.LABEL_TAGS)}[event_id % 10 + 1] AS tag,
+  epoch_us(ts) AS us, event_id % {WITHHELD_EVERY} = 0 AS withheld FROM events),
+b AS (SELECT (min(us) + max(us)) // 2 AS mid FROM v),
+w AS (SELECT (max(us // 1000) FILTER (WHERE NOT withheld AND us <= mid) - {VOTE_DELAY_MS}) * 1000 AS w1,
+             (max(us // 1000) FILTER (WHERE NOT withheld) - {VOTE_DELAY_MS}) * 1000 AS w2 FROM v, b)
+SELECT name, tag, count(*) AS votes FROM v, w
+WHERE (NOT withheld OR us > w2) AND tag IN ({", ".join(f"'{t}'" for t in INTRINSIC_TAGS_EXPANDABLE)}) GROUP BY 1, 2
+UNION ALL
+SELECT NULL, NULL, count(*) FILTER (WHERE withheld AND us <= w2)
+  + count(*) FILTER (WHERE NOT withheld AND vote_id % {REPEATED_EVERY} = 0 AND us <= mid AND us <= w1) FROM v, b, w"""
+
+
 # --- UDF1 / UDF3 -------------------------------------------------------------
 
 def _density_scorer_factory():
@@ -155,6 +219,8 @@ QUERIES = {
     "stream_speaker_totals": (stream_speaker_totals, STREAM_TOTALS_SQL),
     "chunk_emission": (chunk_emission, CHUNK_SQL),
     "stream_chunks": (stream_chunks, CHUNK_SQL),
+    "stream_chunks_listed": (stream_chunks_listed, CHUNK_SQL),
+    "running_tag_votes": (running_tag_votes, RUNNING_VOTES_SQL),
     "enrich_scores": (enrich_scores, ENRICH_SQL),
     "frame_to_utterance": (frame_to_utterance, FRAMES_SQL),
 }

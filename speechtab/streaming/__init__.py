@@ -79,13 +79,14 @@ def run_update(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def latest(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
-    """The current rows of a table written by :func:`run_update`: per key the
-    last batch that changed it."""
+def latest(spark: SparkSession, out_dir: str, key: str | list[str]) -> DataFrame:
+    """The current rows of a table written by :func:`run_update`: per key (one
+    column or several) the last batch that changed it."""
     t = spark.read.option("basePath", out_dir).parquet(out_dir)
-    rest = [c for c in t.columns if c not in (key, "batch_id")]
-    last = t.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_r"))
-    return last.select(key, *[F.col("_r")[c].alias(c) for c in rest])
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in t.columns if c not in (*keys, "batch_id")]
+    last = t.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_r"))
+    return last.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def running_totals(stream: DataFrame, key: str, duration_col: str) -> DataFrame:

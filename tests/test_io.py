@@ -121,3 +121,33 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     df = spark.range(5)
     assert materialize(df, reliable=True).count() == 5
     assert materialize(df).count() == 5
+
+
+def test_lines_of_several_files_cut_into_splits_keep_their_order(spark, tmp):
+    from speechtab.operators.segments import first_per_key, parse_segment_lines, read_lines
+
+    os.makedirs(f"{tmp}/lines")
+    want = []
+    for f in range(5):
+        # the first file is the largest, so a scan that packs by size starts with it
+        rows = [f"clip{(n * 7 + f) % 90}/ch\t({f}.0, {n}.5)" for n in range(4000 if f == 0 else 300 * f)]
+        want += rows
+        with open(f"{tmp}/lines/part-{f}.txt", "w") as out:
+            out.write("\n".join(rows) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        lines = read_lines(spark, f"{tmp}/lines")
+        assert lines.rdd.getNumPartitions() > 10
+        assert [r["line"] for r in lines.orderBy("line_no").collect()] == want
+        kept, rejects = first_per_key(parse_segment_lines(lines))
+        got = {r["filename"]: (r["start"], r["end"]) for r in kept.collect()}
+        n_rejects = rejects.count()
+    finally:
+        spark.conf.set(key, before)
+    first = {}
+    for row in want:
+        head, times = row.split("\t")
+        first.setdefault(head.split("/")[0], tuple(float(x) for x in times[1:-1].split(", ")))
+    assert got == first and n_rejects == len(want) - len(first)
