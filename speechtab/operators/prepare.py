@@ -72,7 +72,10 @@ def merge_metadata(
         .when(F.col("_times") > 1, fail("more than once in the metadata"))
         .otherwise(F.lit(True))
     )
-    return both.where(agrees).drop("_here", "_times")
+    # a later filter on either side's columns would turn the outer join into an inner one and
+    # the check would see nothing; no filter moves below a column that is not deterministic
+    checked = both.withColumn("_agrees", agrees & (F.monotonically_increasing_id() >= 0))
+    return checked.where("_agrees").drop("_here", "_times", "_agrees")
 
 
 def merge_mismatches(dataset: DataFrame, metadata: DataFrame, id_col: str = "id") -> DataFrame:

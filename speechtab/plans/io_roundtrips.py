@@ -14,15 +14,21 @@ from ..operators import prepare as P
 from ..operators import segments as SG
 from ..operators import speakers as SPK
 from ..operators import tags as TG
+from ..operators import training as TR
 from ..schema import MANIFEST
 from ..sources import io as IO
 from ..streaming import scratch_dir
 from . import basic_tags as BT
 from . import bindings as bd
 from . import oracle as O
+from . import preparation as PR
 from . import propagation as PP
 from . import signals as PS
 
+CHUNK_IDS = 64  # ids to a chunk
+TRAINING_LAYOUT = TR.CodeLayout(bd.CODEBOOKS, bd.BOS_ID, bd.EOS_ID)
+TRAINING_LIMITS = TR.TrainingLimits(500, 6.5, 12.3, 100, max_description_tokens=20, max_prompt_tokens=600)
+
 
 def manifest_tsv(spark: SparkSession, d: str) -> DataFrame:
     """AGG4 + WIN1 -> SNK2 (TSV) -> SRC2 -> AGG8."""
@@ -189,25 +195,68 @@ SPLIT_REUSE_SQL = O.with_(O.UTTERANCES) + (
 
 
 def chunked_codes(spark: SparkSession, d: str) -> DataFrame:
-    """SNK5: codes appended chunk by chunk (chunk = id mod 3), then the
-    folder read back as one table; STM3: the chunks already written."""
-    c = bd.codes(spark, d).select("id", F.size(F.element_at("labels", 1)).alias("frames"))
+    """SNK5 + STM3: codes written in chunks of 64 ids; a first run got as far
+    as every third chunk, a second one writes the rest in one pass.  The folder
+    is read back as one table."""
+    c = bd.codes(spark, d).select("id", F.size(F.element_at("labels", 1)).alias("frames"), F.expr(f"id div {CHUNK_IDS}").alias("chunk_id"))
     path = scratch_dir(spark, "chunks")
-    n_chunks = 3
-    for k in range(n_chunks):
-        IO.append_chunk(c.where(F.col("id") % n_chunks == k), path, k)
-    back = spark.read.parquet(path)
-    done = IO.done_chunks(spark, path)
-    return back.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("frames").alias("frames")).where(
-        F.col("chunk_id").isin(done)
-    ).select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "rows", "frames")
+    IO.write_chunks(c.where(F.col("chunk_id") % 3 == 0), path)
+    done = IO.write_chunks(c, path)
+    back = spark.read.parquet(path).withColumn("run", F.when(F.col("chunk_id").isin(done), 1).otherwise(2))
+    return back.groupBy(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("run").cast("bigint").alias("run")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("frames").alias("frames")
+    )
 
 
 CHUNKED_SQL = (
-    "SELECT vec_id % 3 AS chunk_id, count(*) AS rows, CAST(sum(16) AS BIGINT) AS frames FROM embeddings GROUP BY 1"
+    f"SELECT vec_id // {CHUNK_IDS} AS chunk_id, CAST(CASE WHEN vec_id // {CHUNK_IDS} % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS run, "
+    "count(*) AS rows, CAST(sum(16) AS BIGINT) AS frames FROM embeddings GROUP BY 1, 2"
 )
 
 
+def training_table(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, their metadata and their codes -> the training table as one plan
+    -> chunks in one pass -> batches of similar length over the saved table."""
+    dataset = bd.transcripts(spark, d).select("id", F.col("transcription").alias("prompt"), "lang", "source")
+    metadata = bd.metadata(spark, d).withColumn(
+        "description", F.concat_ws(" ", F.lit("a clip of quality"), F.col("quality").cast("string"), F.lit("\n"))
+    )
+    codes = bd.codes(spark, d).select(
+        "id", F.col("labels").alias("codes"), (F.lit(640) + (F.col("id") % 7) * 100).cast("int").alias("target_length"),
+        F.expr(f"id div {PS.BATCH_ROWS}").alias("batch"),
+    )
+    t = TR.training_table(dataset, metadata, codes, TRAINING_LAYOUT, TRAINING_LIMITS, on_mismatch="inner")
+    t = t.select("id", "source", "quality", "prompt_tokens", "description_tokens", "target_length", "labels", F.expr(f"id div {CHUNK_IDS}").alias("chunk_id"))
+    path = scratch_dir(spark, "training-table")
+    IO.write_chunks(t, path)
+    saved = spark.read.schema(t.schema).parquet(path)
+    b = P.length_batches(saved, "id", "target_length", batch_size=8, megabatch_rows=64, seed=42)
+    numbers = ["prompt_tokens", "description_tokens", "target_length", "chunk_id", "position"]
+    return b.select("id", "source", "quality", "labels", "megabatch", "batch", *[F.col(c).cast("bigint").alias(c) for c in numbers])
+
+
+TRAINING_SQL = O.with_(
+    O.CODES,
+    f"cl AS (SELECT *, 640 + (id % 7) * 100 AS target_length, id // {PS.BATCH_ROWS} AS enc FROM codes)",
+    "ml AS (SELECT enc, max(target_length) AS maxlen FROM cl GROUP BY enc)",
+    f"k AS (SELECT cl.*, CAST(floor(({bd.FRAMES} / maxlen) * target_length) AS INTEGER) AS keep FROM cl JOIN ml USING (enc))",
+    "lab AS (SELECT id, target_length, ["
+    + ", ".join(
+        f"list_concat(list_concat(list_transform(range({c}), lambda z: {bd.BOS_ID}), list_slice(labels[{c + 1}], 1, keep)), list_transform(range({bd.CODEBOOKS - c}), lambda z: {bd.EOS_ID}))"
+        for c in range(bd.CODEBOOKS)
+    )
+    + "] AS labels FROM k WHERE target_length > 650 AND target_length < 1230)",
+    f"""txt AS (SELECT d.doc_id AS id, d.source, l.quality,
+  len(regexp_extract_all(regexp_replace(replace(d.text, chr(10), ' '), '\\s+$', ''), '{PR._TOKEN}', 1)) AS prompt_tokens,
+  len(regexp_extract_all('a clip of quality ' || CAST(l.quality AS VARCHAR), '{PR._TOKEN}', 1)) AS description_tokens
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)""",
+    f"t AS (SELECT txt.*, target_length, labels, id // {CHUNK_IDS} AS chunk_id FROM txt JOIN lab USING (id) WHERE prompt_tokens < 600 AND description_tokens < 20)",
+    "nm AS (SELECT greatest(1, CAST(ceil(count(*) / 64.0) AS BIGINT)) AS n_mb FROM t)",
+    "sh AS (SELECT t.*, CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % n_mb AS megabatch FROM t, nm)",
+    "ps AS (SELECT *, row_number() OVER (PARTITION BY megabatch ORDER BY target_length DESC, id) AS position FROM sh)",
+) + "SELECT id, source, quality, labels, megabatch, (position - 1) // 8 AS batch, prompt_tokens, description_tokens, target_length, chunk_id, position FROM ps"
+
+
 QUERIES = {
     "manifest_tsv": (manifest_tsv, MANIFEST_TSV_SQL),
     "annotation_votes_json": (annotation_votes_json, ANNOTATION_JSON_SQL),
@@ -220,4 +269,5 @@ QUERIES = {
     "saved_edges_labels": (saved_edges_labels, SAVED_EDGES_SQL),
     "split_table_reuse": (split_table_reuse, SPLIT_REUSE_SQL),
     "chunked_codes": (chunked_codes, CHUNKED_SQL),
+    "training_table": (training_table, TRAINING_SQL),
 }

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,11 +209,33 @@ def append_chunk(df: DataFrame, path: str, chunk_id: int) -> None:
     out.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def done_chunks(spark: SparkSession, path: str) -> list[int]:
+def write_chunks(df: DataFrame, path: str, chunk_col: str = "chunk_id") -> list[int]:
+    """SNK5 + STM3 in one pass: every chunk of ``df`` that ``path`` does not
+    hold yet, each as a partition, in one write; returns the chunks that were
+    there before.  A partition appears whole, when the job commits, so a run
+    that was stopped goes on with what is missing.  A chunk goes through one
+    task: choose chunks of bounded size (``id div rows``, say).  Rows without a
+    chunk would be written again by every run, so they fail the job."""
+    done = done_chunks(df.sparkSession, path, chunk_col)
+    c = F.col(chunk_col)
+    known = F.when(c.isNull(), F.raise_error(F.lit(f"row without a {chunk_col}")).cast("bigint")).otherwise(c.cast("bigint"))
+    pending = df.withColumn(chunk_col, known)
+    if done:
+        pending = pending.where(~c.isin(done))
+    out = pending.repartition(chunk_col).write.mode("overwrite").partitionBy(chunk_col)
+    out.option("partitionOverwriteMode", "dynamic").parquet(path)
+    return done
+
+
+def done_chunks(spark: SparkSession, path: str, chunk_col: str = "chunk_id") -> list[int]:
     """STM3: chunk ids already written (resume after the last one)."""
     if not exists(spark, path):
         return []
-    return sorted(r[0] for r in spark.read.parquet(path).select("chunk_id").distinct().collect())
+    try:
+        written = spark.read.parquet(path)
+    except AnalysisException:  # a folder without a committed row
+        return []
+    return sorted(r[0] for r in written.select(chunk_col).distinct().collect())
 
 
 def write_run_arguments(spark: SparkSession, args: Mapping[str, object], path: str, mode: str = "errorifexists") -> None:
