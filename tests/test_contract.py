@@ -38,6 +38,7 @@ FAST = [
     "noise_labels", "rate_labels_learned", "speaker_pitch_labels", "tag_votes", "similar_speakers",
     "propagated_tags", "manifest_sample", "best_attempt", "word_error_rows", "delay_labels",
     "segments_parsed", "mixed_sources", "length_batches", "value_histogram",
+    "training_table", "chunked_codes", "segments_from_files", "listed_files", "running_tag_votes",
 ]
 
 
