@@ -22,6 +22,9 @@ CODEBOOKS = 4
 FRAMES = 16
 BOS_ID = 1025
 EOS_ID = 1024
+CROPS = 3  # crops of a file, numbered from 0 to CROPS or CROPS - 1
+CROP_WIDTH = 32
+CROP_HOP = 10
 CLIP_RATE = 16  # embedding as a 64-sample clip at 16 samples per second
 ATTEMPT_RETRIES = 3
 ATTEMPT_LIMIT = 20.0
@@ -112,6 +115,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crop_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, embedding): several overlapping crops of every file, as windows
+    of its vector; files of an even label have one crop more."""
+    e = table(spark, sf_dir, "embeddings")
+    starts = F.sequence(F.lit(0), F.lit(CROPS) - F.col("label").cast("int") % 2)
+    crops = e.select(F.col("vec_id").alias("file"), "embedding", F.explode(starts).alias("c"))
+    return crops.select("file", F.slice("embedding", F.col("c") * CROP_HOP + 1, F.lit(CROP_WIDTH)).alias("embedding"))
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """codebooks x frames int codes from an embedding, row-major."""
     e = table(spark, sf_dir, "embeddings")

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import SPEAKER_RATE_BINS
 from ..operators import binning as B
+from ..operators import enrich as EN
 from ..operators import prepare as P
+from ..operators import reports as R
 from ..operators import segments as SG
 from ..operators import speakers as SPK
 from ..operators import tags as TG
 from ..operators import training as TR
 from ..schema import MANIFEST
+from ..sources import clustered as CL
 from ..sources import io as IO
 from ..streaming import scratch_dir
 from . import basic_tags as BT
@@ -24,6 +27,7 @@ from . import oracle as O
 from . import preparation as PR
 from . import propagation as PP
 from . import signals as PS
+from . import streams as ST
 
 CHUNK_IDS = 64  # ids to a chunk
 TRAINING_LAYOUT = TR.CodeLayout(bd.CODEBOOKS, bd.BOS_ID, bd.EOS_ID)
@@ -257,6 +261,86 @@ TRAINING_SQL = O.with_(
 ) + "SELECT id, source, quality, labels, megabatch, (position - 1) // 8 AS batch, prompt_tokens, description_tokens, target_length, chunk_id, position FROM ps"
 
 
+PART_ROWS = 40  # rows to a part of a clustered table
+BUCKETS = 8
+TIE = 1e-9  # means that lie between two rounded values go up in both engines
+
+
+def clustered_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances clustered by speaker (SRT1) -> mean pitch by speaker (AGG1),
+    saved beside them -> read back in speaker order with the mean (JN3); the
+    last step moves no row."""
+    u = bd.utterances(spark, d).select("utterance_id", "speakerid", "utterance_pitch_mean", "gender")
+    root = scratch_dir(spark, "clustered")
+    name = "speechtab_" + root.rsplit("-", 1)[-1]
+    rows = CL.save_clustered(u, name, f"{root}/rows", "speakerid", "utterance_id", BUCKETS, PART_ROWS)
+    means = B.speaker_means(rows, "speakerid", "utterance_pitch_mean", "gender", "utterance_id")
+    means = means.select("speakerid", F.col("utterance_pitch_mean").alias("speaker_pitch"))
+    beside = CL.save_beside(means, rows, f"{name}_means", f"{root}/means", "speakerid", BUCKETS)
+    out = CL.attach(rows, beside, "speakerid", "utterance_id")
+    return out.select("utterance_id", "speakerid", "part", "position", F.round(F.col("speaker_pitch") + TIE, 6).alias("speaker_pitch"))
+
+
+CLUSTERED_SQL = O.with_(
+    O.UTTERANCES,
+    f"n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY speakerid) / {PART_ROWS}.0) AS BIGINT) AS parts FROM utterances)",
+    "p AS (SELECT *, CAST(CASE WHEN parts = 1 THEN 0 ELSE CAST(('0x' || substr(md5('42:' || CAST(utterance_id AS VARCHAR)), 1, 8)) AS BIGINT) % parts END AS INTEGER) AS part FROM n)",
+) + (
+    "SELECT utterance_id, speakerid, part, row_number() OVER (PARTITION BY speakerid ORDER BY part, utterance_id) - 1 AS position, "
+    f"CASE WHEN speakerid IS NOT NULL THEN round(avg(utterance_pitch_mean) OVER (PARTITION BY speakerid) + {TIE}, 6) END AS speaker_pitch FROM p"
+)
+
+
+def observed_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Merge (JN1), first segment lines (WIN7), cut clips (JN9) and captured
+    failures (UDF3), each written once; what did not match, was rejected or
+    failed is counted by the write itself."""
+    lines = SG.parse_segment_lines(bd.vad_lines(spark, d))
+    first, rejected = R.first_per_key_counted(lines)
+    root = scratch_dir(spark, "reports")
+    merged, unmatched = R.merge_counted(bd.transcripts(spark, d).select("id", "source", "lang"), PR._metadata_with_clash(spark, d))
+    merged.write.parquet(f"{root}/merged")
+    first.write.parquet(f"{root}/first")
+    cut, missing = R.cut_segments_counted(bd.clips(spark, d), spark.read.schema(first.schema).parquet(f"{root}/first"))
+    cut.write.parquet(f"{root}/cut")
+    scored = EN.enrich(bd.transcripts(spark, d), ST._density_scorer_factory, ["transcription"], ST.SCORE, keep_cols=["id"], on_error="capture")
+    scored, failed = R.enriched_counted(scored)
+    scored.write.parquet(f"{root}/scored")
+    counts = {"merge": unmatched.get, "segments": rejected.get, "clips": missing.get, "scores": failed.get}
+    rows = [(report, what, n) for report, seen in counts.items() for what, n in seen.items()]
+    return spark.createDataFrame(rows, "report string, what string, n bigint")
+
+
+OBSERVED_SQL = O.with_(
+    PS.VAD_SQL,
+    "clips AS (SELECT 'clip' || CAST(vec_id // 2 AS VARCHAR) AS filename, 'channel' || CAST(vec_id % 2 + 1 AS VARCHAR) AS channel FROM embeddings)",
+    "mj AS (SELECT d.doc_id AS a, l.doc_id AS b, count(l.doc_id) OVER (PARTITION BY l.doc_id) AS times FROM documents d FULL OUTER JOIN labels l ON l.doc_id = d.doc_id)",
+    "cj AS (SELECT c.filename, k.filename AS found FROM clips c LEFT JOIN kept k ON k.filename = c.filename AND k.channel = c.channel)",
+) + """SELECT 'merge' AS report, 'rows' AS what, count(*) AS n FROM mj
+UNION ALL SELECT 'merge', 'dataset_only', count(*) FROM mj WHERE b IS NULL
+UNION ALL SELECT 'merge', 'metadata_only', count(*) FROM mj WHERE a IS NULL
+UNION ALL SELECT 'merge', 'repeated', count(*) FROM mj WHERE a IS NOT NULL AND b IS NOT NULL AND times > 1
+UNION ALL SELECT 'segments', 'rows', count(*) FROM segs
+UNION ALL SELECT 'segments', 'rejected', (SELECT count(*) FROM segs) - (SELECT count(*) FROM kept)
+UNION ALL SELECT 'clips', 'rows', count(*) FROM cj
+UNION ALL SELECT 'clips', 'without_segments', count(*) FROM cj WHERE found IS NULL
+UNION ALL SELECT 'scores', 'rows', count(*) FROM documents
+UNION ALL SELECT 'scores', 'failed', count(*) FROM documents WHERE contains(text, 'secret')"""
+
+
+def resumed_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """SNK6: a run's arguments saved beside its output; a later run takes the
+    manifest's rules from them (AGG4, WIN1)."""
+    path = scratch_dir(spark, "run-arguments")
+    IO.write_run_arguments(spark, {"min_duration": 300.0, "n_per_speaker": 10, "seed": 42, "resume": None}, path)
+    a = IO.read_run_arguments(spark, path)
+    u = bd.utterances(spark, d)
+    m = SPK.build_manifest(
+        u, "speakerid", "utterance_id", "duration", min_duration=float(a["min_duration"]), n_per_speaker=int(a["n_per_speaker"]), seed=a["seed"]
+    )
+    return m.select(F.col("speakerid").alias("speaker"), "utterance_id", "duration")
+
+
 QUERIES = {
     "manifest_tsv": (manifest_tsv, MANIFEST_TSV_SQL),
     "annotation_votes_json": (annotation_votes_json, ANNOTATION_JSON_SQL),
@@ -270,4 +354,7 @@ QUERIES = {
     "split_table_reuse": (split_table_reuse, SPLIT_REUSE_SQL),
     "chunked_codes": (chunked_codes, CHUNKED_SQL),
     "training_table": (training_table, TRAINING_SQL),
+    "clustered_speakers": (clustered_speakers, CLUSTERED_SQL),
+    "observed_reports": (observed_reports, OBSERVED_SQL),
+    "resumed_manifest": (resumed_manifest, PP.MANIFEST_SAMPLE_SQL),
 }

@@ -184,9 +184,12 @@ MATCH_STATS_SQL = O.with_(*_L2_CTES, "per AS (SELECT source, count(*) AS matches
 )
 
 
+PAIR_BATCH = 50
+
+
 def _scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = bd.table(spark, d, "embeddings").select(F.col("vec_id").alias("file"), "embedding")
-    return SIM.pair_scores(bd.pairs(spark, d), e, e)
+    return SIM.pair_scores(bd.pairs(spark, d), bd.crop_embeddings(spark, d), e)
 
 
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -194,11 +197,14 @@ def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("wav1", "wav2", "label", F.round("score", 6).alias("score"))
 
 
-PAIR_CTE = (
-    "sp AS (SELECT a.vec_id AS wav1, b.vec_id AS wav2, CAST((a.label + b.label) % 6 + 1 AS DOUBLE) AS label, "
-    "5.0 * ((list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 2) / 2.0) + 1.0 AS score "
-    "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
-)
+# every crop of one file with every crop of the other
+PAIR_CTE = f"""cr AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+  list_transform(range({bd.CROPS + 1} - label % 2), lambda c: CAST(list_slice(embedding, c * {bd.CROP_HOP} + 1, c * {bd.CROP_HOP} + {bd.CROP_WIDTH}) AS DOUBLE[])) AS crops
+  FROM embeddings),
+sp AS (SELECT a.vec_id AS wav1, b.vec_id AS wav2, CAST((a.label + b.label) % 6 + 1 AS DOUBLE) AS label,
+  5.0 * ((list_avg(flatten(list_transform(a.crops, lambda x: list_transform(b.crops, lambda y: list_dot_product(x, y)))))
+          + list_dot_product(a.v, b.v)) / 2.0) + 1.0 AS score
+  FROM cr a JOIN cr b ON b.vec_id = a.vec_id + 1)"""
 PAIR_SCORES_SQL = O.with_(PAIR_CTE) + "SELECT wav1, wav2, label, round(score, 6) AS score FROM sp"
 
 
@@ -209,6 +215,19 @@ def pair_correlation(spark: SparkSession, d: str) -> DataFrame:
 PAIR_CORR_SQL = O.with_(PAIR_CTE) + "SELECT round(corr(score, label), 6) AS pearson FROM sp"
 
 
+def pair_correlation_batched(spark: SparkSession, d: str) -> DataFrame:
+    """AGG13, the running figure: the mean of the correlations of batches of
+    consecutive pairs."""
+    scored = _scored_pairs(spark, d).withColumn("batch", F.expr(f"wav1 div {PAIR_BATCH}"))
+    return SIM.pair_correlation(scored, "batch").select(F.round("pearson", 6).alias("pearson"))
+
+
+PAIR_BATCHED_SQL = O.with_(
+    PAIR_CTE,
+    f"r AS (SELECT CASE WHEN count(*) > 1 AND stddev_pop(label) > 0 THEN corr(score, label) END AS r FROM sp GROUP BY wav1 // {PAIR_BATCH})",
+) + "SELECT round(avg(r), 6) AS pearson FROM r"
+
+
 def all_tags(spark: SparkSession, d: str) -> DataFrame:
     u = bd.utterances_tagged(spark, d)
     noise = bin_label(F.col("snr"), SHIPPED_BIN_EDGES["noise"], SHIPPED_TEXT_BINS["snr_bins"])
@@ -236,5 +255,6 @@ QUERIES = {
     "match_statistics": (match_statistics, MATCH_STATS_SQL),
     "pair_scores": (pair_scores, PAIR_SCORES_SQL),
     "pair_correlation": (pair_correlation, PAIR_CORR_SQL),
+    "pair_correlation_batched": (pair_correlation_batched, PAIR_BATCHED_SQL),
     "all_tags": (all_tags, _all_tags_sql()),
 }

@@ -188,10 +188,12 @@ def _density_scorer_factory():
     return score
 
 
+SCORE = T.StructType([T.StructField("score", T.DoubleType())])
+
+
 def enrich_scores(spark: SparkSession, d: str) -> DataFrame:
     t = spread(bd.transcripts(spark, d))
-    schema = T.StructType([T.StructField("score", T.DoubleType())])
-    r = EN.enrich(t, _density_scorer_factory, ["transcription"], schema, keep_cols=["id"], batch_rows=64, on_error="capture")
+    r = EN.enrich(t, _density_scorer_factory, ["transcription"], SCORE, keep_cols=["id"], batch_rows=64, on_error="capture")
     return r.select("id", F.round("score", 6).alias("score"), F.col("error").isNotNull().alias("failed"))
 
 

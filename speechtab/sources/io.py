@@ -244,3 +244,9 @@ def write_run_arguments(spark: SparkSession, args: Mapping[str, object], path: s
     row = {k: (None if v is None else str(v)) for k, v in args.items()}
     schema = T.StructType([T.StructField(k, T.StringType()) for k in row])
     spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode(mode).json(path)
+
+
+def read_run_arguments(spark: SparkSession, path: str) -> dict[str, str | None]:
+    """The arguments of a saved run, as strings (one row); an argument that was
+    None is not written and is missing here."""
+    return {k: v for r in spark.read.option("primitivesAsString", True).json(path).collect() for k, v in r.asDict().items()}
