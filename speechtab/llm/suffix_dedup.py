@@ -14,6 +14,13 @@ multikey quicksort to a shallow depth, then blind tries for the groups that
 still have a common prefix there.  Merging neighbours in decreasing order of
 their common prefix, together with the order of what precedes the anchors,
 gives each span the windows that it shares with any other.
+
+A gram with very many different spans is partitioned further before it is
+ordered: a window that begins ``p`` to ``q`` bytes before the anchor holds the
+``p`` bytes before it and the ``length - q`` after it, so the range of ``p`` to
+``q`` is halved, and pieces of spans that agree on those bytes form the parts.
+Equal pieces are counted like equal spans, the different ones that are left
+are ordered, or halved again.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +41,8 @@ LENGTH = 400
 GRAM = 100
 #: Bytes after the gram that multikey quicksort looks at.
 SHALLOW = 32
-#: Different spans with one gram that a task orders; beyond, their windows are
-#: counted by digest instead, which any number of tasks share.
+#: Different spans with one gram that a task orders; beyond, they are
+#: partitioned by more of their bytes.
 GROUP = 16_384
 #: Windows whose anchors are looked for at once in a long text.
 CHUNK = 1 << 22
@@ -269,6 +277,45 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield run[0]["key"], run
 
 
+def halved(width: int, length: int, gram: int):
+    """Arrow function: spans ``id, rk, n, p, lo, off, body``, whose windows begin
+    ``p`` to ``p + width - 1`` bytes before the anchor (at ``off`` in the body),
+    to the pieces with the nearer and the farther half of these windows.
+    ``key`` is the hash of the bytes that every window of a half holds, ``piece``
+    that of the whole piece."""
+    half = (width + 1) // 2
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, body, cols = [], [], ([], [], [], [], [], [])
+                for k, (n, p, lo, off, span) in enumerate(zip(*(part.column(c).to_pylist() for c in range(2, 7)))):
+                    least = off + length - len(span)
+                    for start, end in ((p, p + half - 1), (p + half, p + width - 1)):
+                        near, far = max(start, least), min(end, off)
+                        if near > far:
+                            continue
+                        piece = span[off - far : off - near + length]
+                        held = span[off - start : off + max(gram, length - end)]
+                        row.append(k)
+                        body.append(piece)
+                        key = xxhash.xxh3_64_intdigest(held, start << 32 | half) - (1 << 63)
+                        whole = xxhash.xxh3_64_intdigest(piece, far) - (1 << 63)
+                        for c, x in zip(cols, (n, start, lo + off - far, far, key, whole)):
+                            c.append(x)
+                take = pa.array(row, pa.int32())
+                n, start, lo, off, key, whole = (pa.array(c, pa.int64()) for c in cols)
+                ids = [part.column(0).take(take), part.column(1).take(take)]
+                yield pa.RecordBatch.from_arrays(
+                    ids + [n, start, lo, off, pa.array(body, pa.binary()), key, whole], names=["id", "rk", "n", "p", "lo", "off", "body", "key", "piece"]
+                )
+
+    return split
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``id, rk, lo, hi``: starts of windows of the texts ``id, rk, text`` that
     also start elsewhere, as inclusive ranges."""
@@ -323,10 +370,25 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take)] + [pa.array(c, pa.int64()) for c in cols] + [pa.array(body, pa.binary())], names=["id", "rk", "key", "n", "lo", "off", "body"])
 
-    content = written(held.mapInArrow(read, f"id {kind}, rk long, key long, n long, lo long, off long, body binary").dropDuplicates(["id", "rk", "key", "lo"]), "content")
-    sizes = content.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    large = written(sizes.where(F.col("size") > group).select("key"), "large")
-    small = content.join(large, "key", "left_anti")
+    first = held.mapInArrow(read, f"id {kind}, rk long, key long, n long, lo long, off long, body binary").dropDuplicates(["id", "rk", "key", "lo"])
+    content, width = written(first.withColumn("p", F.lit(0).cast("long")), "content"), length - gram + 1
+    found, ordered = [whole], []
+    while width > 1:
+        sizes = content.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        large = written(sizes.where(F.col("size") > group).select("key"), "large")
+        if large.isEmpty():
+            break
+        ordered.append(content.join(large, "key", "left_anti"))
+        crowded = content.join(large, "key", "left_semi").select("id", "rk", "n", "p", "lo", "off", "body")
+        halves = crowded.mapInArrow(halved(width, length, gram), f"id {kind}, rk long, n long, p long, lo long, off long, body binary, key long, piece long")
+        pieces = written(halves, "pieces")
+        width = (width + 1) // 2
+        alike = pieces.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("id", "rk", "p", "lo", "off", "body")).alias("at"))
+        content = written(alike.select("key", "piece", "n", "at.*"), "content")
+        # spans that were single until here and have a piece that another has too
+        again = pieces.where("n = 1").join(content.where("n > 1").select("key", "piece"), ["key", "piece"], "left_semi")
+        found.append(again.select("id", "rk", "lo", (F.col("lo") + F.length("body") - length).alias("hi")))
+    ordered.append(content)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -353,30 +415,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
             yield batch_of(rows)
 
     out = f"id {kind}, rk long, lo long, hi long"
-    parts = small.repartition("key").sortWithinPartitions("key").mapInArrow(order, out)
-    found = whole.unionAll(parts)
-    if not large.isEmpty():
-
-        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
-                    row, start, digest = [], [], []
-                    for k, (lo, body) in enumerate(zip(part.column(4).to_pylist(), part.column(6).to_pylist())):
-                        for p in range(len(body) - length + 1):
-                            row.append(k)
-                            start.append(lo + p)
-                            digest.append(xxhash.xxh3_128_digest(body[p : p + length]))
-                    take = pa.array(row, pa.int32())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], names=["id", "rk", "lo", "digest"])
-
-        windows = content.join(large, "key", "left_semi").select("id", "rk", "key", "n", "lo", "off", "body").mapInArrow(digests, f"id {kind}, rk long, lo long, digest binary")
-        windows = written(windows, "windows")
-        often = written(windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "often")
-        found = found.unionAll(windows.join(often, "digest").select("id", "rk", "lo", F.col("lo").alias("hi")))
-    return found
+    for part in ordered:
+        runs = part.select("id", "rk", "key", "n", "lo", "off", "body").repartition("key").sortWithinPartitions("key")
+        found.append(runs.mapInArrow(order, out))
+    return reduce(DataFrame.unionAll, found)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -115,7 +115,7 @@ def brute_suffix(texts, n):
 
 @pytest.mark.parametrize("length,gram,group,alphabet", [(40, 10, 1 << 14, "ab é"), (40, 10, 3, "abc"), (60, 20, 1 << 14, "a"), (50, 49, 9, "ab")])
 def test_suffix_dedup_matches_brute_force(table, length, gram, group, alphabet):
-    """A group bound of three sends most spans the way of counted windows."""
+    """A group bound of three halves the windows of most grams, down to one."""
     rnd = random.Random(length + group)
     base = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 300))) for _ in range(12)]
     texts = [None, ""] + ["".join(rnd.choice(base)[rnd.randint(0, 40) : rnd.randint(40, 300)] for _ in range(rnd.randint(0, 6))) for _ in range(50)]
@@ -124,6 +124,22 @@ def test_suffix_dedup_matches_brute_force(table, length, gram, group, alphabet):
     assert [out[i] for i in range(len(texts))] == list(brute_suffix([(t or "").encode() for t in texts], length))
 
 
+@pytest.mark.parametrize("shared", [30, 39, 40, 55, 70])
+def test_suffix_dedup_with_a_crowded_gram(table, shared):
+    """One passage in hundreds of texts, each time between other bytes; some
+    texts share more around it, before, after or on both sides."""
+    rnd = random.Random(shared)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage, before, after = word(shared), [word(40) for _ in range(6)], [word(40) for _ in range(6)]
+    texts = []
+    for i in range(300):
+        head = word(40) if i % 3 else word(rnd.randint(0, 20)) + rnd.choice(before)[rnd.randint(0, 40) :]
+        tail = word(40) if i % 4 else rnd.choice(after)[: rnd.randint(0, 40)] + word(rnd.randint(0, 20))
+        texts.append(head + passage + tail)
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(table(list(enumerate(texts))), 40, 10, 25).collect()}
+    assert [out[i] for i in range(len(texts))] == list(brute_suffix([t.encode() for t in texts], 40))
+
+
 def test_suffix_dedup_edges(table, monkeypatch):
     rnd = random.Random(9)
     text = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
