@@ -29,6 +29,7 @@ CLIP_RATE = 16  # embedding as a 64-sample clip at 16 samples per second
 ATTEMPT_RETRIES = 3
 ATTEMPT_LIMIT = 20.0
 CLEAN_LIMIT = 25.0
+FOREIGN_WORD = "xqzforeign"  # in no document
 # ---------------------------------------------------------------------------
 
 
@@ -152,20 +153,29 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as references; a prediction is the normalised
-    reference with every fifth word dropped."""
+    """Whole documents as references.  By turns a prediction is the normalised
+    reference without every fifth word, without it and with the second of
+    the five replaced by a word that no document has, or with that word added
+    after every fifth.
+
+    Fewest edits of five words: one, two, one.  A word that the reference does
+    not have costs an edit each time it is there (it is put in for another word or
+    added), and as many words are left out, beyond those added, as the prediction
+    is shorter; no alignment does with less."""
     from ..functions.text import basic_normalize
     from ..session import spread
 
     d = spread(table(spark, sf_dir, "documents"))
-    # normalised text has single spaces between words; each match covers five
-    # words and keeps the first four
+    # normalised text has single spaces between words; each match covers five words
     joined = F.trim(basic_normalize(F.col("text")))
     dropped = F.rtrim(F.regexp_replace(joined, "(\\S+ \\S+ \\S+ \\S+ )\\S+( |$)", "$1"))
+    replaced = F.rtrim(F.regexp_replace(joined, "(\\S+) \\S+ (\\S+ \\S+ )\\S+( |$)", f"$1 {FOREIGN_WORD} $2"))
+    added = F.regexp_replace(joined, "(\\S+ \\S+ \\S+ \\S+ \\S+)( |$)", f"$1 {FOREIGN_WORD}$2")
+    turn = F.col("doc_id") % 3
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("reference"),
-        dropped.alias("prediction"),
+        F.when(turn == 1, replaced).when(turn == 2, added).otherwise(dropped).alias("prediction"),
         F.col("lang").alias("language"),
         F.when(F.col("doc_id") % 50 != 49, (F.col("doc_id") % 50).cast("double")).alias("si_sdr"),
     )

@@ -85,7 +85,7 @@ def _by_language_sql() -> str:
 _WORDS_CTE = (
     "w AS (SELECT doc_id AS id, nullif(doc_id % 50, 49) AS si_sdr, "
     f"CASE WHEN trim({_duck_norm('text')}) = '' THEN 0 ELSE len(string_split_regex(trim({_duck_norm('text')}), '\\s+')) END AS ref_words "
-    "FROM documents),\nwe AS (SELECT id, si_sdr, ref_words, ref_words // 5 AS edits FROM w WHERE ref_words > 0)"
+    "FROM documents),\nwe AS (SELECT id, si_sdr, ref_words, (CASE WHEN id % 3 = 1 THEN 2 ELSE 1 END) * (ref_words // 5) AS edits FROM w WHERE ref_words > 0)"
 )
 
 

@@ -17,6 +17,7 @@ from ..operators import speakers as SPK
 from ..operators import stats as ST
 from ..operators import tags as TG
 from ..session import materialize
+from ..sources import io as IO
 from . import bindings as bd
 from . import oracle as O
 
@@ -49,6 +50,39 @@ def propagate_intrinsic_tags(
     return pairs, tagged, votes, sources
 
 
+def propagate_from_rows(
+    source_utterances: DataFrame,
+    target_utterances: DataFrame,
+    embeddings: DataFrame,
+    annotations: DataFrame,
+    threshold: float = 5.0,
+    max_similar: int | None = 1000,
+    min_annotations: int = 2,
+    min_duration: float = 300.0,
+    n_per_speaker: int = 10,
+    seed: int | str = 42,
+):
+    """L2 from raw rows: for either side the manifest of speakers with enough
+    speech and a seeded sample of their utterances (AGG4, WIN1), the sample's
+    embeddings by id (SRC5), a median vector a speaker (AGG5), then
+    :func:`propagate_intrinsic_tags`, with its results.
+
+    ``*_utterances``: (speaker, utterance_id, duration); ``embeddings``:
+    (utterance_id, embedding) of both sides; ``annotations``: (name, tag).  A
+    manifest is ordered by speaker, so that is the order that decides ties.  An
+    utterance without an embedding is left out of the median; a speaker without
+    any is on neither side.  Only sampled rows meet the embeddings."""
+
+    def medians(utterances: DataFrame) -> DataFrame:
+        manifest = SPK.build_manifest(utterances, "speaker", "utterance_id", "duration", min_duration, n_per_speaker, seed)
+        sampled = IO.align_embeddings(manifest, embeddings).where(F.col("embedding").isNotNull())
+        return materialize(SIM.median_vectors(sampled, "speaker", "embedding"), reliable=True)
+
+    sources = medians(source_utterances)
+    order = sources.select(F.col("speaker").alias("name"), F.col("speaker").alias("first_seen"))
+    return propagate_intrinsic_tags(sources, medians(target_utterances), annotations, order, threshold, max_similar, min_annotations)
+
+
 def _medians(spark: SparkSession, d: str) -> DataFrame:
     return SIM.median_vectors(bd.speaker_embeddings(spark, d), "speaker", "embedding")
 
@@ -163,6 +197,33 @@ PROPAGATED_SQL = O.with_(
 ) + "SELECT b.target, b.parent, round(b.score, 6) AS score, v.tags FROM best b JOIN votes v ON v.name = b.parent"
 
 
+SAMPLE_OF, LEAST_SPEECH = 6, 300.0
+
+
+def propagated_from_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Raw utterances -> manifests -> their embeddings -> medians -> tags."""
+    e = bd.speaker_embeddings(spark, d)
+    u = e.select("speaker", "utterance_id", ((F.col("label") + 1) * 6.5).alias("duration"))
+    tagged = propagate_from_rows(
+        u.where(bd.is_source(F.col("speaker"))), u.where(~bd.is_source(F.col("speaker"))), e.select("utterance_id", "embedding"),
+        bd.annotations(spark, d), bd.RATING_THRESHOLD, min_duration=LEAST_SPEECH, n_per_speaker=SAMPLE_OF,
+    )[1]
+    return tagged.select("target", "parent", F.round("score", 6).alias("score"), "tags")
+
+
+FROM_ROWS_SQL = O.with_(
+    O.SPEAKER_EMBEDDINGS,
+    O.ANNOTATIONS,
+    VOTES,
+    f"tot AS (SELECT speaker FROM speaker_embeddings GROUP BY speaker HAVING sum((label + 1) * 6.5) >= {LEAST_SPEECH})",
+    "rn AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5('42:' || CAST(utterance_id AS VARCHAR)), utterance_id) AS r FROM speaker_embeddings)",
+    f"sampled AS (SELECT * FROM rn WHERE r <= {SAMPLE_OF} AND speaker IN (SELECT speaker FROM tot))",
+    MEDIANS.replace("FROM speaker_embeddings", "FROM sampled"),
+    PAIRS,
+    "best AS (SELECT target, arg_min(source, (-score, source_order)) AS parent, max(score) AS score FROM pairs GROUP BY target)",
+) + "SELECT b.target, b.parent, round(b.score, 6) AS score, v.tags FROM best b JOIN votes v ON v.name = b.parent"
+
+
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     pairs, _, _, sources = _run(spark, d)
     # several aggregates read the pairs: materialise them once
@@ -252,6 +313,7 @@ QUERIES = {
     "similar_speakers": (similar_speakers, SIMILAR_SQL),
     "similar_speakers_all": (similar_speakers_all, SIMILAR_ALL_SQL),
     "propagated_tags": (propagated_tags, PROPAGATED_SQL),
+    "propagated_from_rows": (propagated_from_rows, FROM_ROWS_SQL),
     "match_statistics": (match_statistics, MATCH_STATS_SQL),
     "pair_scores": (pair_scores, PAIR_SCORES_SQL),
     "pair_correlation": (pair_correlation, PAIR_CORR_SQL),

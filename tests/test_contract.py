@@ -39,7 +39,7 @@ FAST = [
     "propagated_tags", "manifest_sample", "best_attempt", "word_error_rows", "delay_labels",
     "segments_parsed", "mixed_sources", "length_batches", "value_histogram",
     "training_table", "chunked_codes", "segments_from_files", "listed_files", "running_tag_votes",
-    "clustered_speakers", "observed_reports", "resumed_manifest", "pair_correlation_batched",
+    "clustered_speakers", "observed_reports", "resumed_manifest", "pair_correlation_batched", "propagated_from_rows",
 ]
 
 

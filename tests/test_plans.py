@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 # queries whose plans may hold a Python node: the blocked similarity product,
 # compatibility folding, the word edit distance, the pluggable scorer (and plans built on them)
 PYTHON_ALLOWED = {
-    "similar_speakers", "similar_speakers_all", "propagated_tags", "match_statistics",
+    "similar_speakers", "similar_speakers_all", "propagated_tags", "propagated_from_rows", "match_statistics",
     "normalised_by_language", "word_error_rows", "corpus_wer", "clean_noisy_wer", "enrich_scores",
 }
 PYTHON_NODES = re.compile(r"\b(BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas|PythonMapInArrow)\b")
