@@ -291,6 +291,27 @@ CLUSTERED_SQL = O.with_(
 )
 
 
+def clustered_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts clustered by source, of which a few hold most rows -> total
+    length by source, saved beside them -> read back in order with the total."""
+    t = bd.transcripts(spark, d).select("id", "source", "n_chars")
+    root = scratch_dir(spark, "clustered")
+    name = "speechtab_" + root.rsplit("-", 1)[-1]
+    rows = CL.save_clustered(t, name, f"{root}/rows", "source", "id", BUCKETS, PART_ROWS)
+    totals = rows.groupBy("source").agg(F.sum("n_chars").alias("source_chars"))
+    beside = CL.save_beside(totals, rows, f"{name}_totals", f"{root}/totals", "source", BUCKETS)
+    return CL.attach(rows, beside, "source", "id").select("id", "source", "part", "position", "source_chars")
+
+
+CLUSTERED_TRANSCRIPTS_SQL = O.with_(
+    f"n AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY source) / {PART_ROWS}.0) AS BIGINT) AS parts FROM documents)",
+    "p AS (SELECT *, CAST(CASE WHEN parts = 1 THEN 0 ELSE CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % parts END AS INTEGER) AS part FROM n)",
+) + (
+    "SELECT doc_id AS id, source, part, CASE WHEN source IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY part, doc_id) - 1 END AS position, "
+    "CASE WHEN source IS NOT NULL THEN CAST(sum(n_chars) OVER (PARTITION BY source) AS BIGINT) END AS source_chars FROM p"
+)
+
+
 def observed_reports(spark: SparkSession, d: str) -> DataFrame:
     """Merge (JN1), first segment lines (WIN7), cut clips (JN9) and captured
     failures (UDF3), each written once; what did not match, was rejected or
@@ -355,6 +376,7 @@ QUERIES = {
     "chunked_codes": (chunked_codes, CHUNKED_SQL),
     "training_table": (training_table, TRAINING_SQL),
     "clustered_speakers": (clustered_speakers, CLUSTERED_SQL),
+    "clustered_transcripts": (clustered_transcripts, CLUSTERED_TRANSCRIPTS_SQL),
     "observed_reports": (observed_reports, OBSERVED_SQL),
     "resumed_manifest": (resumed_manifest, PP.MANIFEST_SAMPLE_SQL),
 }
