@@ -59,6 +59,18 @@ _MARKS = "\\p{M}\\p{P}\\p{S}\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x85"
 NUMBERS = {w: i for i, w in enumerate(UNITS)} | {w: 10 * i for i, w in enumerate(TENS, 2)} | SCALES
 
 
+def _char_class(ranges: list[list[int]]) -> str:
+    """A character class of ``ranges`` (sorted, apart) as a tree of halves, each
+    behind its bounds: a character is held against a few bounds, and one outside
+    of them all (plain letters) against one, where a flat class of many ranges
+    holds it against every one."""
+    whole = f"\\x{{{ranges[0][0]:X}}}-\\x{{{ranges[-1][1]:X}}}"
+    if len(ranges) == 1:
+        return f"[{whole}]"
+    half = len(ranges) // 2
+    return f"[{whole}&&[{_char_class(ranges[:half])}{_char_class(ranges[half:])}]]"
+
+
 @cache
 def _folded_class() -> str:
     """A character class of all characters that NFKC may change: those it maps
@@ -76,7 +88,7 @@ def _folded_class() -> str:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]"
+    return _char_class(ranges)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,5 +1,6 @@
 """Normalisation by language: folding, English rules, per-row choice."""
 
+import time
 import unicodedata
 
 import pytest
@@ -54,3 +55,21 @@ def test_folding_equals_unicode(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.n for r in df.select("i", N.compatibility_fold(F.col("t")).alias("n")).collect()}
     assert got == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
+def test_plain_characters_cost_little(spark):
+    """A plain character is held against few bounds of the class, not against every range of it."""
+    df = spark.createDataFrame([("plain words " * 20_000,)] * 8, "t string").repartition(1).cache()
+    df.count()
+
+    def seconds(pattern):
+        def once():
+            start = time.perf_counter()
+            assert df.where(F.col("t").rlike(pattern)).count() == 0
+            return time.perf_counter() - start
+
+        return min(once() for _ in range(3))
+
+    flat = "[\\x{80}-\\x{10FFFF}]"
+    assert seconds(N._folded_class()) < 5 * seconds(flat) + 0.2
+    df.unpersist()
