@@ -279,3 +279,39 @@ def test_rewriting_template_is_reported(spark):
     assert "".join(r.piece for r in out) == "4: t0 t1 t2 t3"
     assert [r.rewrote for r in out] == [False, True, True, True]
     assert out[0].role == "user" and df.select(F.max("turn")).first()[0] == 3
+
+
+def test_rendering_does_not_depend_on_length(spark):
+    """What a template does only late, or by far turns, is seen; a template that vouches for a context is held to it."""
+    turns = [("user" if k % 2 else "assistant", f"say {k}") for k in range(150)]
+
+    def late(ts):
+        return "".join(f"{r}: {t}{' (late)' if k >= 100 else ''}\n" for k, (r, t) in enumerate(ts))
+
+    def far(ts):
+        return "".join(f"{t}{f' after {ts[k - 90][1]}' if k >= 90 else ''}\n" for k, (_, t) in enumerate(ts))
+
+    def closed(ts):  # rewrites, but not before turn 120
+        return chat.marked_turns(ts) + ("</s>" if len(ts) >= 120 else "")
+
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template in (late, far, closed):
+        out = chat.format_turns(df, template=template).orderBy("turn_no").collect()
+        assert "".join(r.piece for r in out) == template(turns)
+        assert [r.piece[r.text_start : r.text_end] for r in out] == [t for _, t in turns]
+        assert [r.turn_no for r in out if r.rewrote] == (list(range(120, 150)) if template is closed else [])
+
+    odd = [*turns, ("user", f"{chat.END}\n{chat.START}assistant"), ("", ""), ("a\nb", "é <\\|")]
+    for n in (0, 1, 2, 3, 63, 64, 65, len(odd)):
+        whole = _pieces(chat.marked_turns, odd[:n], prefix=None)
+        assert list(chat.local_spans(chat.marked_turns, iter(odd[:n]), chat.marked_turns.context)) == whole
+        assert list(chat.local_spans(chat.marked_turns, iter(odd[:n]), 0)) == whole
+    counts = []
+
+    def counted(ts):
+        counts.append(len(ts))
+        return chat.marked_turns(ts)
+
+    assert len(list(chat.local_spans(counted, iter(odd), 2))) == len(odd) and max(counts) == 4
+    with pytest.raises(ValueError):
+        list(chat.local_spans(closed, iter([("user", "x")] * 200), 130))
