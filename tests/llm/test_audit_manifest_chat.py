@@ -1,5 +1,6 @@
 """Filter interaction audit, Merkle manifest and chat formatting against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -315,3 +316,28 @@ def test_rendering_does_not_depend_on_length(spark):
     assert len(list(chat.local_spans(counted, iter(odd), 2))) == len(odd) and max(counts) == 4
     with pytest.raises(ValueError):
         list(chat.local_spans(closed, iter([("user", "x")] * 200), 130))
+
+
+def test_every_prefix_is_rendered(spark, tmp_path):
+    """No template is taken at its word, the default one neither: each prefix is rendered from the first turn on."""
+    turns = [("user" if k % 2 else "assistant", f"say {k}") for k in range(70)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string").repartition(3)
+    log = tmp_path / "seen"
+
+    @functools.wraps(chat.marked_turns)
+    def seen(ts):
+        with log.open("a") as f:
+            f.write(f"{len(ts)}\n")
+        return chat.marked_turns(ts)
+
+    out = chat.format_turns(df, template=seen).orderBy("turn_no").collect()
+    assert "".join(r.piece for r in out) == chat.marked_turns(turns)
+    assert {int(n) for n in log.read_text().split()} == set(range(1, 71))
+
+    def sworn(ts):  # breaks its word
+        return "".join(f"{t}{f' after {ts[k - 9][1]}' if k >= 9 else ''}\n" for k, (_, t) in enumerate(ts)) + ("</s>" if len(ts) >= 60 else "")
+
+    sworn.context = 1
+    out = chat.format_turns(df, template=sworn).orderBy("turn_no").collect()
+    assert "".join(r.piece for r in out) == sworn(turns)
+    assert [r.turn_no for r in out if r.rewrote] == list(range(60, 70))
